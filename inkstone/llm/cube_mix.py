@@ -120,8 +120,8 @@ def settle(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if last:
             return done
         left = flown.where("chance > 0 and chance < 1")
-        counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("open"))
-        todo = materialize(left.join(counts, left["source"].eqNullSafe(counts["source"])).select(*[left[c] for c in left.columns], "open"), f"mix-left{level}")
+        counts = left.groupBy(F.col("source").alias("open_source")).agg(F.count(F.lit(1)).alias("open"))
+        todo = materialize(left.join(counts, F.col("source").eqNullSafe(F.col("open_source"))).drop("open_source"), f"mix-left{level}")
         level += 1
 
 

@@ -74,7 +74,7 @@ def _half(p: Column, q: Column) -> Column:
 
 
 def _root(divergence: Column) -> Column:
-    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+    return F.when(divergence.isNotNull(), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def class_references(measures: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def allot(n: int, p: np.ndarray, parts: list[list[int]], distance: int) -> tuple
 def plan_parts(n: int, p: np.ndarray, corr: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Parts and thresholds of the cheapest plan among 2 to distance + 1 parts; parts with threshold -1 are left out."""
     plans = []
-    for m in range(2, distance + 2):
+    for m in range(min(2, distance + 1), distance + 2):
         parts = correlated_parts(corr, m)
         cost, ts = allot(n, p, parts, distance)
         plans.append((cost, m, [(part, t) for part, t in zip(parts, ts, strict=True) if t >= 0]))
