@@ -15,7 +15,6 @@ their texts; a null doc_id comes first; a document longer than a block is one bl
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,16 +31,17 @@ from inkstone.llm.common import materialize
 END_ID = 2
 SCALE_BITS = 20
 LANES, STEPS, BLOCK_IDS = 512, 512, 1 << 20
-#: Text bytes whose distinct words are encoded together, and words that each half of a worker's memory of words may hold.
-SLICE_BYTES, REMEMBERED = 8 << 20, 300_000
+#: Text bytes whose distinct pieces are encoded together, and pieces that each half of a worker's memory may hold.
+SLICE_BYTES, REMEMBERED = 8 << 20, 400_000
 MAGIC = b"IRB1"
 HEAD = struct.Struct("<4sIQIIII")
 _LOW = np.uint64(1 << 31)
 _MASK = np.uint64((1 << SCALE_BITS) - 1)
 
-# Words of these characters need no normalising but lower case; they go to the tokenizer's model without its text pipeline.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?()|*#$%&/_+=-]+")
-PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# Texts of these characters need no normalising but lower case: their pieces go to the tokenizer's model without its text pipeline.
+PLAIN = r"\A[ \t\r\nA-Za-zÀ-ÖØ-öø-ÿ!-&(-~]*\z"
+SPECIAL = "<|"
+APART = r"([!-&(-/:-@\[-`{-~]+|[0-9])"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,7 +52,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of single words, by a tokenizer that drops white space and never joins across it."""
+    """Ids of words and of pieces of words, by a tokenizer that drops white space and never joins across it. What was met
+    lately is remembered in two halves: when the young one is full it becomes the old one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,66 +63,67 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(shown))
-        return ids
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian u32."""
-        out: list[bytes | None] = [None] * len(words)
-        hard = []
-        for i, word in enumerate(words):
-            ids = self.young.get(word)
-            if ids is None and (ids := self.old.get(word)) is None:
-                if PLAIN.fullmatch(word):
-                    found = [x for p in PIECES.findall(word.lower()) for x in self._piece(p)]
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, which is one run of lower-case letters, one digit or one run of marks, as little-endian u32."""
+        young, old, tokenize, letters = self.young, self.old, self.model.tokenize, self.letters
+        out = []
+        for piece in pieces:
+            ids = young.get(piece)
+            if ids is None:
+                ids = old.get(piece)
+                if ids is None:
+                    shown = piece if piece.isascii() else "".join([letters[b] for b in piece.encode()])
+                    found = [t.id for t in tokenize(shown)] if piece else []
                     ids = struct.pack(f"<{len(found)}I", *found)
-                else:
-                    hard.append(i)
-                    continue
-                self._remember(word, ids)
-            out[i] = ids
-        if hard:
-            coded = self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)
-            for i, c in zip(hard, coded, strict=True):
-                out[i] = struct.pack(f"<{len(c.ids)}I", *c.ids)
-                self._remember(words[i], out[i])
+                if len(young) >= REMEMBERED:
+                    self.old, self.young = old, young = young, {}
+                young[piece] = ids
+            out.append(ids)
         return out
 
-    def _remember(self, word: str, ids: bytes) -> None:
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word through the whole tokenizer, as little-endian u32."""
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in coded]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encode_texts(encoder: WordEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, END_ID after each, and the number of ids of each text."""
-    spaced = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
-    lists = pc.split_pattern(spaced, " ")
+def _encode_lists(lists: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts given as lists of strings, END_ID after each text, and the number of ids of each; every distinct string is encoded once."""
     coded = lists.flatten().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    index = np.asarray(coded.indices, dtype=np.int64)
-    ids = [*encoder.encode(coded.dictionary.to_pylist()), struct.pack("<I", END_ID)]
-    per_word = np.array([len(x) // 4 for x in ids], np.int64)
+    ids = [*encode(coded.dictionary.to_pylist()), struct.pack("<I", END_ID)]
+    per_word = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
     flat = np.frombuffer(b"".join(ids), "<u4")
-    first = np.cumsum(per_word) - per_word
-    word_count = np.asarray(pc.list_value_length(lists), dtype=np.int64)
-    ends = np.cumsum(word_count)
-    index = np.insert(index, ends, len(ids) - 1)
+    first = (np.cumsum(per_word) - per_word).astype(np.int32)
+    count = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    index = np.insert(np.asarray(coded.indices, dtype=np.int32), np.cumsum(count), len(ids) - 1)
     n = per_word[index]
-    at = np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    doc = np.repeat(np.arange(len(texts)), word_count + 1)
-    return flat[at], np.bincount(doc, n, len(texts)).astype(np.int64)
+    ends = np.cumsum(n, dtype=np.int64)
+    at = np.repeat(first[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    last = ends[np.cumsum(count + 1) - 1] if len(count) else ends[:0]
+    return flat[at], np.diff(last, prepend=0)
+
+
+def encode_texts(encoder: WordEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, END_ID after each, and the number of ids of each text."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, SPECIAL)))
+    easy = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), APART, r" \1 "))
+    flat, n = _encode_lists(easy, encoder.pieces)
+    hard = texts.filter(pc.invert(plain))
+    if not len(hard):
+        return flat, n
+    more, m = _encode_lists(pc.split_pattern(pc.replace_substring(hard, "\n", " "), " "), encoder.words)
+    mask = np.asarray(plain.to_numpy(zero_copy_only=False), bool)
+    size, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    size[mask], size[~mask] = n, m
+    start[mask], start[~mask] = np.cumsum(n) - n, len(flat) + np.cumsum(m) - m
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.concatenate([flat, more])[at], size
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
