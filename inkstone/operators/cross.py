@@ -36,9 +36,9 @@ def near_spacing(facts: DataFrame, scale: list[float]) -> DataFrame:
 
 def supersede(violations: DataFrame, near: DataFrame) -> DataFrame:
     """Spacing violations without those that a near-token one stands for."""
-    key = ["file", "line", "col", "old_value"]
-    spacing = violations.where("rule_id = 'no-arbitrary-spacing'").join(near.select(*key).distinct(), key, "left_anti").select(*COLUMNS)
-    return violations.where("rule_id <> 'no-arbitrary-spacing'").select(*COLUMNS).unionByName(spacing)
+    key = ["rule_id", "file", "line", "col", "old_value"]
+    stands = near.withColumn("rule_id", F.lit("no-arbitrary-spacing")).select(*key).distinct()
+    return violations.join(stands, key, "left_anti").select(*COLUMNS)
 
 
 def similar_pairs(components: DataFrame, total: float = TOTAL_LIMIT, name: float = NAME_LIMIT) -> DataFrame:

@@ -28,10 +28,10 @@ def source_lines(sources: DataFrame) -> DataFrame:
 
 
 def apply(violations: DataFrame, targets: DataFrame) -> DataFrame:
-    """Violations that no directive covers."""
+    """Violations that no directive covers; where there is a column `can`, only rows with it true can be covered."""
     t = targets.select(F.col("file").alias("d_file"), F.col("line").alias("d_line"), "all_rules", "ids")
     covered = (F.col("file") == F.col("d_file")) & (F.col("line") == F.col("d_line")) & (F.col("all_rules") | F.array_contains("ids", F.col("rule_id")))
-    return violations.join(t, covered, "left_anti")
+    return violations.join(t, covered & F.col("can") if "can" in violations.columns else covered, "left_anti")
 
 
 def suppressible(violations: DataFrame, facts: DataFrame) -> DataFrame:

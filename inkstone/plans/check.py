@@ -17,6 +17,5 @@ def check(sources: DataFrame, config: Config, own_rules: dict[str, rules.Rule] |
     found = facts.parse(kept).cache() if parsed is None else parsed
     per_file = rules.apply(found, config, own_rules)
     targets = suppress.directives(found, suppress.source_lines(kept))
-    marked = suppress.suppressible(per_file, found)
-    free = suppress.apply(marked.where("can").select(*COLUMNS), targets).unionByName(marked.where("not can").select(*COLUMNS))
+    free = suppress.apply(suppress.suppressible(per_file, found), targets).select(*COLUMNS)
     return cross.analyse(found, free, config).withColumn("severity", F.coalesce("severity", F.lit("warning")))
