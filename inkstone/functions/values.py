@@ -146,8 +146,8 @@ def drift_dots(ratio: Column) -> Column:
 
 # Utility classes with a value in brackets.
 SPACING_UTILITIES = "p px py pt pr pb pl m mx my mt mr mb ml gap gap-x gap-y space-x space-y inset inset-x inset-y top right bottom left w h min-w max-w min-h max-h".split()
-CLASS_NAME = r"^((?:[^\[\]:]|\[[^\]]*\])*:)?!?-?([a-z][a-z-]*?)-?\[((?:[^\[\]]|\[[^\[\]]*\])+)\]!?$"
-PROPERTY_CLASS = r"^((?:[^\[\]:]|\[[^\]]*\])*:)?!?\[([a-z-]+):((?:[^\[\]]|\[[^\[\]]*\])+)\]!?$"
+CLASS_NAME = r"^((?:(?:[^\[\]:]|\[[^\]]*\])*:)*)!?-?([a-z][a-z-]*?)-?\[((?:[^\[\]]|\[[^\[\]]*\])+)\]!?$"
+PROPERTY_CLASS = r"^((?:(?:[^\[\]:]|\[[^\]]*\])*:)*)!?\[([a-z-]+):((?:[^\[\]]|\[[^\[\]]*\])+)\]!?$"
 DYNAMIC = r"\b(calc|var)\s*\("
 
 
