@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import let, materialize, words
+from inkstone.llm.common import SPACE_RUN, let, materialize, words
 
 RARE = 512
 MIN_WORDS, MIN_CHARS = 50, 200
@@ -27,10 +27,6 @@ CLASSES = ("upper", "lower", "letter", "number", "punct", "space", "other")
 SYMBOLS = "#*$%&|<>"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{pattern}]+", "")).cast("long")
-
-
 def _repeat_words(ws: Column) -> Column:
     """Words that stand in a 3-word window found twice or more."""
 
@@ -38,8 +34,12 @@ def _repeat_words(ws: Column) -> Column:
         same = F.filter(sorted_, lambda x, j: (F.get(sorted_, j - 1)["g"] == x["g"]) | (F.get(sorted_, j + 1)["g"] == x["g"]))
         return F.size(F.array_distinct(F.flatten(F.transform(same, lambda s: F.array(s["i"], s["i"] + 1, s["i"] + 2)))))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - 2), lambda i: F.struct(F.array_join(F.slice(ws, i, 3), " ").alias("g"), i.alias("i")))
-    return F.when(F.size(ws) >= 4, let(F.sort_array(windows), covered)).otherwise(F.lit(0)).cast("long")
+    def count(windows: Column) -> Column:
+        placed = F.transform(windows, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(F.sort_array(placed), covered))
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - 2), lambda i: F.array_join(F.slice(ws, i, 3), " "))
+    return F.when(F.size(ws) >= 4, let(windows, count)).otherwise(F.lit(0)).cast("long")
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -48,21 +48,23 @@ def base_measures(docs: DataFrame) -> DataFrame:
     base_failed: fewer than 50 words, or over half of the words in repeated windows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), F.xxhash64("lang", "text").alias("text_key"))
+    # Classes are taken out one after the other, the largest first, so that only the first pass reads the whole text.
+    rest, stripped = "text", []
+    for name, pattern in (("lower", r"\p{Ll}+"), ("space", SPACE_RUN), ("upper", r"\p{Lu}+"), ("letter", r"\p{L}+"), ("punct", r"\p{P}+"), ("number", r"\p{N}+")):
+        plain = plain.withColumn(f"no_{name}", F.regexp_replace(rest, pattern, ""))
+        stripped.append((F.length(rest) - F.length(f"no_{name}")).cast("long").alias(name))
+        rest = f"no_{name}"
     split = plain.withColumn("w", words(F.col("text")))
     lined = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    chars = F.length("text").cast("long")
-    word_chars = F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long")
-    upper, lower, letter, number, punct = (_count(F.col("text"), p) for p in (r"\p{Lu}", r"\p{Ll}", r"\p{L}", r"\p{N}", r"\p{P}"))
     out = split.select(
         "doc_id", "lang", "text_key",
         F.size("w").cast("long").alias("n_words"),
-        word_chars.alias("word_chars"),
-        (chars - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("no_space") - F.length(F.translate("no_space", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lined, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         let(F.col("w"), _repeat_words).alias("n_repeat_words"),
-        upper.alias("upper"), lower.alias("lower"), letter.alias("letters"), number.alias("number"), punct.alias("punct"), (chars - word_chars).alias("space"), chars.alias("chars"),
+        *stripped, F.length(rest).cast("long").alias("other"), F.length("text").cast("long").alias("chars"),
     )
-    classed = out.withColumn("letter", F.col("letters") - F.col("upper") - F.col("lower")).withColumn("other", F.col("chars") - F.col("letters") - F.col("number") - F.col("punct") - F.col("space")).drop("letters")
+    classed = out.withColumn("word_chars", F.col("chars") - F.col("space"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return classed.withColumn("base_failed", failed)
 
