@@ -15,6 +15,7 @@ their texts; a null doc_id comes first; a document longer than a block is one bl
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ from inkstone.llm.common import materialize
 
 END_ID = 2
 SCALE_BITS = 20
-LANES, STEPS, BLOCK_IDS = 512, 512, 1 << 20
+LANES, STEPS, BLOCK_IDS = 512, 512, 1 << 19
 #: Text bytes whose distinct pieces are encoded together, and pieces that each half of a worker's memory may hold.
-SLICE_BYTES, REMEMBERED = 8 << 20, 400_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 150_000
 MAGIC = b"IRB1"
 HEAD = struct.Struct("<4sIQIIII")
 _LOW = np.uint64(1 << 31)
@@ -165,13 +166,26 @@ def tokenizer_job(path: str):
     return run
 
 
+def _forget_tokenizers() -> None:
+    """A worker that tokenized before gives that memory back."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _forget_tokenizers()
     total = np.zeros(0, np.int64)
     for batch in batches:
-        joined = [unpack_ids(d.as_py(), n.as_py()) for d, n in zip(batch.column("ids"), batch.column("n_tokens"), strict=True)]
-        n = np.bincount(np.concatenate(joined)) if joined else total[:0]
-        total = np.r_[total, np.zeros(max(0, len(n) - len(total)), np.int64)]
-        total[: len(n)] += n
+        for d, k in zip(batch.column("ids"), batch.column("n_tokens"), strict=True):
+            ids = unpack_ids(d.as_py(), k.as_py())
+            top = int(ids.max()) + 1 if len(ids) else 0
+            if top > len(total):
+                total = np.r_[total, np.zeros(top - len(total), np.int64)]
+            if len(ids) * 16 > len(total):
+                total[:top] += np.bincount(ids)
+            else:
+                np.add.at(total, ids, 1)
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
@@ -209,23 +223,22 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     lanes = 1
     while lanes < LANES and lanes * 256 < n:
         lanes *= 2
-    rank = table.rank[ids]
-    freq, start = table.freq[rank], table.start[rank]
     state = np.full(lanes, _LOW, np.uint64)
-    limit = freq << np.uint64(63 - SCALE_BITS)
+    room = np.uint64(63 - SCALE_BITS)
     steps = -(-n // lanes)
     words, written, marks = [], 0, []
     for t in range(steps - 1, -1, -1):
         a, b = t * lanes, min(n, t * lanes + lanes)
-        x, f = state[: b - a], freq[a:b]
-        full = x >= limit[a:b]
+        rank = table.rank[ids[a:b]]
+        x, f = state[: b - a], table.freq[rank]
+        full = x >= f << room
         if full.any():
             out = x[full]
             words.append(out.astype(np.uint32))
             written += len(out)
             x = np.where(full, x >> np.uint64(32), x)
         q = x // f
-        state[: b - a] = (q << np.uint64(SCALE_BITS)) + (x - q * f) + start[a:b]
+        state[: b - a] = (q << np.uint64(SCALE_BITS)) + (x - q * f) + table.start[rank]
         if t % STEPS == 0:
             marks.append((written, state.copy()))
     marks = marks[::-1] or [(0, state)]
@@ -295,9 +308,10 @@ def block_job(table, block_ids: int = BLOCK_IDS):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
+        _forget_tokenizers()
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("part", "pos", "doc_id", "n_tokens", "ids")]
-            for p, pos, doc, n, ids in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("part", "pos", "doc_id", "n_tokens")]
+            for p, pos, doc, n, data in zip(*cols, batch.column("ids"), strict=True):
                 if docs and (p != part or pos != first + len(docs) or size + n > block_ids):
                     yield block()
                     docs, lengths, held, size = [], [], [], 0
@@ -305,7 +319,7 @@ def block_job(table, block_ids: int = BLOCK_IDS):
                     part, first = p, pos
                 docs.append(doc)
                 lengths.append(n)
-                held.append(unpack_ids(ids, n))
+                held.append(unpack_ids(data.as_py(), n))
                 size += n
         if docs:
             yield block()
