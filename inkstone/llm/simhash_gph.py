@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def shingle_hashes(text, width: int):
 
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row by row: hashes -> the fingerprint whose bits are set in over half of them."""
+    """Row by row: hashes -> the fingerprint whose bits are set in over half of them; other columns are carried."""
     for batch in batches:
         lists = batch.column("hashes")
         offsets = np.asarray(lists.offsets, dtype=np.int64)
@@ -65,7 +66,16 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(full):
             ones = (2 * counts[full] > n[full, None]).astype(np.uint8)
             out[full] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        carried = [c for c in batch.schema.names if c != "hashes"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out.view(np.int64))], names=[*carried, "fp"])
+
+
+def _sized_majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_majority with n, the number of hashes, which is cheaper to count here than to make the array twice."""
+    for batch in batches:
+        n = np.diff(np.asarray(batch.column("hashes").offsets)).astype(np.int32)
+        for out in _majority(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(n), out.columns[-1]], names=[*out.schema.names[:-1], "n", "fp"])
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -135,7 +145,7 @@ def allot(n: int, p: np.ndarray, parts: list[list[int]], distance: int) -> tuple
     for part in parts:
         chance, step = _within(p[part], most), {}
         for t in range(-1, most + 1):
-            keys = 0.0 if t < 0 else 1 + sum(len(list(combinations(range(len(part)), k))) / 2 for k in range(1, t + 1))
+            keys = 0.0 if t < 0 else 1 + sum(comb(len(part), k) / 2 for k in range(1, t + 1))
             cost = 0.0 if t < 0 else n * keys * ROW_COST + n * n / 2 * chance[t] * PAIR_COST
             for s, (c, ts) in best.items():
                 if s + t not in step or step[s + t][0] > c + cost:
@@ -157,7 +167,7 @@ def plan_parts(n: int, p: np.ndarray, corr: np.ndarray, distance: int) -> list[t
 def bucket_rows(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     """(part, key, probe, fp): each fingerprint under its own key of every part, and as a probe under the keys near it.
     Of the two directions of a flip only the one that raises the lowest flipped bit is emitted."""
-    rows = []
+    rows = []  # further columns of distinct are carried
     for number, (part, t) in enumerate(plan):
         key = F.lit(0).cast("long")
         for j, b in enumerate(part):
@@ -167,7 +177,7 @@ def bucket_rows(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataF
         if masks:
             raised = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("own").bitwiseAND(m.bitwiseAND(-m)) == 0)
             entries = F.concat(entries, F.transform(raised, lambda m: F.struct(F.col("own").bitwiseXOR(m).alias("key"), F.lit(1).alias("probe"))))
-        rows.append(distinct.select("fp", key.alias("own")).select(F.lit(number).alias("part"), "fp", F.explode(entries).alias("e")).select("part", "e.key", "e.probe", "fp"))
+        rows.append(distinct.withColumn("own", key).select(F.lit(number).alias("part"), *distinct.columns, F.explode(entries).alias("e")).select("part", "e.key", "e.probe", *distinct.columns))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
@@ -244,7 +254,7 @@ def spread_hot(rows: DataFrame, block: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, mine) * F.col("k") + F.greatest(j, mine))
     joined = rows.join(hot.withColumn("k", k).drop("n"), ["part", "key"], "left")
-    return joined.select("part", "key", "probe", "fp", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"))
+    return joined.select(*rows.columns, F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,7 +281,7 @@ def classes(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFra
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     n, p, corr = bit_statistics(distinct)
     plan = plan_parts(n, p, corr, distance)
-    rows = spread_hot(bucket_rows(distinct, plan), block)
+    rows = spread_hot(bucket_rows(distinct.select("fp"), plan), block)
     dealt = rows.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair", "probe", "fp")
     roots = components(dealt.mapInArrow(link_buckets(distance), "a long, b long"))
     named = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -292,3 +302,128 @@ def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) ->
     found = near_duplicates(docs, width, distance)
     gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+#: The pipeline's near duplicates: words of a shingle, shingle Jaccard from which two texts are near copies, and the bits within
+#: which a pair becomes a candidate. README has the share of pairs at 0.8 and above that these bits find.
+STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE = 5, 0.8, 14
+#: Pairs that a task holds before it passes them on.
+HELD_PAIRS = 1 << 16
+
+
+def candidate_pairs(distance: int, jaccard: float, every: bool):
+    """A mapInArrow function over rows sorted by bucket -> pairs a > b of units within distance bits whose sizes allow the
+    Jaccard. With every: all pairs of units of different labels; without: each row with its nearest earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def links(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            part, key, pair, probe, fp, unit, n, label = cols
+            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+            end = np.repeat(np.r_[first[1:], len(fp)], np.diff(np.r_[first, len(fp)]))
+            bits = fp.view(np.uint64)
+            best, mate = np.full(len(fp), distance + 1, np.int64), np.full(len(fp), -1, np.int64)
+            left, shift, held, count = np.flatnonzero((probe == 0) & (np.arange(len(fp)) + 1 < end)), 1, [], 0
+            while len(left):
+                off = np.bitwise_count(bits[left] ^ bits[left + shift])
+                near = np.flatnonzero(off <= distance)
+                if len(near):
+                    l, r, off = left[near], left[near] + shift, off[near]
+                    good = (np.minimum(n[l], n[r]) >= jaccard * np.maximum(n[l], n[r]) - 1e-9) & (unit[l] != unit[r])
+                    if every:
+                        good &= label[l] != label[r]
+                        held.append((unit[l[good]], unit[r[good]]))
+                        count += int(good.sum())
+                        if count > HELD_PAIRS:
+                            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                            held, count = [], 0
+                    else:
+                        good &= off < best[r]
+                        best[r[good]], mate[r[good]] = off[good], l[good]
+                shift += 1
+                left = left[left + shift < end[left]]
+            if every and count:
+                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            tied = np.flatnonzero(mate >= 0)
+            if len(tied):
+                yield out(unit[tied], unit[mate[tied]])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [np.asarray(batch.column(c)) for c in ("part", "key", "pair", "probe", "fp", "unit", "n", "label")]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            part, key, pair = held[:3]
+            new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+            if len(new):
+                yield from links([x[: new[-1]] for x in held])
+                held = [x[new[-1] :] for x in held]
+        if held is not None and len(held[0]):
+            yield from links(held)
+
+    return run
+
+
+def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, block: int = BLOCK) -> DataFrame:
+    """id, row_key, copies, root for the different rows of docs: root names the class of texts that are tied by shingle Jaccard
+    of jaccard or more, where the pairs looked at are those within distance bits. A unit is a text in lower case without
+    regard to white space. Pairs are found twice: first each unit's nearest, whose verified links tie dense groups without meeting all
+    their pairs; then every pair that is still of two classes."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("row_key"), words(lower_ascii(F.col("text"))).alias("w"), "text")
+    hashed = keyed.select("id", "row_key", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.array_distinct(shingle_hashes(F.col("text"), width)).alias("hashes"))
+    prints = materialize(hashed.mapInArrow(_sized_majority, "id long, row_key long, unit long, n int, fp long"), "near-prints")
+    rows = materialize(prints.groupBy("id", "row_key", "unit").agg(F.count(F.lit(1)).alias("copies")), "near-rows")
+    units = materialize(prints.groupBy("unit").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.min("row_key").alias("row_key")), "near-units")
+    n, p, corr = bit_statistics(units)
+    plan = plan_parts(max(n, 2), p, corr, distance)  # with no rows every plan would cost nothing, those of billions of probes too
+
+    def pairs(labelled: DataFrame, every: bool) -> DataFrame:
+        dealt = spread_hot(bucket_rows(labelled.select("fp", "unit", "n", "label"), plan), block).repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair", "probe", "fp", "unit")
+        return materialize(dealt.mapInArrow(candidate_pairs(distance, jaccard, every), "a long, b long").distinct(), "near-pairs")
+
+    def verified(found: DataFrame) -> DataFrame:
+        wanted = found.select(F.explode(F.array("a", "b")).alias("unit")).distinct().join(units.select("unit", "row_key"), "unit")
+        texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").select("unit", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
+        sets = materialize(texts.dropDuplicates(["unit"]), "near-shingles")
+        both = found.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
+        common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+        return materialize(common.where(F.col("common") >= F.lit(jaccard) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select("a", "b"), "near-links")
+
+    def named(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return units.join(roots, units["unit"] == roots["v"], "left").select(*units.columns, F.coalesce("root", "unit").alias("label"))
+
+    near = verified(pairs(units.withColumn("label", F.col("unit")), False))
+    labelled = materialize(named(near), "near-labels")
+    rest = verified(pairs(labelled, True))
+    classes_ = materialize(named(near.unionByName(rest)).select("unit", F.col("label").alias("root")), "near-classes")
+    return rows.join(classes_, "unit").select("id", "row_key", "copies", "root")
+
+
+def row_key(docs: DataFrame):
+    """A hash of all columns of a row, nulls and their places included."""
+    return F.xxhash64(*docs.columns, F.array(*[F.col(c).isNull() for c in docs.columns]))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, jaccard: float = STAGE_JACCARD, distance: int = STAGE_DISTANCE) -> DataFrame:
+    """Of every class of near copies one row: that with the smallest doc_id (none last), then the smallest hash of the row.
+    Rows that share a doc_id, or have none, are rows like any other; texts without a word are copies of each other. Columns are
+    those of docs."""
+    found = materialize(near_copies(docs, width, jaccard, distance), "near-rows-of-classes")
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row_key"))
+    first = found.groupBy(F.col("root").alias("class")).agg(F.min(place).alias("first"))
+    judged = materialize(found.join(first, found["root"] == first["class"]).select("id", "row_key", "copies", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row_key") == F.col("first.row_key"))).alias("stays")), "near-judged")
+    own = docs.withColumn("near_id__", F.col("doc_id").cast("long")).withColumn("near_key__", row_key(docs))
+
+    def pick(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col("id").alias("k_id"), F.col("row_key").alias("k_key"))
+        return df.join(k, df["near_id__"].eqNullSafe(k["k_id"]) & (df["near_key__"] == k["k_key"]), how)
+
+    kept = pick(own, judged.where("not stays"), "left_anti")
+    repeated = judged.where("stays and copies > 1")  # equal rows in every column
+    if not repeated.isEmpty():
+        kept = pick(kept, repeated, "left_anti").unionByName(pick(kept, repeated, "left_semi").dropDuplicates(["near_id__", "near_key__"]))
+    return kept.select(*docs.columns)

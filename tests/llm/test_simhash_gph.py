@@ -81,3 +81,35 @@ def test_representatives_and_empty_table(spark):
     assert [i for i in ids if i is not None and 1000 <= i < 1007] == [1000]
     assert None in ids and 2000 in ids and 2001 not in ids
     assert op.near_duplicates(frame(spark, [])).count() == 0
+
+
+def shingle_set(text, width=5):
+    ws = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} or ({tuple(ws)} if ws else set())
+
+
+def test_stage_keeps_one_row_of_each_class_by_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for k in range(4):  # one or two changed places: Jaccard of about 0.83 to 0.92 with the base
+            ws = list(base)
+            for p in rng.sample(range(10, 110), min(k, 2)):
+                ws[p] = f"x{rng.randrange(10**6)}"
+            rows.append((None if k == 3 else 5 if k == 2 else 10 * g + k, " ".join(ws), "en", "s", 1, 7, "x"))
+    rows += [rows[0], (None, None, "en", "s", 0, 7, "x"), (1, " ", "en", "s", 0, 7, "x"), (5, "quite another text under the same id", "en", "s", 0, 7, "x")]
+    sets = [shingle_set(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    kept = op.keep_one_of_each(frame(spark, rows)).collect()
+    classes = [root[next(i for i, r in enumerate(rows) if r == tuple(k))] for k in kept]
+    assert sorted(classes) == sorted(set(root))
+    for k, c in zip(kept, classes, strict=True):
+        ids = [rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None]
+        assert k.doc_id == (min(ids) if ids else None)
+    assert op.keep_one_of_each(frame(spark, [])).count() == 0
