@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import materialize, with_position, words
@@ -148,9 +148,29 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows that it doesn't take go, and so do rows without a word.
-    Rows that share a doc_id each get the rounded mean of their copies. Columns are those of docs."""
+    Of n rows equal in doc_id, source and size, extra are taken once more than the others, as mix() says: the first by a hash of
+    the row. Columns are those of docs."""
     columns = docs.columns
-    copies = decide(docs, **options).where("size > 0").groupBy("doc_id").agg(F.round(F.sum(F.col("n") * F.col("whole") + F.col("extra")) / F.sum("n")).cast("int").alias("copies__"))
-    copies = materialize(copies.where("copies__ > 0").withColumnRenamed("doc_id", "id__"), "mix-copies")
-    joined = docs.where(F.size(words(F.col("text"))) > 0).join(copies, F.col("doc_id").cast("long").eqNullSafe(copies["id__"]))
-    return joined.withColumn("copy__", F.explode(F.array_repeat(F.lit(0), F.col("copies__")))).select(*columns)
+    units = decide(docs, **options).where("size > 0 and whole * n + extra > 0")
+    each = F.col("whole") + F.when(F.col("extra") >= F.col("n"), 1).otherwise(0)
+    units = materialize(units.select(F.col("doc_id").alias("id__"), F.col("source").alias("source__"), F.col("size").alias("size__"), "whole", "extra", each.alias("each"), ((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).alias("uneven")), "mix-copies")
+    keyed = docs.withColumn("mix_id__", F.col("doc_id").cast("long")).withColumn("mix_source__", F.col("source").cast("string")).withColumn("mix_size__", F.size(words(F.col("text"))).cast("long")).where("mix_size__ > 0")
+
+    def join(table: DataFrame) -> DataFrame:
+        return keyed.join(table, keyed["mix_id__"].eqNullSafe(table["id__"]) & keyed["mix_source__"].eqNullSafe(table["source__"]) & (keyed["mix_size__"] == table["size__"]))
+
+    def repeat(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.withColumn("copy__", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
+
+    out = repeat(join(units.where("not uneven and each > 0").select("id__", "source__", "size__", F.col("each").alias("each__"))), F.col("each__"))
+    uneven = units.where("uneven")
+    if uneven.isEmpty():
+        return out
+    # Equal rows are numbered in ranges of a hash of the row, so that a group of any size is cut into pieces.
+    key = ["mix_id__", "mix_source__", "mix_size__"]
+    rows = join(uneven.select("id__", "source__", "size__", F.col("whole").alias("whole__"), F.col("extra").alias("extra__"))).drop("id__", "source__", "size__")
+    rows = rows.withColumn("hash__", F.xxhash64(*columns)).withColumn("tie__", F.rand(SEED))
+    numbered = materialize(with_position(rows, [*key, "hash__", "tie__"], "place__", "mix-uneven"), "mix-numbered")
+    firsts = numbered.groupBy(*[F.col(c).alias(f"{c}f") for c in key]).agg(F.min("place__").alias("first__"))
+    same = numbered["mix_id__"].eqNullSafe(firsts["mix_id__f"]) & numbered["mix_source__"].eqNullSafe(firsts["mix_source__f"]) & (numbered["mix_size__"] == firsts["mix_size__f"])
+    return out.unionByName(repeat(numbered.join(firsts, same), F.col("whole__") + (F.col("place__") - F.col("first__") < F.col("extra__")).cast("long")))

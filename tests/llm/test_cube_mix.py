@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from inkstone.llm import cube_mix as op
@@ -69,3 +71,18 @@ def test_applied_mix_repeats_rows_and_keeps_columns(spark):
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert {k: v for k, v in seen.items() if k != 2004} == {k: v for k, v in taken.items() if v}
     assert op.mix(frame(spark, [])).count() == 0
+
+
+def test_applied_mix_takes_what_mix_takes_with_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, r[1], r[2], f"s{i % 5}", *r[4:]) for i, r in enumerate(documents(n=400)) if r[1] and r[1].strip()]
+    df = frame(spark, rows + rows[:1] * 5)
+    taken, wanted, longest = {}, {}, {}
+    for r in op.apply_mix(df).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    for r in op.mix(df).collect():
+        wanted[r.source], longest[r.source] = r.target, max(longest.get(r.source, 0), r.size)
+    mixed = {}
+    for r in op.mix(df).collect():
+        mixed[r.source] = mixed.get(r.source, 0) + r.taken
+    assert {s: n for s, n in mixed.items() if n} == taken
+    assert all(abs(taken.get(s, 0) - wanted[s]) <= longest[s] for s in wanted)
