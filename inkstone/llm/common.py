@@ -36,6 +36,28 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many marks behind it as make it none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls and their places included; columns that hold maps by their text."""
+    cols = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*cols, F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns]))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize made and that nothing will read again."""
+    context = tables[0].sparkSession.sparkContext
+    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -54,14 +76,13 @@ def let(value: Column, body) -> Column:
 def with_position(df: DataFrame, order: list[str], position: str, label: str) -> DataFrame:
     """Number all rows 0, 1, ... by the order columns (nulls first) without gathering them: ranges are numbered
     in parallel and then shifted by the sizes of the ranges before them. Ties are numbered in any order."""
+    seq, part, before = (unused(n, [*df.columns, position]) for n in ("seq", "part", "before"))
     keys = [F.col(c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("seq__", F.monotonically_increasing_id())
-    numbered = materialize(ranged, label)
-    part = F.shiftright("seq__", 33)
-    sizes = numbered.groupBy(part.alias("part__")).agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part__", (F.sum("n").over(Window.orderBy("part__")) - F.col("n")).alias("before__"))  # one row for each range
-    own = numbered.withColumn("part__", part).join(F.broadcast(starts), "part__")
-    return own.withColumn(position, F.col("before__") + F.col("seq__").bitwiseAND(F.lit((1 << 33) - 1))).drop("part__", "seq__", "before__")
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(seq, F.monotonically_increasing_id())
+    numbered = materialize(ranged, label).withColumn(part, F.shiftright(seq, 33))
+    sizes = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))  # one row for each range
+    return numbered.join(F.broadcast(starts), part).withColumn(position, F.col(before) + F.col(seq).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, seq, before)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

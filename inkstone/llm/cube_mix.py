@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import materialize, with_position, words
+from inkstone.llm.common import materialize, row_key, unused, with_position, words
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 11
 #: Documents that fly together in one task's chunk.
@@ -149,28 +149,32 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows that it doesn't take go, and so do rows without a word.
     Of n rows equal in doc_id, source and size, extra are taken once more than the others, as mix() says: the first by a hash of
-    the row. Columns are those of docs."""
-    columns = docs.columns
+    the row. Columns are those of docs; names for working columns are chosen so that they clash with none of them."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names = ("mix_id", "mix_source", "mix_size", "mix_copies", "mix_extra", "mix_hash", "mix_tie", "mix_place", "mix_first")
+    id_, source, size, copies, extra, hash_, tie, place, first = (unused(n, docs.columns) for n in names)
+    key = [id_, source, size]
     units = decide(docs, **options).where("size > 0 and whole * n + extra > 0")
     each = F.col("whole") + F.when(F.col("extra") >= F.col("n"), 1).otherwise(0)
-    units = materialize(units.select(F.col("doc_id").alias("id__"), F.col("source").alias("source__"), F.col("size").alias("size__"), "whole", "extra", each.alias("each"), ((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).alias("uneven")), "mix-copies")
-    keyed = docs.withColumn("mix_id__", F.col("doc_id").cast("long")).withColumn("mix_source__", F.col("source").cast("string")).withColumn("mix_size__", F.size(words(F.col("text"))).cast("long")).where("mix_size__ > 0")
+    uneven = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    units = materialize(units.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), "whole", F.col("extra").alias(extra), each.alias(copies), uneven.alias("uneven")), "mix-copies")
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(source, F.col("source").cast("string")).withColumn(size, F.size(words(F.col("text"))).cast("long")).where(F.col(size) > 0)
 
-    def join(table: DataFrame) -> DataFrame:
-        return keyed.join(table, keyed["mix_id__"].eqNullSafe(table["id__"]) & keyed["mix_source__"].eqNullSafe(table["source__"]) & (keyed["mix_size__"] == table["size__"]))
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Null-safe on the key; the units are the hashed side at every size, as the texts are the larger one at every size."""
+        same = [left[c].eqNullSafe(right[c]) for c in key]
+        return left.join(right.hint("shuffle_hash"), same[0] & same[1] & same[2]).drop(*[right[c] for c in key])
 
-    def repeat(rows: DataFrame, copies: Column) -> DataFrame:
-        return rows.withColumn("copy__", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*columns)
+    def repeat(rows: DataFrame, n: Column) -> DataFrame:
+        return rows.withColumn(place, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*columns)
 
-    out = repeat(join(units.where("not uneven and each > 0").select("id__", "source__", "size__", F.col("each").alias("each__"))), F.col("each__"))
-    uneven = units.where("uneven")
-    if uneven.isEmpty():
+    out = repeat(join(keyed, units.where(~F.col("uneven") & (F.col(copies) > 0)).select(*key, copies)), F.col(copies))
+    ragged = units.where("uneven")
+    if ragged.isEmpty():
         return out
     # Equal rows are numbered in ranges of a hash of the row, so that a group of any size is cut into pieces.
-    key = ["mix_id__", "mix_source__", "mix_size__"]
-    rows = join(uneven.select("id__", "source__", "size__", F.col("whole").alias("whole__"), F.col("extra").alias("extra__"))).drop("id__", "source__", "size__")
-    rows = rows.withColumn("hash__", F.xxhash64(*columns)).withColumn("tie__", F.rand(SEED))
-    numbered = materialize(with_position(rows, [*key, "hash__", "tie__"], "place__", "mix-uneven"), "mix-numbered")
-    firsts = numbered.groupBy(*[F.col(c).alias(f"{c}f") for c in key]).agg(F.min("place__").alias("first__"))
-    same = numbered["mix_id__"].eqNullSafe(firsts["mix_id__f"]) & numbered["mix_source__"].eqNullSafe(firsts["mix_source__f"]) & (numbered["mix_size__"] == firsts["mix_size__f"])
-    return out.unionByName(repeat(numbered.join(firsts, same), F.col("whole__") + (F.col("place__") - F.col("first__") < F.col("extra__")).cast("long")))
+    rows = join(keyed, ragged.select(*key, F.col("whole").alias(copies), extra))
+    rows = rows.withColumn(hash_, row_key(docs)).withColumn(tie, F.rand(SEED))
+    numbered = materialize(with_position(rows, [*key, hash_, tie], place, "mix-uneven"), "mix-numbered")
+    firsts = materialize(numbered.groupBy(*key).agg(F.min(place).alias(first)), "mix-firsts")
+    return out.unionByName(repeat(join(numbered, firsts), F.col(copies) + (F.col(place) - F.col(first) < F.col(extra)).cast("long")))

@@ -15,20 +15,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, inf
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import let, lower_ascii, materialize, words
+from inkstone.llm.common import discard, let, lower_ascii, materialize, row_key, unused, words
 
 BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks and every pair of blocks is compared.
 BLOCK = 4096
-#: Relative costs of one bucket row and of one compared pair, for the allotment.
-ROW_COST, PAIR_COST = 100.0, 1.0
+#: Relative costs of one bucket row and of one compared pair, for the allotment, and fingerprints whose pairs it is estimated from.
+ROW_COST, PAIR_COST, SAMPLE = 100.0, 1.0, 1024
+NO_SAMPLE = np.zeros(0, np.uint64)
 
 
 def shingle_hashes(text, width: int):
@@ -42,46 +43,57 @@ def shingle_hashes(text, width: int):
     )
 
 
-def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Row by row: hashes -> the fingerprint whose bits are set in over half of them; other columns are carried."""
-    for batch in batches:
-        lists = batch.column("hashes")
-        offsets = np.asarray(lists.offsets, dtype=np.int64)
-        values = np.asarray(lists.values, dtype=np.int64).view(np.uint64)
-        out = np.zeros(len(lists), np.uint64)
-        n = np.diff(offsets)
-        full = np.flatnonzero(n)
-        step = 1 << 15
-        counts = np.zeros((len(lists), BITS), np.int64)
-        first, last = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
-        for at in range(first, last, step):
-            end = min(at + step, last)
-            bits = np.unpackbits(values[at:end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            lo = int(np.searchsorted(offsets[1:], at, side="right"))
-            hi = int(np.searchsorted(offsets[:-1], end, side="left"))
-            rows = np.arange(lo, hi)
-            rows = rows[n[rows] > 0]
-            starts = np.maximum(offsets[rows], at) - at
-            counts[rows] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        if len(full):
-            ones = (2 * counts[full] > n[full, None]).astype(np.uint8)
-            out[full] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
-        carried = [c for c in batch.schema.names if c != "hashes"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out.view(np.int64))], names=[*carried, "fp"])
-
-
-def _sized_majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_majority with n, the number of hashes, which is cheaper to count here than to make the array twice."""
-    for batch in batches:
-        n = np.diff(np.asarray(batch.column("hashes").offsets)).astype(np.int32)
-        for out in _majority(iter([batch])):
-            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(n), out.columns[-1]], names=[*out.schema.names[:-1], "n", "fp"])
+def _majority_bits(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each run of hashes the word whose bits are set in over half of them; zero for an empty run."""
+    n = np.diff(offsets)
+    out = np.zeros(len(n), np.uint64)
+    full, step = np.flatnonzero(n), 1 << 15
+    counts = np.zeros((len(n), BITS), np.int64)
+    first, last = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
+    for at in range(first, last, step):
+        end = min(at + step, last)
+        bits = np.unpackbits(values[at:end].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        lo = int(np.searchsorted(offsets[1:], at, side="right"))
+        hi = int(np.searchsorted(offsets[:-1], end, side="left"))
+        rows = np.arange(lo, hi)
+        rows = rows[n[rows] > 0]
+        starts = np.maximum(offsets[rows], at) - at
+        counts[rows] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    if len(full):
+        ones = (2 * counts[full] > n[full, None]).astype(np.uint8)
+        out[full] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def _remix(h: np.ndarray) -> np.ndarray:
+    """A second hash of each hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(more: bool):
+    """A mapInArrow function: hashes -> fp, other columns are carried; with more also n, the number of hashes, and fp2, the
+    fingerprint of the remixed hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            offsets, values = np.asarray(lists.offsets, dtype=np.int64), np.asarray(lists.values, dtype=np.int64).view(np.uint64)
+            out = {c: batch.column(c) for c in batch.schema.names if c != "hashes"}
+            out["fp"] = pa.array(_majority_bits(values, offsets).view(np.int64))
+            if more:
+                out["n"] = pa.array(np.diff(offsets).astype(np.int32))
+                out["fp2"] = pa.array(_majority_bits(_remix(values), offsets).view(np.int64))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return run
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and 64-bit SimHash (as a signed long) of every row of docs(doc_id, text)."""
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text"), width).alias("hashes"))
-    return hashed.mapInArrow(_majority, "doc_id long, fp long")
+    return hashed.mapInArrow(majority(False), "doc_id long, fp long")
 
 
 def _co_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +141,7 @@ def correlated_parts(corr: np.ndarray, m: int) -> list[list[int]]:
 
 
 def _within(p: np.ndarray, most: int) -> np.ndarray:
-    """Chance that a random pair differs in at most 0, 1, ... most of the given bits."""
+    """Chance that a random pair differs in at most 0, 1, ... most of the given bits, were they independent."""
     dist = np.zeros(most + 1)
     dist[0] = 1
     for q in 2 * p * (1 - p):
@@ -138,32 +150,52 @@ def _within(p: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(dist)
 
 
-def allot(n: int, p: np.ndarray, parts: list[list[int]], distance: int) -> tuple[float, list[int]]:
+def pair_chances(p: np.ndarray, part: list[int], most: int, sample: np.ndarray) -> np.ndarray:
+    """Chance that a pair differs in at most 0, 1, ... most bits of a part: the share among all pairs of the sampled
+    fingerprints, which sees how the part's bits go together, or what independent bits give if that is more."""
+    chance = _within(p[part], most)
+    if len(sample) > 1:
+        own = sample & np.uint64(sum(1 << b for b in part))
+        seen = np.zeros(most + 1)
+        for i in range(0, len(own), 256):
+            seen += np.bincount(np.minimum(np.bitwise_count(own[i : i + 256, None] ^ own[None, :]).ravel(), most + 1), minlength=most + 2)[: most + 1]
+        seen[0] -= len(own)  # pairs with itself
+        chance = np.maximum(chance, np.cumsum(seen) / (len(own) * (len(own) - 1)))
+    return np.minimum(chance, 1.0)
+
+
+def allot(n: int, p: np.ndarray, parts: list[list[int]], distance: int, sample: np.ndarray = NO_SAMPLE, row_cost: float = ROW_COST) -> tuple[float, list[int]]:
     """Cheapest thresholds for the parts, summing to distance - parts + 1, by dynamic programming over the running sum."""
     need, most = distance - len(parts) + 1, distance
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for part in parts:
-        chance, step = _within(p[part], most), {}
-        for t in range(-1, most + 1):
+        chance, step = pair_chances(p, part, most, sample), {}
+        for t in range(-1, min(most, len(part) - 1) + 1):  # with a threshold of all its bits a part would tell nothing apart
             keys = 0.0 if t < 0 else 1 + sum(comb(len(part), k) / 2 for k in range(1, t + 1))
-            cost = 0.0 if t < 0 else n * keys * ROW_COST + n * n / 2 * chance[t] * PAIR_COST
+            cost = 0.0 if t < 0 else n * keys * row_cost + n * n / 2 * chance[t] * PAIR_COST
             for s, (c, ts) in best.items():
                 if s + t not in step or step[s + t][0] > c + cost:
                     step[s + t] = (c + cost, [*ts, t])
         best = step
-    return best[need]
+    return best.get(need, (inf, []))
 
 
-def plan_parts(n: int, p: np.ndarray, corr: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
+def plan_parts(n: int, p: np.ndarray, corr: np.ndarray, distance: int, sample: np.ndarray = NO_SAMPLE, row_cost: float = ROW_COST) -> list[tuple[list[int], int]]:
     """Parts and thresholds of the cheapest plan among 2 to distance + 1 parts; parts with threshold -1 are left out."""
     plans = []
     for m in range(min(2, distance + 1), distance + 2):
         parts = correlated_parts(corr, m)
-        cost, ts = allot(n, p, parts, distance)
+        cost, ts = allot(n, p, parts, distance, sample, row_cost)
         plans.append((cost, m, [(part, t) for part, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(plans, key=lambda x: x[:2])[2]
 
 
+def sampled_prints(distinct: DataFrame) -> np.ndarray:
+    """At most SAMPLE fingerprints, the first by a hash: plans are estimated from their pairs, results don't depend on them."""
+    rows = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    return np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+
+
 def bucket_rows(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     """(part, key, probe, fp): each fingerprint under its own key of every part, and as a probe under the keys near it.
     Of the two directions of a flip only the one that raises the lowest flipped bit is emitted."""
@@ -259,12 +291,13 @@ def spread_hot(rows: DataFrame, block: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges(a, b): root is the smallest vertex of its component. Alternates large-star and
-    small-star steps, each of which only ties vertices to smaller neighbours, until the edges stop changing."""
+    small-star steps, each of which only ties vertices to smaller neighbours, until the edges stop changing. The minima of large-star are
+    written before they are joined, so that the join of a vertex with very many edges can be split."""
     own = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
     seen = None
     while True:
         both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("s"), "m").select(F.col("s.x").alias("a"), F.col("m").alias("b"))
@@ -280,12 +313,12 @@ def classes(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFra
     distance bits or fewer, the row's own included."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     n, p, corr = bit_statistics(distinct)
-    plan = plan_parts(n, p, corr, distance)
+    plan = plan_parts(max(n, 2), p, corr, distance, sampled_prints(distinct))  # with no rows every plan would cost nothing
     rows = spread_hot(bucket_rows(distinct.select("fp"), plan), block)
     dealt = rows.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair", "probe", "fp")
     roots = components(dealt.mapInArrow(link_buckets(distance), "a long, b long"))
-    named = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = materialize(distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
     ids = materialize(named.join(lows, "root").select("fp", "component_id"), "simhash-ids")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
@@ -297,133 +330,206 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is their class's smallest; of rows that share that doc_id, all stay. Rows without a
-    doc_id stay. Columns are those of docs."""
+    """The rows of docs whose doc_id is their fingerprint class's smallest; of rows that share that doc_id, all stay. Rows
+    without a doc_id stay. Columns are those of docs."""
+    key = unused("gone_id", docs.columns)
     found = near_duplicates(docs, width, distance)
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct(), "simhash-gone")
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
 
 
 #: The pipeline's near duplicates: words of a shingle, shingle Jaccard from which two texts are near copies, and the bits within
-#: which a pair becomes a candidate. README has the share of pairs at 0.8 and above that these bits find.
-STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE = 5, 0.8, 14
-#: Pairs that a task holds before it passes them on.
-HELD_PAIRS = 1 << 16
+#: which a pair becomes a candidate: STAGE_DISTANCE of the 64 that are searched, STAGE_BOTH of these and the 64 remixed ones. README has the
+#: share of pairs at 0.8 and above that these bits find.
+STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 36
+#: Here a bucket row costs so many compared pairs; buckets are cut beyond STAGE_BLOCK rows; tiles have TILE pairs, and buckets of up to SMALL rows are
+#: compared side by side. A task passes pairs on when it holds HELD_PAIRS.
+STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 2000.0, 1 << 16, 1 << 18, 48, 1 << 16
+#: Columns of a bucket row: bucket number with the lowest bit set for a probe, the pair of blocks, both fingerprints, the unit,
+#: its number of shingles and its label.
+BUCKET = ("bucket", "pair", "fp", "fp2", "unit", "n", "label")
+
+
+def near_in_buckets(cols: list[np.ndarray], distance: int, both: int, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows sorted by bucket, probes last: positions of pairs of different units in one bucket, at least one of them no
+    probe, within the distances and with sizes that allow the Jaccard; and their distance."""
+    bucket, pair, fp, fp2, unit, n, _ = cols
+    key = bucket >> 1
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+    last = np.r_[first[1:], len(fp)]
+    own = np.add.reduceat(1 - (bucket & 1), first)  # rows that are no probes
+    fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+
+    def passed(l: np.ndarray, r: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        off = off + np.bitwise_count(fp2[l] ^ fp2[r])
+        good = (off <= both) & (unit[l] != unit[r]) & (np.minimum(n[l], n[r]) >= jaccard * np.maximum(n[l], n[r]) - 1e-9)
+        return l[good], r[good], off[good]
+
+    small = last - first <= SMALL
+    end = np.repeat(last, last - first)
+    left, shift = np.flatnonzero(np.repeat(small, last - first) & (bucket & 1 == 0) & (np.arange(len(fp)) + 1 < end)), 1
+    while len(left):
+        off = np.bitwise_count(fp[left] ^ fp[left + shift])
+        near = np.flatnonzero(off <= distance)
+        if len(near):
+            yield passed(left[near], left[near] + shift, off[near].astype(np.int64))
+        shift += 1
+        left = left[left + shift < end[left]]
+    for a, b, k in zip(first[~small], last[~small], own[~small], strict=True):
+        step = max(1, TILE // int(b - a))
+        for at in range(int(a), int(a + k), step):
+            to = min(at + step, int(a + k))
+            off = np.bitwise_count(fp[at:to, None] ^ fp[None, at:b])
+            near = np.flatnonzero(off <= distance)
+            if len(near):
+                yield passed(at + near // (int(b) - at), at + near % (int(b) - at), off.ravel()[near].astype(np.int64))
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by bucket, cut where a bucket ends."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [np.asarray(batch.column(c)) for c in BUCKET]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        key, pair = held[0] >> 1, held[1]
+        new = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+        if len(new):
+            yield [x[: new[-1]] for x in held]
+            held = [x[new[-1] :] for x in held]
+    if held is not None and len(held[0]):
+        yield held
 
 
-def candidate_pairs(distance: int, jaccard: float, every: bool):
-    """A mapInArrow function over rows sorted by bucket -> pairs a > b of units within distance bits whose sizes allow the
-    Jaccard. With every: all pairs of units of different labels; without: each row with its nearest earlier one."""
+def nearest_earlier(distance: int, both: int, jaccard: float):
+    """A mapInArrow function over sorted bucket rows -> (unit, off, mate): of every unit with a near one its nearest smaller
+    unit, or null if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for cols in _whole_buckets(batches):
+            unit = cols[4]
+            best, mate, paired = np.full(len(unit), 1 << 20), np.zeros(len(unit), np.int64), np.zeros(len(unit), bool)
+            for l, r, off in near_in_buckets(cols, distance, both, jaccard):
+                later, early = np.where(unit[l] > unit[r], l, r), np.where(unit[l] > unit[r], r, l)
+                paired[early] = True
+                order = np.lexsort((unit[early], off, later))
+                head = order[np.flatnonzero(np.diff(later[order], prepend=-1))]
+                closer = head[off[head] < best[later[head]]]
+                best[later[closer]], mate[later[closer]] = off[closer], unit[early[closer]]
+            rows = np.flatnonzero(paired | (best < 1 << 20))
+            if len(rows):
+                some = best[rows] < 1 << 20
+                yield pa.RecordBatch.from_arrays([pa.array(unit[rows]), pa.array(best[rows]), pa.array(mate[rows], mask=~some)], names=["unit", "off", "mate"])
 
-        def links(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            part, key, pair, probe, fp, unit, n, label = cols
-            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-            end = np.repeat(np.r_[first[1:], len(fp)], np.diff(np.r_[first, len(fp)]))
-            bits = fp.view(np.uint64)
-            best, mate = np.full(len(fp), distance + 1, np.int64), np.full(len(fp), -1, np.int64)
-            left, shift, held, count = np.flatnonzero((probe == 0) & (np.arange(len(fp)) + 1 < end)), 1, [], 0
-            while len(left):
-                off = np.bitwise_count(bits[left] ^ bits[left + shift])
-                near = np.flatnonzero(off <= distance)
-                if len(near):
-                    l, r, off = left[near], left[near] + shift, off[near]
-                    good = (np.minimum(n[l], n[r]) >= jaccard * np.maximum(n[l], n[r]) - 1e-9) & (unit[l] != unit[r])
-                    if every:
-                        good &= label[l] != label[r]
-                        held.append((unit[l[good]], unit[r[good]]))
-                        count += int(good.sum())
-                        if count > HELD_PAIRS:
-                            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                            held, count = [], 0
-                    else:
-                        good &= off < best[r]
-                        best[r[good]], mate[r[good]] = off[good], l[good]
-                shift += 1
-                left = left[left + shift < end[left]]
-            if every and count:
-                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            tied = np.flatnonzero(mate >= 0)
-            if len(tied):
-                yield out(unit[tied], unit[mate[tied]])
+    return run
 
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [np.asarray(batch.column(c)) for c in ("part", "key", "pair", "probe", "fp", "unit", "n", "label")]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            part, key, pair = held[:3]
-            new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-            if len(new):
-                yield from links([x[: new[-1]] for x in held])
-                held = [x[new[-1] :] for x in held]
-        if held is not None and len(held[0]):
-            yield from links(held)
+
+def open_pairs(distance: int, both: int, jaccard: float):
+    """A mapInArrow function over sorted bucket rows -> pairs a > b of near units with different labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        held, count = [], 0
+        for cols in _whole_buckets(batches):
+            unit, label = cols[4], cols[6]
+            for l, r, _ in near_in_buckets(cols, distance, both, jaccard):
+                apart = label[l] != label[r]
+                x, y = unit[l[apart]], unit[r[apart]]
+                held.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
+                count += len(x)
+                if count > HELD_PAIRS:
+                    yield out(held)
+                    held, count = [], 0
+        if count:
+            yield out(held)
 
     return run
 
 
-def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, block: int = BLOCK) -> DataFrame:
+def sorted_buckets(units: DataFrame, plan: list[tuple[list[int], int]], block: int) -> DataFrame:
+    """BUCKET rows of units(fp, fp2, unit, n, label), dealt out and sorted by bucket: each unit under its own key of every part,
+    and as a probe under the keys near it. Of the two directions of a flip only the one that raises the lowest flipped bit is made."""
+
+    def bits(part: list[int]):
+        key = F.lit(0).cast("long")
+        for j, b in enumerate(part):
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col("fp"), b).bitwiseAND(F.lit(1).cast("long")), j))
+        return key
+
+    def entries(number: int, part: list[int], t: int) -> list:
+        own, base = F.col(f"key{number}"), F.lit(number << 40).cast("long")
+        masks = [sum(1 << j for j in flip) for k in range(1, t + 1) for flip in combinations(range(len(part)), k)]
+        raised = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: own.bitwiseAND(m.bitwiseAND(-m)) == 0)
+        probes = F.transform(raised, lambda m: base + F.shiftleft(own.bitwiseXOR(m), 1) + F.lit(1))
+        return [F.array(base + F.shiftleft(own, 1)), *([probes] if masks else [])]
+
+    keyed = units.select("*", *[bits(part).alias(f"key{number}") for number, (part, _) in enumerate(plan)])
+    every = [e for number, (part, t) in enumerate(plan) for e in entries(number, part, t)]
+    rows = keyed.select(F.explode(F.concat(*every)).alias("bucket"), "fp", "fp2", "unit", "n", "label")
+    key = F.shiftright("bucket", 1)
+    hot = materialize(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block), "near-hot")
+    cut = hot.select("key", F.ceil(F.col("rows") / F.lit(block // 2)).cast("int").alias("k"))
+    mine = F.pmod(F.xxhash64("unit"), F.col("k")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, mine) * F.col("k") + F.greatest(j, mine))
+    joined = rows.withColumn("key", key).join(cut, "key", "left")
+    dealt = joined.select("bucket", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"), "fp", "fp2", "unit", "n", "label")
+    return dealt.repartition(F.shiftright("bucket", 1), "pair").sortWithinPartitions("pair", "bucket")
+
+
+def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both: int, block: int = STAGE_BLOCK) -> DataFrame:
     """id, row_key, copies, root for the different rows of docs: root names the class of texts that are tied by shingle Jaccard
-    of jaccard or more, where the pairs looked at are those within distance bits. A unit is a text in lower case without
-    regard to white space. Pairs are found twice: first each unit's nearest, whose verified links tie dense groups without meeting all
-    their pairs; then every pair that is still of two classes."""
+    of jaccard or more, where the pairs looked at are those within the distances. A unit is a text in lower case without
+    regard to white space. First each unit's nearest smaller one is found, whose verified links tie dense groups without all
+    their pairs; then, among units that have a near one, every pair that is still of two classes."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("row_key"), words(lower_ascii(F.col("text"))).alias("w"), "text")
     hashed = keyed.select("id", "row_key", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.array_distinct(shingle_hashes(F.col("text"), width)).alias("hashes"))
-    prints = materialize(hashed.mapInArrow(_sized_majority, "id long, row_key long, unit long, n int, fp long"), "near-prints")
+    prints = materialize(hashed.mapInArrow(majority(True), "id long, row_key long, unit long, fp long, n int, fp2 long"), "near-prints")
     rows = materialize(prints.groupBy("id", "row_key", "unit").agg(F.count(F.lit(1)).alias("copies")), "near-rows")
-    units = materialize(prints.groupBy("unit").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.min("row_key").alias("row_key")), "near-units")
+    units = materialize(prints.groupBy("unit").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.max("n").alias("n"), F.min("row_key").alias("row_key")), "near-units")
     n, p, corr = bit_statistics(units)
-    plan = plan_parts(max(n, 2), p, corr, distance)  # with no rows every plan would cost nothing, those of billions of probes too
+    plan = plan_parts(max(n, 2), p, corr, distance, sampled_prints(units), STAGE_ROW_COST)
 
-    def pairs(labelled: DataFrame, every: bool) -> DataFrame:
-        dealt = spread_hot(bucket_rows(labelled.select("fp", "unit", "n", "label"), plan), block).repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair", "probe", "fp", "unit")
-        return materialize(dealt.mapInArrow(candidate_pairs(distance, jaccard, every), "a long, b long").distinct(), "near-pairs")
+    found = sorted_buckets(units.withColumn("label", F.col("unit")), plan, block).mapInArrow(nearest_earlier(distance, both, jaccard), "unit long, off long, mate long")
+    nearest = F.min(F.when(F.col("mate").isNotNull(), F.struct("off", "mate")))
+    paired = materialize(found.groupBy("unit").agg(nearest["mate"].alias("mate")), "near-paired")
+    wanted = units.join(paired.select("unit"), "unit", "left_semi").select("unit", "row_key").hint("shuffle_hash")  # alike at every size
+    texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").select("unit", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
+    sets = materialize(texts.dropDuplicates(["unit"]), "near-shingles")
 
     def verified(found: DataFrame) -> DataFrame:
-        wanted = found.select(F.explode(F.array("a", "b")).alias("unit")).distinct().join(units.select("unit", "row_key"), "unit")
-        texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").select("unit", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
-        sets = materialize(texts.dropDuplicates(["unit"]), "near-shingles")
-        both = found.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
-        common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+        both_sets = found.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
+        common = both_sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
         return materialize(common.where(F.col("common") >= F.lit(jaccard) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select("a", "b"), "near-links")
 
-    def named(links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return units.join(roots, units["unit"] == roots["v"], "left").select(*units.columns, F.coalesce("root", "unit").alias("label"))
-
-    near = verified(pairs(units.withColumn("label", F.col("unit")), False))
-    labelled = materialize(named(near), "near-labels")
-    rest = verified(pairs(labelled, True))
-    classes_ = materialize(named(near.unionByName(rest)).select("unit", F.col("label").alias("root")), "near-classes")
-    return rows.join(classes_, "unit").select("id", "row_key", "copies", "root")
-
-
-def row_key(docs: DataFrame):
-    """A hash of all columns of a row, nulls and their places included."""
-    return F.xxhash64(*docs.columns, F.array(*[F.col(c).isNull() for c in docs.columns]))
+    near = verified(paired.where("mate is not null").select(F.col("unit").alias("a"), F.col("mate").alias("b")))
+    roots = components(near)
+    labelled = materialize(units.join(paired.select("unit"), "unit", "left_semi").join(roots, F.col("unit") == F.col("v"), "left").select("fp", "fp2", "unit", "n", F.coalesce("root", "unit").alias("label")), "near-labels")
+    rest = verified(materialize(sorted_buckets(labelled, plan, block).mapInArrow(open_pairs(distance, both, jaccard), "a long, b long").distinct(), "near-pairs"))
+    roots = components(near.unionByName(rest))
+    discard(sets, prints)
+    named = rows.join(roots, rows["unit"] == roots["v"], "left")
+    return named.select("id", "row_key", "copies", F.coalesce("root", "unit").alias("root"))
 
 
-def keep_one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, jaccard: float = STAGE_JACCARD, distance: int = STAGE_DISTANCE) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, jaccard: float = STAGE_JACCARD, distance: int = STAGE_DISTANCE, both: int = STAGE_BOTH) -> DataFrame:
     """Of every class of near copies one row: that with the smallest doc_id (none last), then the smallest hash of the row.
     Rows that share a doc_id, or have none, are rows like any other; texts without a word are copies of each other. Columns are
     those of docs."""
-    found = materialize(near_copies(docs, width, jaccard, distance), "near-rows-of-classes")
+    found = materialize(near_copies(docs, width, jaccard, distance, both), "near-rows-of-classes")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row_key"))
-    first = found.groupBy(F.col("root").alias("class")).agg(F.min(place).alias("first"))
-    judged = materialize(found.join(first, found["root"] == first["class"]).select("id", "row_key", "copies", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row_key") == F.col("first.row_key"))).alias("stays")), "near-judged")
-    own = docs.withColumn("near_id__", F.col("doc_id").cast("long")).withColumn("near_key__", row_key(docs))
+    first = materialize(found.groupBy(F.col("root").alias("class")).agg(F.min(place).alias("first")), "near-firsts")
+    stays = F.col("row_key") == F.col("first.row_key")
+    judged = materialize(found.join(first, found["root"] == first["class"]).select("row_key", "copies", stays.alias("stays")), "near-judged")
+    key = unused("near_key", docs.columns)
+    own = docs.withColumn(key, row_key(docs))
 
     def pick(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        k = keys.select(F.col("id").alias("k_id"), F.col("row_key").alias("k_key"))
-        return df.join(k, df["near_id__"].eqNullSafe(k["k_id"]) & (df["near_key__"] == k["k_key"]), how)
+        return df.join(keys.select(F.col("row_key").alias(key)), key, how)
 
     kept = pick(own, judged.where("not stays"), "left_anti")
     repeated = judged.where("stays and copies > 1")  # equal rows in every column
     if not repeated.isEmpty():
-        kept = pick(kept, repeated, "left_anti").unionByName(pick(kept, repeated, "left_semi").dropDuplicates(["near_id__", "near_key__"]))
-    return kept.select(*docs.columns)
+        kept = pick(kept, repeated, "left_anti").unionByName(pick(kept, repeated, "left_semi").dropDuplicates([key]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -1,21 +1,23 @@
 """Token ids in compressed binary blocks: static range asymmetric numeral system.
 
-Documents are sorted by id in ranges, encoded with a tokenizer, and their ids cut into blocks of whole documents. One
-frequency table, counted over all ids, is shared by all blocks. A block interleaves up to LANES coder states, which step
-together, and can be decoded alone; checkpoints inside it hold all states and the place in the stream, so the stretches between them
-decode side by side. Checksums guard the bytes and the ids.
+Texts are encoded with a tokenizer where they are read; their ids, not the texts, are then sorted by document id in ranges
+and cut into blocks of whole documents. One frequency table, counted over all ids, is shared by all blocks. A block interleaves up to LANES coder
+states, which step together, and can be decoded alone; checkpoints inside it hold all states and the place in the stream, so the stretches between
+them decode side by side. Checksums guard the bytes and the ids.
 
 The files are Parquet tables of blocks, so that any Spark file system holds them and a retried task leaves no half-written
 file. Layout of a payload, little-endian: magic, lanes u32, ids u64, steps between checkpoints u32, checkpoints u32, table
 checksum u32, checksum of the ids u32; per checkpoint the stream place u64 and the states u64; the stream of u32; crc32 of all before.
 
+Words are encoded apart only for a tokenizer whose normalizer and splitter are those of NORMALIZER and SPLITTER; any other one gets whole texts.
+
 Defined cases: null texts are empty and hold the end id only; equal doc_ids follow each other in the order of the hash of
 their texts; a null doc_id comes first; a document longer than a block is one block; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,19 +29,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import materialize
+from inkstone.llm.common import discard, materialize
 
 END_ID = 2
 SCALE_BITS = 20
-LANES, STEPS, BLOCK_IDS = 512, 512, 1 << 19
-#: Text bytes whose distinct pieces are encoded together, and pieces that each half of a worker's memory may hold.
-SLICE_BYTES, REMEMBERED = 4 << 20, 150_000
+LANES, STEPS, BLOCK_IDS = 1024, 512, 1 << 19
+#: Text bytes whose distinct pieces are encoded together, and pieces that a worker remembers.
+SLICE_BYTES, REMEMBERED = 8 << 20, 300_000
 MAGIC = b"IRB1"
 HEAD = struct.Struct("<4sIQIIII")
 _LOW = np.uint64(1 << 31)
 _MASK = np.uint64((1 << SCALE_BITS) - 1)
 
-# Texts of these characters need no normalising but lower case: their pieces go to the tokenizer's model without its text pipeline.
+# The text pipeline for which words can be encoded apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# With that pipeline, texts of these characters need no normalising but lower case: their pieces go to the tokenizer's model without it.
 PLAIN = r"\A[ \t\r\nA-Za-zÀ-ÖØ-öø-ÿ!-&(-~]*\z"
 SPECIAL = "<|"
 APART = r"([!-&(-/:-@\[-`{-~]+|[0-9])"
@@ -53,40 +64,44 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of words and of pieces of words, by a tokenizer that drops white space and never joins across it. What was met
-    lately is remembered in two halves: when the young one is full it becomes the old one."""
+    """Ids of words and of pieces of words, by a tokenizer that drops white space and never joins across it. Pieces met lately
+    are remembered; when there are too many, only those of the last slice stay."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        pipeline = json.loads(self.tokenizer.to_str())
+        self.by_word = pipeline["normalizer"] == NORMALIZER and pipeline["pre_tokenizer"] == SPLITTER and pipeline["post_processor"] is None
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, which is one run of lower-case letters, one digit or one run of marks, as little-endian u32."""
-        young, old, tokenize, letters = self.young, self.old, self.model.tokenize, self.letters
-        out = []
-        for piece in pieces:
-            ids = young.get(piece)
-            if ids is None:
-                ids = old.get(piece)
-                if ids is None:
-                    shown = piece if piece.isascii() else "".join([letters[b] for b in piece.encode()])
-                    found = [t.id for t in tokenize(shown)] if piece else []
-                    ids = struct.pack(f"<{len(found)}I", *found)
-                if len(young) >= REMEMBERED:
-                    self.old, self.young = old, young = young, {}
-                young[piece] = ids
-            out.append(ids)
-        return out
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word through the whole tokenizer, as little-endian u32."""
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in coded]
+        self.known, self.count, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces, each one run of lower-case letters, one digit or one run of marks: all ids, and of each piece the
+        place of its first id and their number."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at))
+        place = np.asarray(at.fill_null(-1), dtype=np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        tokenize, letters = self.model.tokenize, self.letters
+        found = [[t.id for t in tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))] if p else [] for p in new.to_pylist()]
+        self.known = pa.concat_arrays([self.known, new])
+        self.count = np.r_[self.count, np.fromiter(map(len, found), np.int32, len(found))]
+        self.flat = np.r_[self.flat, np.fromiter((i for ids in found for i in ids), "<u4")]
+        count = self.count[place]
+        first = (np.cumsum(self.count, dtype=np.int64) - self.count)[place]
+        flat = self.flat
+        if len(self.known) > REMEMBERED:
+            self.known, self.count = pieces, count
+            self.flat = flat[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        return flat, first, count
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for distinct words, or whole texts, through the whole tokenizer."""
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        count = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter((i for ids in coded for i in ids), "<u4"), np.cumsum(count) - count, count
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -96,12 +111,10 @@ def _encode_lists(lists: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts given as lists of strings, END_ID after each text, and the number of ids of each; every distinct string is encoded once."""
     coded = lists.flatten().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    ids = [*encode(coded.dictionary.to_pylist()), struct.pack("<I", END_ID)]
-    per_word = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    first = (np.cumsum(per_word) - per_word).astype(np.int32)
+    flat, first, per_word = encode(coded.dictionary)
+    flat, first, per_word = np.append(flat, np.uint32(END_ID)), np.append(first, len(flat)), np.append(per_word, 1)
     count = np.asarray(pc.list_value_length(lists), dtype=np.int64)
-    index = np.insert(np.asarray(coded.indices, dtype=np.int32), np.cumsum(count), len(ids) - 1)
+    index = np.insert(np.asarray(coded.indices, dtype=np.int32), np.cumsum(count), len(per_word) - 1)
     n = per_word[index]
     ends = np.cumsum(n, dtype=np.int64)
     at = np.repeat(first[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -109,9 +122,24 @@ def _encode_lists(lists: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.diff(last, prepend=0)
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat one after the other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
 def encode_texts(encoder: WordEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, END_ID after each, and the number of ids of each text."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    """All ids of the texts, END_ID after each, and the number of ids of each text; equal texts are encoded once."""
+    coded = texts.fill_null("").cast(pa.large_string()).dictionary_encode()
+    flat, n = _encode_distinct(encoder, coded.dictionary)
+    if len(coded.dictionary) == len(texts):
+        return flat, n
+    index = np.asarray(coded.indices, dtype=np.int64)
+    return _gather(flat, (np.cumsum(n) - n)[index], n[index]), n[index]
+
+
+def _encode_distinct(encoder: WordEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    if not encoder.by_word:
+        return _encode_lists(pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts), encoder.words)
     plain = pc.and_(pc.match_substring_regex(texts, PLAIN), pc.invert(pc.match_substring(texts, SPECIAL)))
     easy = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), APART, r" \1 "))
     flat, n = _encode_lists(easy, encoder.pieces)
@@ -123,30 +151,31 @@ def encode_texts(encoder: WordEncoder, texts: pa.Array) -> tuple[np.ndarray, np.
     size, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     size[mask], size[~mask] = n, m
     start[mask], start[~mask] = np.cumsum(n) - n, len(flat) + np.cumsum(m) - m
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return np.concatenate([flat, more])[at], size
+    return _gather(np.concatenate([flat, more]), start, size), size
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Byte planes of u32 ids, lowest first, without planes of zeros: they compress better apart."""
-    planes = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4).T
-    return b"".join(planes[k].tobytes() for k in range(4) if k < 2 or planes[k:].any())
+def packed_ids(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The ids of each document as bytes: two for each id where all of the slice fit, else four, little-endian."""
+    wide = 4 if len(flat) and int(flat.max()) >> 16 else 2
+    offsets = np.r_[0, np.cumsum(n)].astype(np.int64) * wide
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat, f"<u{wide}"))]).cast(pa.binary())
 
 
 def unpack_ids(data: bytes, n: int) -> np.ndarray:
-    planes = np.zeros((4, n), np.uint8)
-    if n:
-        planes[: len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
+CODED = "doc_id long, tie long, n_tokens long, ids binary, seen binary"
 
 
 def tokenizer_job(path: str):
-    """A mapInArrow function over sorted ranges: (doc_id, text) -> (part, pos, doc_id, n_tokens, ids)."""
+    """A mapInArrow function (doc_id, tie, text) -> CODED: a row for each document, and last one row whose seen holds how often
+    each id came up in the partition, as pairs of u64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(path, None) or WordEncoder(path)
         _ENCODERS[path] = encoder
-        part, pos = TaskContext.get().partitionId(), 0
+        total, names = np.zeros(0, np.int64), [x.split()[0] for x in CODED.split(", ")]
         for batch in batches:
             size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
             slot = (np.cumsum(size) - size) // SLICE_BYTES
@@ -155,39 +184,23 @@ def tokenizer_job(path: str):
                 if lo == hi:
                     continue
                 flat, n = encode_texts(encoder, batch.column("text").slice(lo, hi - lo))
-                ends = np.cumsum(n)
-                packed = [pack_ids(flat[e - k : e]) for e, k in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(hi - lo, part), pa.int32()), pa.array(np.arange(pos, pos + hi - lo)), batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(packed, pa.binary())],
-                    names=["part", "pos", "doc_id", "n_tokens", "ids"],
-                )
-                pos += hi - lo
+                now = np.bincount(flat, minlength=len(total))
+                now[: len(total)] += total
+                total = now
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tie")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), packed_ids(flat, n), pa.nulls(hi - lo, pa.binary())], names=names)
+        ids = np.flatnonzero(total)
+        seen = np.stack([ids, total[ids]]).astype("<u8").tobytes()
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], names=names)
 
     return run
 
 
-def _forget_tokenizers() -> None:
-    """A worker that tokenized before gives that memory back."""
-    _ENCODERS.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-
-
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _forget_tokenizers()
-    total = np.zeros(0, np.int64)
+def _spread_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for d, k in zip(batch.column("ids"), batch.column("n_tokens"), strict=True):
-            ids = unpack_ids(d.as_py(), k.as_py())
-            top = int(ids.max()) + 1 if len(ids) else 0
-            if top > len(total):
-                total = np.r_[total, np.zeros(top - len(total), np.int64)]
-            if len(ids) * 16 > len(total):
-                total[:top] += np.bincount(ids)
-            else:
-                np.add.at(total, ids, 1)
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+        for data in batch.column("seen"):
+            ids, n = np.frombuffer(data.as_py(), "<u8").astype(np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
 
 
 class Table:
@@ -295,12 +308,11 @@ BLOCKS = "part int, first_pos long, n_docs long, n_tokens long, doc_ids array<lo
 
 
 def block_job(table, block_ids: int = BLOCK_IDS):
-    """A mapInArrow function (part, pos, doc_id, n_tokens, ids) -> BLOCKS. A block ends at its size, and where the
-    next row isn't the next document of the same range."""
+    """A mapInArrow function over sorted ranges: (doc_id, n_tokens, ids) -> BLOCKS. A block ends before it would pass its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names = table.value, [x.split()[0] for x in BLOCKS.split(", ")]
-        part, first, docs, lengths, held, size = -1, 0, [], [], [], 0
+        part, first, docs, lengths, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
             data = encode_block(np.concatenate(held), model)
@@ -308,15 +320,12 @@ def block_job(table, block_ids: int = BLOCK_IDS):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        _forget_tokenizers()
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("part", "pos", "doc_id", "n_tokens")]
-            for p, pos, doc, n, data in zip(*cols, batch.column("ids"), strict=True):
-                if docs and (p != part or pos != first + len(docs) or size + n > block_ids):
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", "n_tokens")]
+            for doc, n, data in zip(*cols, batch.column("ids"), strict=True):
+                if docs and size + n > block_ids:
                     yield block()
-                    docs, lengths, held, size = [], [], [], 0
-                if not docs:
-                    part, first = p, pos
+                    first, docs, lengths, held, size = first + len(docs), [], [], [], 0
                 docs.append(doc)
                 lengths.append(n)
                 held.append(unpack_ids(data.as_py(), n))
@@ -346,17 +355,18 @@ def read_job(table):
 def write_blocks(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
     """Encode docs(doc_id, text) and write the files: a table of blocks, one folder for each id range, and the table of frequencies."""
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    ranged = plain.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    coded = materialize(ranged.mapInArrow(tokenizer_job(tokenizer_path), "part int, pos long, doc_id long, n_tokens long, ids binary"), "token-ids")
-    counts = coded.select("n_tokens", "ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    coded = materialize(plain.mapInArrow(tokenizer_job(tokenizer_path), CODED), "token-ids")
+    counts = coded.where("seen is not null").select("seen").mapInArrow(_spread_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
     counts = sorted((r["id"], r["n"]) for r in counts)
     ids, n = np.array([c[0] for c in counts], np.int64), np.array([c[1] for c in counts], np.int64)
     table = Table.of_counts(ids, n) if len(ids) else Table(ids, n)
     frequencies = materialize(spark.createDataFrame([(int(i), int(f)) for i, f in zip(table.ids, table.freq, strict=True)], "id long, freq long").coalesce(1), "token-table")
-    blocks = coded.mapInArrow(block_job(spark.sparkContext.broadcast(table), block_ids), BLOCKS).sortWithinPartitions("part", "first_pos")
-    return materialize(blocks, "token-blocks", ["part"]), frequencies
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    sorted_ = coded.where("seen is null").drop("seen").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    blocks = materialize(sorted_.mapInArrow(block_job(spark.sparkContext.broadcast(table), block_ids), BLOCKS).sortWithinPartitions("part", "first_pos"), "token-blocks", ["part"])
+    discard(coded)
+    return blocks, frequencies
 
 
 def read_documents(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:

@@ -23,6 +23,17 @@ def waterfill(sizes, weights, share=1.5, most=2.0):
     return targets
 
 
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def expected_targets(rows):
+    """source -> target for (source, text) rows, by plain water-filling."""
+    sources = sorted({s for s, _ in rows if s is not None}) + [None] * any(s is None for s, _ in rows)
+    size = [sum(len(words(t)) for s, t in rows if s == source) for source in sources]
+    return dict(zip(sources, waterfill(size, [(3, 1, 2)[i % 3] for i in range(len(sources))]), strict=True))
+
+
 def test_flight_keeps_both_totals_and_leaves_two():
     rng = np.random.default_rng(0)
     size, chance = rng.integers(1, 500, 700).astype(float), rng.random(700)
@@ -86,3 +97,13 @@ def test_applied_mix_takes_what_mix_takes_with_null_and_repeated_ids(spark):
         mixed[r.source] = mixed.get(r.source, 0) + r.taken
     assert {s: n for s, n in mixed.items() if n} == taken
     assert all(abs(taken.get(s, 0) - wanted[s]) <= longest[s] for s in wanted)
+
+
+def test_applied_mix_keeps_columns_with_the_names_of_working_columns(spark):
+    names = ["mix_id", "mix_source", "mix_size", "mix_copies", "mix_extra", "mix_hash", "mix_tie", "mix_place", "mix_first", "id__", "copy__", "whole", "extra", "seq", "part", "before", "n", "a.b"]
+    df = frame(spark)
+    wide = df.select("*", *[df["doc_id"].cast("string").alias(n) for n in names])
+    out = op.apply_mix(wide)
+    assert out.columns == wide.columns
+    assert sorted(map(repr, out.select(*df.columns).collect())) == sorted(map(repr, op.apply_mix(df).collect()))
+    assert all(r[n] == (None if r.doc_id is None else str(r.doc_id)) for r in out.collect() for n in names)

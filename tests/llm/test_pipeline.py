@@ -1,5 +1,7 @@
 """Each stage against a plain version of its decision, on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -8,7 +10,8 @@ from inkstone.llm import subword_quality
 from inkstone.llm.oracle import ORACLE
 from inkstone.llm.queries import QUERIES, oracle_sql
 from tests.llm.test_containment import brute as contained
-from tests.llm.test_simhash_gph import brute_classes, brute_print
+from tests.llm.test_cube_mix import expected_targets, words
+from tests.llm.test_simhash_gph import jaccard_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,14 +37,21 @@ def test_stages_decide_like_plain_versions(spark, stages):
     assert rows(after) == [r for r in rows(before) if r[0] in good] and len(rows(after)) < len(rows(before))
     before, after = stages[1]
     mine = rows(before)
-    roots = brute_classes([brute_print(r[1]) for r in mine], 4)
-    assert rows(after) == [r for i, r in enumerate(mine) if roots[i] == i]
+    roots = jaccard_classes([r[1] for r in mine], within_bits=True)
+    assert rows(after) == [r for i, r in enumerate(mine) if roots[i] == i]  # mine is in the order of doc_id
     before, after = stages[2]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {d for d, *_ in contained(rows(before), items)}
     assert rows(after) == [r for r in rows(before) if str(r[0]) not in bad]
     before, after = stages[3]
     assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
+    want, taken, longest = expected_targets([(r.source, r.text) for r in before.collect()]), {}, {}
+    for r in after.collect():
+        taken[r.source] = taken.get(r.source, 0) + len(words(r.text))
+        longest[r.source] = max(longest.get(r.source, 0), len(words(r.text)))
+    assert all(abs(taken.get(s, 0) - t) <= longest.get(s, t) for s, t in want.items())
+    copies = Counter(r.doc_id for r in after.collect())
+    assert max(copies.values()) <= 2
     last, encoded = stages[4]
     got = encoded.orderBy("start").collect()
     assert [r.doc_id for r in got] == [r.doc_id for r in last.select("doc_id").orderBy("doc_id").collect()]

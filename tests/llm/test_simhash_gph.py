@@ -88,6 +88,70 @@ def shingle_set(text, width=5):
     return {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} or ({tuple(ws)} if ws else set())
 
 
+def stage_prints(shingles):
+    """Both fingerprints of a set of shingles, bit by bit."""
+    hs = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    more = [int(h) for h in op._remix(np.array(hs, np.uint64))]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each)) for each in (hs, more))
+
+
+def jaccard_classes(texts, jaccard=0.8, within_bits=False):
+    """The smallest position of each text's class, over all pairs; within_bits: only those the stage's distances let through."""
+    sets = [shingle_set(t) for t in texts]
+    prints = [stage_prints(s) for s in sets] if within_bits else None
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= jaccard * len(sets[i] | sets[j]):
+                if within_bits:
+                    off, more = ((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True))
+                    if off > op.STAGE_DISTANCE or off + more > op.STAGE_BOTH:
+                        continue
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_near_pairs_of_buckets_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for small in (0, 4, 1000):  # tiles only, both, side by side only
+        op.SMALL, op.TILE = small, 64
+        k = 90
+        bucket = np.sort(rng.integers(0, 6, k) * 2 + rng.integers(0, 2, k)).astype(np.int64)
+        centre = rng.integers(0, 2**63, 6, dtype=np.int64)
+        fp = centre[bucket >> 1] ^ (1 << rng.integers(0, 62, k)) ^ (1 << rng.integers(0, 62, k))
+        unit = rng.integers(0, 60, k)
+        cols = [bucket, np.zeros(k, np.int32), fp, fp >> 1, unit, rng.integers(8, 12, k).astype(np.int32), unit]
+        got = {(min(a, b), max(a, b)) for l, r, _ in op.near_in_buckets(cols, 3, 6, 0.8) for a, b in zip(l.tolist(), r.tolist(), strict=True)}
+        bits = lambda x: int(x & (2**64 - 1)).bit_count()
+        want = set()
+        for i in range(k):
+            for j in range(i + 1, k):
+                d = bits(int(fp[i]) ^ int(fp[j]))
+                if bucket[i] >> 1 == bucket[j] >> 1 and bucket[i] & 1 == 0 and unit[i] != unit[j] and d <= 3 and d + bits(int(fp[i] >> 1) ^ int(fp[j] >> 1)) <= 6 and min(cols[5][i], cols[5][j]) >= 0.8 * max(cols[5][i], cols[5][j]):
+                    want.add((i, j))
+        assert got == want and want
+    op.SMALL, op.TILE = 48, 1 << 18
+
+
+def test_estimated_pairs_are_near_the_counted_ones():
+    rng = np.random.default_rng(6)
+    topics = rng.integers(0, 2**63, 8, dtype=np.uint64)
+    noise = np.bitwise_and.reduce(rng.integers(0, 2**63, (3, 6000), dtype=np.uint64))
+    prints = topics[rng.integers(0, 8, 6000)] ^ noise  # bits that go together by topic
+    bits = (prints[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    p = bits.mean(axis=0)
+    corr = np.nan_to_num(np.abs(np.corrcoef(bits.T + rng.normal(0, 1e-9, (64, 6000)))))
+    np.fill_diagonal(corr, 0)
+    for part in op.correlated_parts(corr, 4):
+        chance = op.pair_chances(p, part, 3, prints[:1024])
+        own = prints & np.uint64(sum(1 << b for b in part))
+        off = np.bitwise_count(own[:, None] ^ own[None, :])
+        for t in range(4):
+            counted = ((off <= t).sum() - len(own)) / (len(own) * (len(own) - 1))
+            assert counted / 2 <= chance[t] <= 2 * counted
+
+
 def test_stage_keeps_one_row_of_each_class_by_brute_force_jaccard(spark):
     rng = random.Random(8)
     rows = []
@@ -99,13 +163,7 @@ def test_stage_keeps_one_row_of_each_class_by_brute_force_jaccard(spark):
                 ws[p] = f"x{rng.randrange(10**6)}"
             rows.append((None if k == 3 else 5 if k == 2 else 10 * g + k, " ".join(ws), "en", "s", 1, 7, "x"))
     rows += [rows[0], (None, None, "en", "s", 0, 7, "x"), (1, " ", "en", "s", 0, 7, "x"), (5, "quite another text under the same id", "en", "s", 0, 7, "x")]
-    sets = [shingle_set(r[1]) for r in rows]
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if r == old else r for r in root]
+    root = jaccard_classes([r[1] for r in rows])
     kept = op.keep_one_of_each(frame(spark, rows)).collect()
     classes = [root[next(i for i, r in enumerate(rows) if r == tuple(k))] for k in kept]
     assert sorted(classes) == sorted(set(root))
@@ -113,3 +171,11 @@ def test_stage_keeps_one_row_of_each_class_by_brute_force_jaccard(spark):
         ids = [rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None]
         assert k.doc_id == (min(ids) if ids else None)
     assert op.keep_one_of_each(frame(spark, [])).count() == 0
+
+
+def test_stage_keeps_columns_with_the_names_of_working_columns(spark):
+    names = ["near_key", "row_key", "unit", "fp2", "bucket", "pair", "copies", "stays", "w", "hashes", "a.b"]
+    df = frame(spark)
+    wide = df.select("*", *[df["lang"].alias(n) for n in names])
+    assert op.keep_one_of_each(wide).columns == wide.columns
+    assert op.keep_one_of_each(wide).count() == op.keep_one_of_each(df).count() == len(set(jaccard_classes([r[1] for r in documents()], within_bits=True)))

@@ -64,8 +64,33 @@ def test_damage_is_noticed():
 
 def test_packed_ids_round_trip():
     for ids in ([], [0], [1, 255, 256, 65535], [65536, 5], [2**32 - 1]):
-        a = np.array(ids, np.uint32)
-        assert op.unpack_ids(op.pack_ids(a), len(a)).tolist() == ids
+        flat, n = np.array([*ids, 7], "<u4"), np.array([len(ids), 1])
+        first, last = op.packed_ids(flat, n).to_pylist()
+        assert op.unpack_ids(first, len(ids)).tolist() == ids and op.unpack_ids(last, 1).tolist() == [7]
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = op.WordEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.by_word
+    texts = ["Two  words, and more", "", None, "  é\n", "Two  words, and more"]
+    flat, n = op.encode_texts(encoder, pa.array(texts))
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, op.END_ID] for t in texts]
+    assert flat.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
+def test_forgetting_pieces_changes_nothing(encoder):
+    forgetful, kept = op.WordEncoder(tokenizer_path()), op.REMEMBERED
+    op.REMEMBERED = 5
+    try:
+        for _ in range(3):
+            texts = pa.array([r[1] for r in documents()])
+            assert all(np.array_equal(a, b) for a, b in zip(op.encode_texts(forgetful, texts), op.encode_texts(encoder, texts), strict=True))
+    finally:
+        op.REMEMBERED = kept
 
 
 def test_files_return_every_document(spark, encoder):
