@@ -1,12 +1,14 @@
 """Language identification by prediction by partial matching.
 
-One byte context tree for each language holds, up to ORDER preceding bytes, how often each byte followed. A byte costs
--log2 P, where P is taken from the longest context that the tree holds: c / (T + D) if the byte was seen there (T: uses, D:
-different bytes), else the escape D / (T + D) times the P of the next shorter context, down to 1/257 (method C, no
-exclusions). The statistics are frozen after training, so every (context, byte) has one code length for each language; tasks add
-them over all bytes of a text. The language with the shortest code wins.
+One byte context tree for each language holds, up to ORDER preceding bytes, how often each byte followed; contexts that the
+language used fewer than LEAST_USES times are pruned. A byte costs -log2 P, where P is taken from the longest context that the language's tree holds:
+c / (T + D) if the byte was seen there (T: uses, D: different bytes), else the escape D / (T + D) times the P of the next shorter context, down
+to 1/257 (method C, no exclusions). The statistics are frozen after training, so every (context, byte) has one code length for each language,
+rounded to 1/UNIT bit; tasks add them over all bytes of a text. The language with the shortest code wins. Trees are stored in groups of TOGETHER
+languages that share a table; which languages share one changes no code length, and there may be any number of languages.
 
-Training reads SAMPLE whole texts of each language at most (the first by a hash of the id), of rows in the training folds.
+Training reads SAMPLE whole texts of each language at most (the first ids by a hash; of rows that share an id and a language the smallest text), of rows in the training folds. What the driver
+gathers are the distinct byte windows of these texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the smaller language value; with no
 training rows everything is `und`; ids may repeat; other columns are ignored; an empty table gives an empty result.
@@ -21,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import doc_crc32, row_slices, text_buffers
+from inkstone.llm.common import doc_crc32, materialize, row_slices, text_buffers
 
 ORDER = 3
-#: Texts of each language, and languages (the most frequent), that training may use.
-SAMPLE, LANGUAGES = 300, 256
-#: A context is kept if training used it at least so often.
+#: Texts of each language that training may use.
+SAMPLE = 300
+#: A language keeps a context if it used it at least so often.
 LEAST_USES = 2
-#: The largest table of code lengths; the order goes down until it fits.
-TABLE_BYTES = 96 << 20
+#: Languages that share a table.
+TOGETHER = 8
 SLICE = 1 << 20
 #: Code lengths are whole multiples of 1/256 bit.
 UNIT = 256
@@ -55,8 +57,14 @@ def count_grams(order: int):
     return run
 
 
+def build_models(rows: list[tuple[str, int, int]], order: int = ORDER) -> list[dict]:
+    """Frozen code lengths from (lang, gram, n) counts of windows of order + 1 bytes, TOGETHER languages in each model."""
+    langs = sorted({r[0] for r in rows})
+    groups = [set(langs[k : k + TOGETHER]) for k in range(0, len(langs), TOGETHER)]
+    return [build_model([r for r in rows if r[0] in group], order) for group in groups]
+
+
 def build_model(rows: list[tuple[str, int, int]], order: int = ORDER) -> dict:
-    """Frozen code lengths from (lang, gram, n) counts of windows of order + 1 bytes."""
     langs = sorted({r[0] for r in rows})
     grams = np.array([r[1] for r in rows], np.int64)
     n = np.array([r[2] for r in rows], np.int64)
@@ -65,20 +73,16 @@ def build_model(rows: list[tuple[str, int, int]], order: int = ORDER) -> dict:
     seen = np.unique(window)
     size = len(seen) + 1  # one class for each byte met in training (and the mark), one for all others
     classes = np.searchsorted(seen, window)
-    while True:
-        contexts = []
-        for k in range(order + 1):
-            code = np.zeros(len(rows), np.int64)
-            for j in range(order - k, order):
-                code = code * size + classes[:, j]
-            ids, back = np.unique(code, return_inverse=True)
-            uses = np.zeros((len(langs), len(ids)), np.int64)
-            np.add.at(uses, (which, back), n)
-            contexts.append((ids[uses.max(axis=0) >= (LEAST_USES if k else 0)], code))
-        nodes = sum(len(ids) for ids, _ in contexts)
-        if nodes * size * len(langs) * 2 <= TABLE_BYTES or order == 1:
-            break
-        classes, order = classes[:, 1:], order - 1
+    contexts = []
+    for k in range(order + 1):
+        code = np.zeros(len(rows), np.int64)
+        for j in range(order - k, order):
+            code = code * size + classes[:, j]
+        ids, back = np.unique(code, return_inverse=True)
+        uses = np.zeros((len(langs), len(ids)), np.int64)
+        np.add.at(uses, (which, back), n)
+        contexts.append((ids[uses.max(axis=0) >= (LEAST_USES if k else 0)], code))
+    nodes = sum(len(ids) for ids, _ in contexts)
     symbol = classes[:, -1]
     base, first = [], 0
     for ids, _ in contexts:
@@ -99,8 +103,9 @@ def build_model(rows: list[tuple[str, int, int]], order: int = ORDER) -> dict:
             else:
                 short = ids % size ** (k - 1)
                 lower = table[_node(contexts, base, k - 1, short, size), :, l]
+            held = total >= LEAST_USES if k else total > 0  # by this language
             with np.errstate(divide="ignore", invalid="ignore"):
-                table[base[k] : base[k] + len(ids), :, l] = np.where(total == 0, lower, np.where(counts > 0, counts / (total + kinds), kinds / (total + kinds) * lower))
+                table[base[k] : base[k] + len(ids), :, l] = np.where(~held, lower, np.where(counts > 0, counts / (total + kinds), kinds / (total + kinds) * lower))
     bits = np.minimum(np.round(-np.log2(table) * UNIT), 65535).astype(np.uint16)
     links = []
     # links[k - 1]: from (byte k back, state of the k - 1 nearer bytes) to the deepest kept context; a state is a context.
@@ -163,39 +168,35 @@ def code_lengths(model: dict, raw: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> dict:
+def fit(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> list[dict]:
     """Count byte windows of the sampled training texts and freeze the trees. Training rows: lang not null and
     crc32(doc_id) mod 5 not 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null").where(doc_crc32(F.col("doc_id")) % 5 != 0)
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null").where(doc_crc32(F.col("doc_id")) % 5 != 0).distinct()
+    per = rows.groupBy("lang").count()
     # A hash threshold leaves about twice the sample of each language, so that ranking it is small work.
-    near = rows.join(F.broadcast(per), "lang").withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("order") < F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 50) / F.col("count")))
+    near = rows.join(per, "lang").withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("order") < F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 50) / F.col("count")))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).where(F.col("rank") <= sample)
-    ids = [(r["doc_id"], r["lang"]) for r in ranked.select("doc_id", "lang").distinct().collect()]  # sample * LANGUAGES at most
-    if not ids:
-        return {}
-    picked = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), ["doc_id", "lang"])
+    picked = materialize(ranked.select(F.col("doc_id").alias("picked_id"), F.col("lang").alias("picked_lang")), "ppm-sample")  # sample rows of each language
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(picked, F.col("doc_id").eqNullSafe(F.col("picked_id")) & (F.col("lang") == F.col("picked_lang")), "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     grams = texts.select("lang", "text").mapInArrow(count_grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = sorted(tuple(r) for r in grams.collect())  # bounded by the sampled bytes
-    return build_model(counted, order) if counted else {}
+    return build_models(sorted(tuple(r) for r in grams.collect()), order)
 
 
-def classifier(model):
-    """A mapInArrow function (doc_id, text, letters) -> (doc_id, lang_pred, score); model is a broadcast model."""
+def classifier(models):
+    """A mapInArrow function (doc_id, text, letters) -> (doc_id, lang_pred, score); models is a broadcast list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        names = [lang for m in models.value for lang in m["langs"]]
         for batch in batches:
             known = np.array(batch.column("letters").to_pylist(), bool) if batch.num_rows else np.zeros(0, bool)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            if m and batch.num_rows:
+            if names and batch.num_rows:
                 raw, offsets = text_buffers(batch.column("text"))
-                bits = code_lengths(m, raw, offsets)
+                bits = np.hstack([code_lengths(m, raw, offsets) for m in models.value])
                 best = bits.argmin(axis=1)
                 gap = np.minimum((bits - bits.min(axis=1, keepdims=True)) / UNIT, 1000)
                 score = 1 / np.exp2(-gap).sum(axis=1)
-            names = m["langs"] if m else []
             pred = [names[b] if k and names else UNDETERMINED for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.where(known & bool(names), score, 0.0))], names=["doc_id", "lang_pred", "score"])
 
@@ -204,7 +205,7 @@ def classifier(model):
 
 def identify(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs(doc_id, text, lang)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, order))
+    models = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, order))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    scored = plain.mapInArrow(classifier(model), "doc_id long, lang_pred string, score double")
+    scored = plain.mapInArrow(classifier(models), "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", (doc_crc32(F.col("doc_id")) % 5 == 0).alias("held_out"), "lang_pred", "score")

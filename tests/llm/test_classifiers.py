@@ -55,14 +55,30 @@ def test_code_lengths_equal_brute_force():
     model = ppm_language.build_model(sorted((lang, g, n) for (lang, g), n in rows.items()), order)
     assert model["order"] == order
     counts = {lang: brute_ppm(texts, order, None) for lang, texts in training.items()}
-    keep = [{c for lang in counts for c, s in counts[lang][k].items() if sum(s.values()) >= ppm_language.LEAST_USES} for k in range(order + 1)]
+    keep = {lang: [{c for c, s in counts[lang][k].items() if sum(s.values()) >= ppm_language.LEAST_USES} for k in range(order + 1)] for lang in counts}
     known = {x for texts in training.values() for t in texts for x in t.encode()}
     texts = [prose(rng, "en", 9), prose(rng, "fr", 9), "", "é", "ZZ\x00 ±", "a"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     got = ppm_language.code_lengths(model, raw, offsets)
     for i, t in enumerate(texts):
-        assert got[i].tolist() == [brute_bits(counts[lang], keep, order, t, known) for lang in ("en", "fr")]
+        assert got[i].tolist() == [brute_bits(counts[lang], keep[lang], order, t, known) for lang in ("en", "fr")]
+
+
+def test_any_number_of_languages_keeps_the_order_and_the_code_lengths():
+    rng = random.Random(9)
+    rows = []
+    for k in range(21):
+        counts = defaultdict(int)
+        for _ in range(400):
+            counts[sum((97 + rng.randrange(3 + k % 5)) * 257**j for j in range(4))] += 1
+        rows += [(f"l{k:02}", g, n) for g, n in counts.items()]
+    raw, offsets = np.frombuffer(b"abcabcaabbcc\xc3\xa9cab", np.uint8), np.array([0, 9, 19])
+    together = ppm_language.build_models(rows)
+    assert len(together) == 3 and all(m["order"] == ppm_language.ORDER for m in together)
+    got = np.hstack([ppm_language.code_lengths(m, raw, offsets) for m in together])
+    alone = np.hstack([ppm_language.code_lengths(ppm_language.build_model([r for r in rows if r[0] == f"l{k:02}"]), raw, offsets) for k in range(21)])
+    assert np.array_equal(got, alone)
 
 
 def test_language_contract(spark):
