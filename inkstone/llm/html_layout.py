@@ -1,10 +1,16 @@
 """HTML extraction as a reader sees the page: a tree builder with implied tags, visibility rules and a layout renderer.
 
 The renderer emits all visible text: blocks on lines of their own with blank lines where margins are, lists with markers and
-hanging indents, preformatted text as it stands, and tables with their cells aligned in columns.
+hanging indents, preformatted text as it stands, and tables with their cells aligned in columns (wide characters count twice).
+
+Visibility is that of a screen SCREEN pixels wide: style elements and style attributes are read for `display` and `visibility`, with at-rules
+(media queries of type and width, supports, layer), selectors of names, classes and ids joined as descendants or children, specificity, order and
+`!important`. `display: none` hides a whole element; `visibility` is inherited, so that a visible child of a hidden element is shown. Selectors and
+queries of other forms apply to nothing. Of svg the text elements are shown, of math everything but annotations.
 
 Defined cases: null and empty pages give an empty text; broken markup is repaired as browsers do (open elements are closed by
-what cannot stand inside them, end tags without a start are ignored); nesting beyond MAX_DEPTH is flattened; page_ids may repeat, each row is
+what cannot stand inside them, end tags without a start are ignored, what stands in a row outside its cells goes before the table); as in browsers,
+elements nested deeper than MAX_DEPTH become siblings, whose text is kept; page_ids may repeat, each row is
 rendered; other columns are ignored; an empty table gives an empty result. Pages of any length are rendered whole.
 """
 
@@ -12,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH, MAX_TABLES, GAP = 400, 12, 2
+MAX_DEPTH, GAP, SCREEN = 512, 2, 1280
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
-UNSEEN = frozenset("head script style template noscript noframes iframe object audio video canvas datalist svg math title meta link base area map param source track rp".split())
+UNSEEN = frozenset("head script style template noscript noframes iframe object audio video canvas datalist title desc defs annotation annotation-xml meta link base area map param source track rp".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
@@ -49,17 +56,19 @@ SCOPE = frozenset("table td th caption html button template".split())
 
 TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?")
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("head title base link meta script style noscript template bgsound basefont".split())
+BRACES = re.compile(r"\"[^\"]*\"|'[^']*'|[{};]")
+COMPOUND = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)(px|em|rem)\s*\)")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -127,16 +136,16 @@ def build(source: str) -> tuple[Node, list[str]]:
             continue
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
+        if open_["head"] and tag not in HEAD:
+            close({"head"}, frozenset())
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        elif tag in BLOCK and open_["head"]:
-            close({"head"}, frozenset())
         if tag in ("td", "th") and open_["table"] and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr", {})
+            row = Node("tr", {}, stack[-1])
             stack[-1].children.append(row)
             stack.append(row)
             open_["tr"] += 1
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.I).search(source, at)
@@ -151,39 +160,193 @@ def build(source: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def hidden_selectors(styles: list[str]) -> set[tuple[str, str, str]]:
-    """(tag, mark, name) of simple selectors whose rule hides what it matches."""
-    found = set()
+def media_matches(query: str) -> bool:
+    """Whether one of the queries of a list holds for a screen SCREEN pixels wide."""
+
+    def one(q: str) -> bool:
+        q, turned = q.removeprefix("only "), False
+        if q.startswith("not "):
+            q, turned = q[4:], True
+        ok = True
+        for part in filter(None, re.split(r"\s+and\s+", q)):
+            if part in ("all", "screen"):
+                continue
+            m = WIDTH.fullmatch(part)
+            pixels = float(m[2].strip(".") or 0) * (1 if m[3] == "px" else 16) if m and re.fullmatch(r"[0-9]*\.?[0-9]+", m[2]) else None
+            ok = ok and pixels is not None and (SCREEN >= pixels if m[1] == "min" else SCREEN <= pixels)
+        return ok != turned
+
+    return any(one(" ".join(q.lower().split())) for q in query.split(","))
+
+
+def declarations(body: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of display and visibility in a list of declarations; of equals the last one."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            value, _, mark = value.partition("!")
+            now = (mark.strip().lower() == "important", " ".join(value.lower().split()))
+            if now[1] and now[0] >= out.get(name, (False, ""))[0]:
+                out[name] = now
+    return out
+
+
+def selector(text: str) -> tuple[tuple, tuple[int, int, int]] | None:
+    """Compounds (name, ids, classes, joined to what stands before as a child), last first, and the specificity; None for other forms."""
+    parts, child, counts = [], False, [0, 0, 0]
+    for token in text.replace(">", " > ").split():
+        if token == ">":
+            child = True
+            continue
+        m = COMPOUND.fullmatch(token)
+        if not m:
+            return None
+        marks = re.findall(r"[.#][\w-]+", m[2])
+        ids, names = frozenset(x[1:] for x in marks if x[0] == "#"), frozenset(x[1:] for x in marks if x[0] == ".")
+        name = "" if m[1] in (None, "*") else m[1].lower()
+        parts.append((name, ids, names, child))
+        counts = [counts[0] + len(ids), counts[1] + len(names), counts[2] + bool(name)]
+        child = False
+    return (tuple(reversed(parts)), tuple(counts)) if parts and not child else None
+
+
+def style_rules(styles: list[str]) -> list[tuple[tuple, tuple, dict]]:
+    """(compounds, (specificity, order), declarations) of the rules that say something about display or visibility."""
+    found = []
     for sheet in styles:
-        for selectors, body in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-            if HIDING.search(body):
-                for s in selectors.split(","):
-                    m = SELECTOR.fullmatch(s.strip())
-                    if m and s.strip():
-                        found.add((m[1] or "", m[2] or "", m[3] or ""))
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+        at, size = 0, len(sheet)
+
+        def block_end(at: int, sheet: str = sheet) -> int:
+            depth = 1
+            for m in BRACES.finditer(sheet, at):
+                depth += (m[0] == "{") - (m[0] == "}")
+                if not depth:
+                    return m.start()
+            return len(sheet)
+
+        while at < size:
+            m = BRACES.search(sheet, at)
+            while m and m[0][0] in "\"'":
+                m = BRACES.search(sheet, m.end())
+            if not m:
+                break
+            prelude, at = sheet[at : m.start()].strip(), m.end()
+            if m[0] != "{":  # the end of a statement, or of a group whose rules were read
+                continue
+            if prelude.startswith("@"):
+                name, _, rest = prelude[1:].partition(" ") if "(" not in prelude.split(" ")[0] else (prelude[1:].split("(")[0], "", "(" + prelude.split("(", 1)[1])
+                name = name.lower()
+                if not (name == "layer" or (name == "media" and media_matches(rest)) or (name == "supports" and not rest.strip().lower().startswith("not"))):
+                    at = block_end(at) + 1
+                continue
+            end = block_end(at)
+            body = sheet[at:end]
+            at = end + 1
+            if "{" in body:  # nested rules are left out
+                body = re.sub(r"[^{};]*\{[^{}]*\}", ";", body)
+            if said := declarations(body):
+                for text in prelude.split(","):
+                    if one := selector(text):
+                        found.append((one[0], (one[1], len(found)), said))
     return found
 
 
+def _is(node: Node, compound: tuple) -> bool:
+    name, ids, names, _ = compound
+    return (not name or node.tag == name) and (not ids or ids == {node.attrs.get("id", "")}) and (not names or names <= set(node.attrs.get("class", "").split()))
+
+
+def _matches(node: Node, parts: tuple) -> bool:
+    """Whether a node is what the compounds, last first, describe."""
+    reached = [node] if _is(node, parts[0]) else []
+    for k in range(1, len(parts)):
+        child, above = parts[k - 1][3], {}
+        for one in reached:
+            up = one.parent
+            while up is not None and id(up) not in above:
+                if _is(up, parts[k]):
+                    above[id(up)] = up
+                if child:
+                    break
+                up = up.parent
+        reached = list(above.values())
+    return bool(reached)
+
+
+def show(root: Node, rules: list[tuple[tuple, tuple, dict]]) -> None:
+    """Leave in the tree only what is visible."""
+    by: dict[str, list] = {}
+    for rule in rules:
+        name, ids, names, _ = rule[0][0]
+        by.setdefault(f"#{min(ids)}" if ids else f".{min(names)}" if names else name, []).append(rule)
+
+    def said(node: Node) -> dict[str, str]:
+        best: dict[str, tuple] = {}
+        if by:
+            keys = ["", node.tag, f"#{node.attrs.get('id', '')}", *(f".{c}" for c in set(node.attrs.get("class", "").split()))]
+            for parts, rank, said_ in (r for k in keys for r in by.get(k, ())):
+                if _matches(node, parts):
+                    for prop, (important, value) in said_.items():
+                        best[prop] = max(best.get(prop, ((False,),)), ((important, 0, *rank), value))
+        if "style" in node.attrs:
+            for prop, (important, value) in declarations(node.attrs["style"]).items():
+                best[prop] = max(best.get(prop, ((False,),)), ((important, 1), value))
+        return {prop: x[1] for prop, x in best.items()}
+
+    order: list[tuple[Node, bool]] = []
+    steps = [(root, True)]
+    while steps:
+        node, shown = steps.pop()
+        order.append((node, shown))
+        if node.tag == "svg":
+            node.children = _svg_texts(node)
+        left = []
+        for c in node.children:
+            if isinstance(c, str):
+                if shown:
+                    left.append(c)
+                continue
+            if c.tag in UNSEEN or (c.tag == "input" and c.attrs.get("type", "").lower() not in ("submit", "reset", "button")):
+                continue
+            own = said(c)
+            display = own.get("display", "none" if "hidden" in c.attrs or (c.tag == "dialog" and "open" not in c.attrs) else "")
+            if display == "none":
+                continue
+            left.append(c)
+            value = own.get("visibility", "inherit")
+            steps.append((c, value == "visible" if value in ("visible", "hidden", "collapse") else shown))
+        node.children = left
+    kept = {id(node) for node, shown in order if shown}
+    for node, _ in reversed(order):  # hidden elements without visible ones in them go; cells keep their place
+        node.children = [c for c in node.children if isinstance(c, str) or c.children or id(c) in kept or c.tag in ("td", "th")]
+
+
+def _svg_texts(svg: Node) -> list[Node]:
+    """The text elements of a drawing, each as a word of its own."""
+    found, todo = [], [c for c in reversed(svg.children) if isinstance(c, Node)]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("text", "foreignobject"):
+            found += [node, Node("wbr", {}, svg), " "]
+        elif node.tag not in UNSEEN:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return [" ", *found] if found else []
+
+
+def text_width(text: str) -> int:
+    """Columns that a text takes: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 class Layout:
-    """Renders a tree to lines."""
-
-    def __init__(self, hidden: set[tuple[str, str, str]]):
-        self.hidden = hidden
-
-    def visible(self, node: Node) -> bool:
-        tag, attrs = node.tag, node.attrs
-        if tag in UNSEEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs):
-            return False
-        if tag == "input" and attrs.get("type", "").lower() not in ("submit", "reset", "button"):
-            return False
-        if "style" in attrs and HIDING.search(attrs["style"]):
-            return False
-        if self.hidden:
-            names = [(".", c) for c in attrs.get("class", "").split()] + [("#", attrs.get("id", ""))]
-            return not ((tag, "", "") in self.hidden or any((t, k, n) in self.hidden for k, n in names for t in ("", tag)))
-        return True
-
-    def lines(self, nodes: list, tables: int = 0) -> list[str]:
+    """Renders a tree of visible nodes to lines."""
+
+    def lines(self, nodes: list) -> list[str]:
         """Lines of a flow of nodes. Open and close steps lie on an explicit stack, so that depth costs no recursion."""
         out: list[str] = []
         line: list[str] = []
@@ -254,8 +417,6 @@ class Layout:
                 elif tag == "q":
                     put('"')
                 continue
-            if not self.visible(node):
-                continue
             if tag == "br":
                 if line:
                     flush()
@@ -269,9 +430,9 @@ class Layout:
                 put(BLANKS.sub(" ", node.attrs.get("value", "")).strip() or node.attrs["type"].capitalize())
             elif tag == "wbr" or tag == "img":
                 pass
-            elif tag == "table" and tables < MAX_TABLES:
+            elif tag == "table":
                 block(True)
-                for row in self.table(node, tables + 1):
+                for row in self.table(node):
                     line.append(row)
                     if not row:
                         out.append("")
@@ -286,12 +447,14 @@ class Layout:
                     if node.children and isinstance(node.children[0], str):
                         node.children[0] = node.children[0].removeprefix("\n")
                 if tag in LISTS:
-                    start = node.attrs.get("start", "")
-                    lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
+                    back = tag == "ol" and "reversed" in node.attrs
+                    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+                    lists.append([tag == "ol", _number(node.attrs.get("start"), items if back else 1), -1 if back else 1])
                 elif tag == "li":
-                    own = lists[-1] if lists else [False, 1]
+                    own = lists[-1] if lists else [False, 1, 1]
+                    own[1] = _number(node.attrs.get("value"), own[1])
                     sign = f"{own[1]}. " if own[0] else "- "
-                    own[1] += 1
+                    own[1] += own[2]
                     marker[0] = (marker[0] or indent[-1]) + sign
                     indent.append(indent[-1] + " " * len(sign))
                 elif tag in ("blockquote", "dd"):
@@ -309,27 +472,30 @@ class Layout:
             out.pop()
         return out
 
-    def table(self, table: Node, tables: int) -> list[str]:
+    def table(self, table: Node) -> list[str]:
         """Lines of a table: columns as wide as their widest cell, cells of spanned columns over all of them."""
-        top, rows, below = [], [], []
-
-        def gather(node: Node) -> None:
-            todo = [node]
-            while todo:
-                for child in todo.pop(0).children if todo else ():
-                    if isinstance(child, str):
-                        if child.strip():
-                            top.append(child)
-                    elif not self.visible(child):
-                        continue
-                    elif child.tag in ("tbody", "thead", "tfoot"):
-                        gather(child)
-                    elif child.tag == "tr":
-                        rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and self.visible(c)])
-                    elif child.tag not in ("colgroup", "col"):
-                        (below if child.tag == "tfoot" else top).append(child)
-
-        gather(table)
+        top, rows = [], []
+        todo = list(reversed(table.children))
+        while todo:
+            child = todo.pop()
+            if isinstance(child, str):
+                if child.strip():
+                    top.append(child)
+            elif child.tag in ("tbody", "thead", "tfoot"):
+                todo += reversed(child.children)
+            elif child.tag == "tr":
+                cells, inner = [], list(reversed(child.children))
+                while inner:  # what stands in a row outside its cells goes before the table; what wraps cells there is looked through
+                    c = inner.pop()
+                    if isinstance(c, Node) and c.tag in ("td", "th"):
+                        cells.append(c)
+                    elif isinstance(c, Node) and c.tag != "table" and _holds_cells(c):
+                        inner += reversed(c.children)
+                    elif isinstance(c, Node) or c.strip():
+                        top.append(c)
+                rows.append(cells)
+            elif child.tag not in ("colgroup", "col"):
+                top.append(child)
         grid: list[list[tuple[int, int, list[str], str]]] = []
         taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
         for cells in rows:
@@ -339,7 +505,7 @@ class Layout:
                     col += 1
                 wide = _span(cell.attrs.get("colspan"))
                 style = cell.attrs.get("align", "").lower() or (re.search(r"text-align\s*:\s*(\w+)", cell.attrs.get("style", ""), re.I) or ["", ""])[1].lower()
-                placed.append((col, wide, self.lines(cell.children, tables), style))
+                placed.append((col, wide, self.lines(cell.children), style))
                 for c in range(col, col + wide):
                     taken[c] = max(taken.get(c, 0), _span(cell.attrs.get("rowspan")))
                 col += wide
@@ -350,40 +516,58 @@ class Layout:
         for placed in grid:
             for col, wide, text, _ in placed:
                 if wide == 1:
-                    width[col] = max(width.get(col, 0), *(len(t) for t in text), 0) if text else width.get(col, 0)
+                    width[col] = max(width.get(col, 0), *(text_width(t) for t in text), 0) if text else width.get(col, 0)
         for placed in grid:
             for col, wide, text, _ in placed:
                 have = sum(width.get(c, 0) for c in range(col, col + wide)) + GAP * (wide - 1)
-                need = max((len(t) for t in text), default=0)
+                need = max((text_width(t) for t in text), default=0)
                 if need > have:
                     width[col + wide - 1] = width.get(col + wide - 1, 0) + need - have
         left, edge = {}, 0
         for c in range(max(width, default=-1) + 1):
             left[c] = edge
             edge += width.get(c, 0) + (GAP if width.get(c, 0) else 0)
-        out = self.lines(top, tables) if top else []
+        out = self.lines(top) if top else []
         for placed in grid:
             for k in range(max((len(t) for _, _, t, _ in placed), default=0)):
                 line = ""
                 for col, wide, text, style in placed:
                     if k < len(text):
                         room = sum(width.get(c, 0) + (GAP if width.get(c, 0) else 0) for c in range(col, col + wide)) - GAP
-                        cell = text[k].rjust(room) if style == "right" else text[k].center(room) if style == "center" else text[k]
-                        line = line.ljust(left.get(col, 0)) + cell
+                        spare = max(0, room - text_width(text[k]))
+                        cell = " " * (spare if style == "right" else spare // 2 if style == "center" else 0) + text[k]
+                        line += " " * max(0, left.get(col, 0) - text_width(line)) + cell
                 out.append(line.rstrip(" "))
         return out
 
 
+def _holds_cells(node: Node) -> bool:
+    """Whether cells stand below a node before any table does."""
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node) and c.tag in ("td", "th"):
+                return True
+            if isinstance(c, Node) and c.tag != "table":
+                todo.append(c)
+    return False
+
+
 def _span(value: str | None) -> int:
     return max(1, min(1000, int(value))) if value and re.fullmatch(r"[0-9]{1,6}", value.strip()) else 1
 
 
+def _number(value: str | None, default: int) -> int:
+    return int(value) if value and re.fullmatch(r"\s*-?[0-9]{1,9}\s*", value) else default
+
+
 def render(source: str | None) -> str:
     """Visible text of a page."""
     if not source:
         return ""
     root, styles = build(source)
-    return "\n".join(Layout(hidden_selectors(styles)).lines([root]))
+    show(root, style_rules(styles))
+    return "\n".join(Layout().lines([root]))
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from inkstone.llm import html_layout as op
 
 CASES = {
@@ -49,3 +52,43 @@ def test_table_of_pages(spark):
     got = op.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars, r.n_lines) for r in got) == [("1", "u", "a\n\nb", 4, 3), ("1", "u", "a\n\nb", 4, 3), ("2", "None", "", 0, 0), ("None", "v", "", 0, 0)]
     assert op.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def page(rng, depth, shown, words):
+    """Markup of a random subtree and, in words, the visible words and the others; shown: displayed and visible above."""
+    displayed, visible = shown
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        if rng.random() < 0.4 or depth == 0:
+            word = f"w{len(words)}z"
+            words[word] = displayed and visible
+            out.append(f" {word} ")
+            continue
+        tag = rng.choice(["div", "p", "span", "b", "ul", "table", "section"])
+        style, d, v = rng.choice([("", displayed, visible)] * 4 + [("display:none", False, visible), ("visibility:hidden", displayed, False), ("visibility:visible", displayed, True), ("display:none;display:inline", displayed, visible)])
+        if rng.random() < 0.3:
+            how = rng.choice(["gone", "back", "veiled", "paper"])
+            mark, style = f" class={how}", ""
+            d, v = {"gone": (False, visible), "back": (displayed, visible), "veiled": (displayed, False), "paper": (displayed, visible)}[how]
+        else:
+            mark = ""
+        inner = page(rng, depth - 1, (d, v), words)
+        inner = f"<li>{inner}</li>" if tag == "ul" else f"<tr><td>{inner}</td></tr>" if tag == "table" else inner
+        out.append(f"<{tag}{mark} style='{style}'>{inner}</{tag}>")
+    return "".join(out)
+
+
+def test_visible_words_of_random_pages_come_out_and_hidden_ones_do_not():
+    sheet = "<style>.back{display:none} @media print{.paper{display:none}} .gone{display:none} .back{display:revert} .veiled{visibility:hidden}</style>"
+    for seed in range(300):
+        words = {}
+        # p and span may not hold blocks, which moves text but never hides it
+        source = page(random.Random(seed), 5, (True, True), words).replace("<p ", "<article ").replace("</p>", "</article>")
+        found = set(re.findall(r"w[0-9]+z", op.render(sheet + source)))
+        assert found == {w for w, shown in words.items() if shown}, (seed, source)
+
+
+def test_style_sheets_of_any_shape_end():
+    for sheet in ("@media screen{" * 20000 + "p{display:none}", "{" * 20000, "}" * 20000, "a{b:c" * 20000, '"' * 9999 + "{", "a" * 200000, "@" * 5000, "p,p>p p{display:none}" * 2000):
+        assert op.render(f"<style>{sheet}</style><i>v</i>").strip() == "v"
+    assert op.render("<table><tr><td>" * 3000 + "deep").strip().endswith("deep")
