@@ -70,21 +70,28 @@ FROM j
 """
 
 
-OP2 = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS r FROM conversations),
+def _op2(source: str) -> str:
+    return r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS r FROM {source}),
 ls AS (SELECT r, string_split_regex(text, '\r?\n') AS l FROM m),
 lines AS (SELECT r, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM ls),
 lv AS (SELECT r, i, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS body FROM lines),
 ch AS (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY r ORDER BY i) IS DISTINCT FROM level THEN 1 ELSE 0 END AS fresh, coalesce(lead(level) OVER (PARTITION BY r ORDER BY i), 0) AS next_level FROM lv),
 rn AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM ch),
 passages AS (SELECT r, level, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY i)), '[\x20\x09-\x0D]+', ' ', 'g')) AS text FROM rn WHERE level > 0 GROUP BY r, run, level),
-kept AS (SELECT r, string_agg(body, chr(10) ORDER BY i) AS own FROM rn WHERE level = 0 AND NOT (next_level > 0 AND regexp_matches(body, '(?i)(wrote|writes|said|écrit|schrieb|escribió)[ \t]*:[ \t]*$')) GROUP BY r),
-own AS (SELECT m.*, regexp_replace(coalesce(kept.own, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own FROM m LEFT JOIN kept USING (r)),
+mine AS (SELECT *, level = 0 AND NOT (next_level > 0 AND regexp_matches(body, '(?i)(wrote|writes|said|écrit|schrieb|escribió)[ \t]*:[ \t]*$')) AS mine FROM rn),
+kept AS (SELECT r, string_agg(body, chr(10) ORDER BY i) FILTER (mine) AS own, string_agg(CASE WHEN mine THEN body ELSE '' END, chr(10) ORDER BY i) AS broken FROM mine GROUP BY r),
+own AS (SELECT m.*, regexp_replace(coalesce(kept.own, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS own, coalesce(kept.broken, '') AS broken FROM m LEFT JOIN kept USING (r)),
+said AS (SELECT conv_id, turn, trim(regexp_replace(lower(own), '[\x20\x09-\x0D]+', ' ', 'g')) AS said FROM own WHERE turn IS NOT NULL),
 pieces AS (
   SELECT conv_id, turn, own AS u FROM own
-  UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own, '\n[\x20\x09-\x0D]*\n')) FROM own
-  UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM own),
-units AS (SELECT conv_id, trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS u, min(turn) AS original FROM pieces GROUP BY ALL),
+  UNION ALL SELECT conv_id, turn, unnest(string_split_regex(broken, '\n[\x20\x09-\x0D]*\n')) FROM own
+  UNION ALL SELECT conv_id, turn, unnest(string_split(broken, chr(10))) FROM own),
+held AS (
+  SELECT conv_id, trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS u, turn FROM pieces
+  UNION ALL SELECT m.conv_id, p.text, said.turn FROM passages p JOIN m USING (r) JOIN said ON said.conv_id IS NOT DISTINCT FROM m.conv_id
+    AND len(string_split(p.text, ' ')) >= 5 AND contains(' ' || said.said || ' ', ' ' || p.text || ' ')),
+units AS (SELECT conv_id, u, min(turn) AS original FROM held GROUP BY conv_id, u),
 links AS (SELECT p.r, m.conv_id, m.turn, p.level, CASE WHEN units.original < m.turn THEN units.original END AS original
   FROM passages p JOIN m USING (r) LEFT JOIN units ON units.conv_id IS NOT DISTINCT FROM m.conv_id AND units.u = p.text WHERE p.text <> ''),
 lowest AS (SELECT conv_id, turn, min(level) AS level FROM links WHERE original IS NOT NULL GROUP BY conv_id, turn),
@@ -99,6 +106,16 @@ rows_ AS (SELECT o.conv_id, o.turn, o.role, o.own AS own_text, coalesce(n_passag
 SELECT conv_id, turn, role, own_text, n_passages, n_linked, parent_turn, thread_turn, CAST(depth AS BIGINT) AS depth,
   row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST) - 1 AS position
 FROM rows_
-"""
+""".replace("{source}", source)
+
+
+#: Messages that quote the one before: its third to twelfth words, or its whole text and what that may quote, line by line.
+REPLIES = r"""(
+  SELECT conv_id, turn, role, CASE
+    WHEN before IS NULL THEN text
+    WHEN turn % 3 = 1 THEN '> ' || array_to_string(string_split(replace(before, chr(10), ' '), ' ')[3:12], ' ') || chr(10) || text
+    WHEN turn % 3 = 2 THEN 'One wrote:' || chr(10) || '> ' || replace(before, chr(10), chr(10) || '> ') || chr(10) || text
+    ELSE '>> ' || replace(before, chr(10), chr(10) || '>> ') || chr(10) || text || chr(10) || '> no such words were ever said' END AS text
+  FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations))"""
 
-ORACLE: dict[str, str] = {"op2_quote_linking": OP2, "op3_divergence_rules": _op3(), "op5_containment_search": OP5}
+ORACLE: dict[str, str] = {"op2_quote_linking": _op2("conversations"), "op2_quoted_replies": _op2(REPLIES), "op3_divergence_rules": _op3(), "op5_containment_search": OP5}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from inkstone.llm import containment, cube_mix, divergence, html_layout, pii, ppm_language, quotes, simhash_gph, subword_quality, token_rans
 from inkstone.llm.oracle import ORACLE
@@ -28,6 +29,20 @@ def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(_read(spark, sf_dir, "conversations"))
 
 
+def op2_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where messages quote: each is given a part of the one before, its whole text, or that at the second level."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    told = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before"))
+    part = F.array_join(F.slice(F.split(F.regexp_replace("before", "\n", " "), " "), 3, 10), " ")
+    text = (
+        F.when(F.col("before").isNull(), F.col("text"))
+        .when(F.col("turn") % 3 == 1, F.concat(F.lit("> "), part, F.lit("\n"), "text"))
+        .when(F.col("turn") % 3 == 2, F.concat(F.lit("One wrote:\n> "), F.regexp_replace("before", "\n", "\n> "), F.lit("\n"), "text"))
+        .otherwise(F.concat(F.lit(">> "), F.regexp_replace("before", "\n", "\n>> "), F.lit("\n"), "text", F.lit("\n> no such words were ever said")))
+    )
+    return quotes.conversations(told.select("conv_id", "turn", "role", text.alias("text")))
+
+
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(_read(spark, sf_dir, "documents"))
 
@@ -62,7 +77,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_layout, op2_quote_linking, op3_divergence_rules, op4_token_rans, op5_containment_search, op6_cube_mix, op7_simhash_gph, op8_ppm_language, op9_pii_spans, op10_subword_quality)
+    for f in (op1_html_layout, op2_quote_linking, op2_quoted_replies, op3_divergence_rules, op4_token_rans, op5_containment_search, op6_cube_mix, op7_simhash_gph, op8_ppm_language, op9_pii_spans, op10_subword_quality)
 }
 
 

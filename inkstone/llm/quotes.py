@@ -1,12 +1,14 @@
 """Quotation linking: from quoted passages in messages to the messages they come from, and to reply-ordered conversations.
 
 A line's quote level is the number of `>` marks it starts with. A passage is a run of lines of one level above 0. Passages are
-normalised (lower case, white space as one space) and hashed, and looked up among the hashed units of the same conversation: every
-message's own text as a whole, its paragraphs and its lines. A passage's original is the earliest message that holds it as a unit, if that is earlier than the
-quoting message. A message replies to the original of its linked passages of the lowest level, the latest of these. Threads
+normalised (lower case, white space as one space), hashed and linked to the earliest message of the same conversation whose own text holds them, if that is
+earlier than the quoting message. A message holds a passage that is one of its units (its own text as a whole, a paragraph, a line), and a passage of
+RUN_WORDS words or more also if these words stand in its own text in sequence, so that a trimmed quote is found: the hash of the passage's first words is
+looked up among the own texts' runs of that length, and what is found is verified word for word. A message replies to the original of its linked passages of
+the lowest level, the latest of these. Links stay inside a conversation. Threads
 follow replies to their roots by pointer doubling; a conversation in reply order lists threads by their root's turn and each
 thread by turn, so every reply stands after what it answers. Own text is what is left without passages and the
-attribution lines right before them.
+attribution lines right before them; paragraphs and lines of it also end where a passage stood.
 
 Defined cases: null texts are empty; a null turn comes first and is nobody's original; messages equal in conversation and turn are separate rows that share
 their reply's target (the earliest found); a null conv_id is one conversation; repeated rows are kept; other columns are ignored; an empty table
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import let, materialize, with_position
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
+#: Words from which on a passage is also found inside a unit.
+RUN_WORDS = 5
 ATTRIBUTION = r"(?i)(wrote|writes|said|écrit|schrieb|escribió)[ \t]*:[ \t]*$"
 
 
@@ -41,23 +45,49 @@ def parse(messages: DataFrame) -> DataFrame:
         quoted = F.filter(runs, lambda r: r["level"] > 0)
         return F.filter(F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), normalise(F.array_join(F.transform(r["part"], lambda p: p["body"]), "\n")).alias("text"))), lambda q: q["text"] != "")
 
+    def kept(ls: Column, x: Column, i: Column) -> Column:
+        return (x["level"] == 0) & ~(F.coalesce(F.get(ls, i + 1)["level"] > 0, F.lit(False)) & x["body"].rlike(ATTRIBUTION))
+
     def own(ls: Column) -> Column:
-        kept = F.filter(ls, lambda x, i: (x["level"] == 0) & ~(F.coalesce(F.get(ls, i + 1)["level"] > 0, F.lit(False)) & x["body"].rlike(ATTRIBUTION)))
-        return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+        left = F.filter(ls, lambda x, i: kept(ls, x, i))
+        return F.regexp_replace(F.array_join(F.transform(left, lambda x: x["body"]), "\n"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+
+    def broken(ls: Column) -> Column:
+        """The own text with an empty line for every line that is not in it."""
+        return F.array_join(F.transform(ls, lambda x, i: F.when(kept(ls, x, i), x["body"]).otherwise(F.lit(""))), "\n")
 
-    parsed = lined.select("conv_id", "turn", "role", "row_key", let(F.col("lines"), own).alias("own"), let(F.col("lines"), passages).alias("passages"))
-    pieces = F.concat(F.array(F.col("own")), F.split("own", r"\n[\x20\x09-\x0D]*\n"), F.split("own", "\n"))
+    parsed = lined.select("conv_id", "turn", "role", "row_key", let(F.col("lines"), own).alias("own"), let(F.col("lines"), broken).alias("broken"), let(F.col("lines"), passages).alias("passages"))
+    pieces = F.concat(F.array(F.col("own")), F.split("broken", r"\n[\x20\x09-\x0D]*\n"), F.split("broken", "\n"))
     units = F.filter(F.array_distinct(F.transform(pieces, normalise)), lambda u: u != "")
-    return parsed.withColumn("units", units)
+    return parsed.withColumn("units", units).drop("broken")
+
+
+def _runs(ws: Column) -> Column:
+    """Hashes of all runs of RUN_WORDS words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (RUN_WORDS - 1), F.lit(1)))
+    return F.when(F.size(ws) >= RUN_WORDS, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, RUN_WORDS), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _inside(parsed: DataFrame, quoted: DataFrame, conv: Column) -> DataFrame:
+    """conv, hash, turn of messages whose own words hold a passage of RUN_WORDS words or more."""
+    wanted = quoted.withColumn("ws", F.split("text", " ")).where(F.size("ws") >= RUN_WORDS)
+    wanted = materialize(wanted.select("conv", "hash", "text", F.size("ws").alias("n"), F.xxhash64(F.array_join(F.slice("ws", 1, RUN_WORDS), " ")).alias("head")).distinct(), "quote-wanted")
+    said = parsed.where("turn is not null").select(conv, "turn", normalise(F.col("own")).alias("said")).join(wanted.select("conv").distinct(), "conv", "left_semi")
+    said = materialize(said.groupBy("conv", "said").agg(F.min("turn").alias("turn")).withColumn("said_key", F.md5("said")), "quote-said")  # of equal texts only the first counts
+    places = said.select(F.col("conv").alias("in_conv"), "said_key", F.posexplode(let(F.split("said", " "), _runs)).alias("at", "run"))
+    found = places.join(wanted, (F.col("in_conv") == F.col("conv")) & (F.col("run") == F.col("head"))).select("conv", "said_key", "at", "hash", "text", "n")
+    held = found.join(said, ["conv", "said_key"]).where(F.array_join(F.slice(F.split("said", " "), F.col("at") + 1, F.col("n")), " ") == F.col("text"))
+    return held.select("conv", "hash", "turn")
 
 
 def link(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, row_key, level, hash, original (turn or null) of every quoted passage."""
     conv = F.coalesce("conv_id", F.lit(-(1 << 63)).cast("long")).alias("conv")
-    quoted = materialize(parsed.select(conv, "turn", "row_key", F.posexplode("passages").alias("place", "p")).select("conv", "turn", "row_key", "place", "p.level", F.md5("p.text").alias("hash")), "quote-passages")
+    quoted = materialize(parsed.select(conv, "turn", "row_key", F.posexplode("passages").alias("place", "p")).select("conv", "turn", "row_key", "place", "p.level", "p.text", F.md5("p.text").alias("hash")), "quote-passages")
     wanted = quoted.select("conv", "hash").distinct()
-    units = parsed.where("turn is not null").select(conv, "turn", F.explode("units").alias("u")).select("conv", "turn", F.md5("u").alias("hash"))
-    first = materialize(units.join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("original")), "quote-originals")
+    units = parsed.where("turn is not null").select(conv, "turn", F.explode("units").alias("u")).select("conv", F.md5("u").alias("hash"), "turn")
+    holders = units.join(wanted, ["conv", "hash"], "left_semi").unionByName(_inside(parsed, quoted, conv))
+    first = materialize(holders.groupBy("conv", "hash").agg(F.min("turn").alias("original")), "quote-originals")
     found = quoted.join(first, ["conv", "hash"], "left")
     return found.select("conv", "turn", "row_key", "place", "level", "hash", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original"))
 
@@ -91,5 +121,5 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
     numbered = materialize(with_position(placed, ["conv", "thread_turn", "turn", "row_key"], "seq", "quote-order"), "quote-ordered")
-    firsts = numbered.groupBy("conv").agg(F.min("seq").alias("first"))
+    firsts = materialize(numbered.groupBy("conv").agg(F.min("seq").alias("first")), "quote-firsts")  # written, so that the join of a long conversation can be split
     return numbered.join(firsts, "conv").select("conv_id", "turn", "role", "own_text", "n_passages", "n_linked", "parent_turn", "thread_turn", "depth", (F.col("seq") - F.col("first")).alias("position"))

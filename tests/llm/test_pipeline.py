@@ -71,3 +71,6 @@ def test_oracles_agree_on_the_small_tables(spark):
         want = sorted(map(repr, found.fetchall()))
         got = sorted(repr(tuple(r)) for r in QUERIES[name](spark, SF).select(columns).collect())
         assert got == want, name
+        if name == "op2_quoted_replies":
+            linked = QUERIES[name](spark, SF).where("n_linked > 0").count()
+            assert linked > 0.5 * len(got)

@@ -22,6 +22,13 @@ ROWS = [
     (2, 4, "user", "later words"),
     (None, None, "user", "no turn"),
     (None, 1, "user", "> no turn\n> \n>>> x"),
+    (4, 0, "a", "l one is here\nl two is here too\nl three\n\nnext paragraph of words\nlast line"),
+    (4, 1, "b", "> l one is here\n> l two is here too\nfirst part"),
+    (4, 2, "b", "> two is here too l three next\n> paragraph of\nmiddle, over the paragraph"),
+    (4, 3, "b", "> l one\ntoo short for a part"),
+    (4, 4, "b", "> one is here l two was\nnearly"),
+    (4, 5, "b", "answer one\nin two lines\n> l three\nanswer two\n> last line\nanswer three"),
+    (4, 6, "b", "> answer one\n> in two lines\n>> l one is here l two\nyes"),
     (3, 5, "a", "tie one"),
     (3, 5, "b", "tie two\n> tie one"),
     (3, 6, "b", "> tie two\r\nok\r\n> tie one"),
@@ -39,7 +46,7 @@ def brute(rows):
         for line in re.split("\r?\n", text or ""):
             m = re.match(r"[ \t]*(?:>[ \t]?)+", line)
             lines.append((m.group().count(">") if m else 0, line[m.end() :] if m else line))
-        runs, own = [], []
+        runs, own, broken = [], [], []
         for i, (level, body) in enumerate(lines):
             after = lines[i + 1][0] if i + 1 < len(lines) else 0
             if level:
@@ -49,13 +56,22 @@ def brute(rows):
                     runs.append((level, [body]))
             elif not (after and re.search(op.ATTRIBUTION, body)):
                 own.append(body)
+                broken.append(body)
+                continue
+            broken.append("")
         own = "\n".join(own).strip(" \t\n\x0b\x0c\r")
-        units = {norm(u) for u in [own, *re.split(r"\n[\x20\x09-\x0D]*\n", own), *own.split("\n")]} - {""}
+        broken = "\n".join(broken)
+        units = {norm(u) for u in [own, *re.split(r"\n[\x20\x09-\x0D]*\n", broken), *broken.split("\n")]} - {""}
         parsed.append((conv, turn, role, own, [(lv, norm("\n".join(b))) for lv, b in runs if norm("\n".join(b))], units))
     first = {}
     for conv, turn, _, _, _, units in parsed:
         for u in units if turn is not None else ():
             first[conv, u] = min(turn, first.get((conv, u), turn))
+    quoted = {(conv, u) for conv, _, _, _, passages, _ in parsed for _, u in passages if len(u.split(" ")) >= 5}
+    for conv, u in quoted:
+        for other, turn, _, own, _, _ in parsed:
+            if other == conv and turn is not None and f" {u} " in f" {norm(own)} ":
+                first[conv, u] = min(turn, first.get((conv, u), turn))
     reply = {}
     for conv, turn, _, _, passages, _ in parsed:
         for level, u in passages:
@@ -78,6 +94,7 @@ def test_links_threads_and_texts_equal_brute_force(spark):
     got = op.conversations(df).collect()
     strip = [(r.conv_id, r.turn, r.role, r.own_text, r.n_passages, r.n_linked, r.parent_turn, r.thread_turn, r.depth) for r in got]
     assert sorted(map(repr, strip)) == sorted(map(repr, brute(ROWS)))
+    assert {r.turn: r.n_linked for r in got if r.conv_id == 4} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 2, 6: 2}
     by = defaultdict(list)
     for r in got:
         by[r.conv_id].append(r)
