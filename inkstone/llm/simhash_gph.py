@@ -342,18 +342,20 @@ def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) ->
 #: which a pair becomes a candidate: STAGE_DISTANCE of the 64 that are searched, STAGE_BOTH of these and the 64 remixed ones. README has the
 #: share of pairs at 0.8 and above that these bits find.
 STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 36
+#: Texts that have a near one by these bits are compared by MORE_WORDS further remixed fingerprints, which may differ in MORE_BITS.
+MORE_WORDS, MORE_BITS = 8, 97
 #: Here a bucket row costs so many compared pairs; buckets are cut beyond STAGE_BLOCK rows; tiles have TILE pairs, and buckets of up to SMALL rows are
 #: compared side by side. A task passes pairs on when it holds HELD_PAIRS.
 STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 2000.0, 1 << 16, 1 << 18, 48, 1 << 16
 #: Columns of a bucket row: bucket number with the lowest bit set for a probe, the pair of blocks, both fingerprints, the unit,
-#: its number of shingles and its label.
-BUCKET = ("bucket", "pair", "fp", "fp2", "unit", "n", "label")
+#: its number of shingles, its label and, once they are known, its further fingerprints.
+BUCKET = ("bucket", "pair", "fp", "fp2", "unit", "n", "label", "more")
 
 
 def near_in_buckets(cols: list[np.ndarray], distance: int, both: int, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of rows sorted by bucket, probes last: positions of pairs of different units in one bucket, at least one of them no
     probe, within the distances and with sizes that allow the Jaccard; and their distance."""
-    bucket, pair, fp, fp2, unit, n, _ = cols
+    bucket, pair, fp, fp2, unit, n, _, more = cols
     key = bucket >> 1
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
     last = np.r_[first[1:], len(fp)]
@@ -363,7 +365,12 @@ def near_in_buckets(cols: list[np.ndarray], distance: int, both: int, jaccard: f
     def passed(l: np.ndarray, r: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         off = off + np.bitwise_count(fp2[l] ^ fp2[r])
         good = (off <= both) & (unit[l] != unit[r]) & (np.minimum(n[l], n[r]) >= jaccard * np.maximum(n[l], n[r]) - 1e-9)
-        return l[good], r[good], off[good]
+        l, r, off = l[good], r[good], off[good]
+        if more.shape[1]:
+            apart = np.bitwise_count(more[l] ^ more[r]).sum(axis=1, dtype=np.int64)
+            near = apart <= MORE_BITS
+            l, r, off = l[near], r[near], apart[near]
+        return l, r, off
 
     small = last - first <= SMALL
     end = np.repeat(last, last - first)
@@ -389,7 +396,9 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
     """Columns of rows sorted by bucket, cut where a bucket ends."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [np.asarray(batch.column(c)) for c in BUCKET]
+        cols = [np.asarray(batch.column(c)) for c in BUCKET[:-1]]
+        wide = batch.column("more").to_pylist() if "more" in batch.schema.names else []
+        cols.append(np.frombuffer(b"".join(wide), np.uint64).reshape(batch.num_rows, -1) if wide else np.zeros((batch.num_rows, 0), np.uint64))
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
         key, pair = held[0] >> 1, held[1]
         new = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
@@ -400,21 +409,25 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarra
         yield held
 
 
-def nearest_earlier(distance: int, both: int, jaccard: float):
-    """A mapInArrow function over sorted bucket rows -> (unit, off, mate): of every unit with a near one its nearest smaller
-    unit, or null if there is none."""
+def nearest_mates(distance: int, both: int, jaccard: float, across: bool):
+    """A mapInArrow function over sorted bucket rows -> (unit, off, mate): of every unit with a near one its nearest smaller unit,
+    or null if there is none; with across, its nearest unit of another label, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _whole_buckets(batches):
-            unit = cols[4]
+            unit, label = cols[4], cols[6]
             best, mate, paired = np.full(len(unit), 1 << 20), np.zeros(len(unit), np.int64), np.zeros(len(unit), bool)
             for l, r, off in near_in_buckets(cols, distance, both, jaccard):
-                later, early = np.where(unit[l] > unit[r], l, r), np.where(unit[l] > unit[r], r, l)
-                paired[early] = True
-                order = np.lexsort((unit[early], off, later))
-                head = order[np.flatnonzero(np.diff(later[order], prepend=-1))]
-                closer = head[off[head] < best[later[head]]]
-                best[later[closer]], mate[later[closer]] = off[closer], unit[early[closer]]
+                if across:
+                    apart = label[l] != label[r]
+                    own, other, off = np.r_[l[apart], r[apart]], np.r_[r[apart], l[apart]], np.r_[off[apart], off[apart]]
+                else:
+                    own, other = np.where(unit[l] > unit[r], l, r), np.where(unit[l] > unit[r], r, l)
+                    paired[other] = True
+                order = np.lexsort((unit[other], off, own))
+                head = order[np.flatnonzero(np.diff(own[order], prepend=-1))]
+                closer = head[off[head] < best[own[head]]]
+                best[own[closer]], mate[own[closer]] = off[closer], unit[other[closer]]
             rows = np.flatnonzero(paired | (best < 1 << 20))
             if len(rows):
                 some = best[rows] < 1 << 20
@@ -424,21 +437,22 @@ def nearest_earlier(distance: int, both: int, jaccard: float):
 
 
 def open_pairs(distance: int, both: int, jaccard: float):
-    """A mapInArrow function over sorted bucket rows -> pairs a > b of near units with different labels."""
+    """A mapInArrow function over sorted bucket rows -> pairs a > b of near units with different labels, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "label_a", "label_b"])
 
         held, count = [], 0
         for cols in _whole_buckets(batches):
             unit, label = cols[4], cols[6]
             for l, r, _ in near_in_buckets(cols, distance, both, jaccard):
                 apart = label[l] != label[r]
-                x, y = unit[l[apart]], unit[r[apart]]
-                held.append(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1))
-                count += len(x)
+                l, r = l[apart], r[apart]
+                a, b = np.where(unit[l] > unit[r], l, r), np.where(unit[l] > unit[r], r, l)
+                held.append(np.stack([unit[a], unit[b], label[a], label[b]], axis=1))
+                count += len(a)
                 if count > HELD_PAIRS:
                     yield out(held)
                     held, count = [], 0
@@ -448,8 +462,21 @@ def open_pairs(distance: int, both: int, jaccard: float):
     return run
 
 
+def more_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, s) -> (unit, more): MORE_WORDS fingerprints of the hashes, each remixed once more than the one before."""
+    for batch in batches:
+        lists = batch.column("s")
+        offsets, values = np.asarray(lists.offsets, dtype=np.int64), _remix(np.asarray(lists.values, dtype=np.int64).view(np.uint64))
+        found = []
+        for k in range(MORE_WORDS):
+            values = _remix(values ^ np.uint64(k + 1))
+            found.append(_majority_bits(values, offsets))
+        wide = np.stack(found, axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([w.tobytes() for w in wide], pa.binary())], names=["unit", "more"])
+
+
 def sorted_buckets(units: DataFrame, plan: list[tuple[list[int], int]], block: int) -> DataFrame:
-    """BUCKET rows of units(fp, fp2, unit, n, label), dealt out and sorted by bucket: each unit under its own key of every part,
+    """BUCKET rows of units(fp, fp2, unit, n, label, perhaps more), dealt out and sorted by bucket: each unit under its own key of every part,
     and as a probe under the keys near it. Of the two directions of a flip only the one that raises the lowest flipped bit is made."""
 
     def bits(part: list[int]):
@@ -467,14 +494,15 @@ def sorted_buckets(units: DataFrame, plan: list[tuple[list[int], int]], block: i
 
     keyed = units.select("*", *[bits(part).alias(f"key{number}") for number, (part, _) in enumerate(plan)])
     every = [e for number, (part, t) in enumerate(plan) for e in entries(number, part, t)]
-    rows = keyed.select(F.explode(F.concat(*every)).alias("bucket"), "fp", "fp2", "unit", "n", "label")
+    carried = [c for c in BUCKET[2:] if c in units.columns]
+    rows = keyed.select(F.explode(F.concat(*every)).alias("bucket"), *carried)
     key = F.shiftright("bucket", 1)
     hot = materialize(rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block), "near-hot")
     cut = hot.select("key", F.ceil(F.col("rows") / F.lit(block // 2)).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("unit"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, mine) * F.col("k") + F.greatest(j, mine))
     joined = rows.withColumn("key", key).join(cut, "key", "left")
-    dealt = joined.select("bucket", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"), "fp", "fp2", "unit", "n", "label")
+    dealt = joined.select("bucket", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("pair"), *carried)
     return dealt.repartition(F.shiftright("bucket", 1), "pair").sortWithinPartitions("pair", "bucket")
 
 
@@ -482,7 +510,8 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     """id, row_key, copies, root for the different rows of docs: root names the class of texts that are tied by shingle Jaccard
     of jaccard or more, where the pairs looked at are those within the distances. A unit is a text in lower case without
     regard to white space. First each unit's nearest smaller one is found, whose verified links tie dense groups without all
-    their pairs; then, among units that have a near one, every pair that is still of two classes."""
+    their pairs. Units that have a near one get further fingerprints; then each looks for its nearest one of another class, and last every
+    pair that is still of two classes is verified. Links of the last step tie classes, not texts."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("row_key"), words(lower_ascii(F.col("text"))).alias("w"), "text")
     hashed = keyed.select("id", "row_key", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.array_distinct(shingle_hashes(F.col("text"), width)).alias("hashes"))
     prints = materialize(hashed.mapInArrow(majority(True), "id long, row_key long, unit long, fp long, n int, fp2 long"), "near-prints")
@@ -491,26 +520,41 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     n, p, corr = bit_statistics(units)
     plan = plan_parts(max(n, 2), p, corr, distance, sampled_prints(units), STAGE_ROW_COST)
 
-    found = sorted_buckets(units.withColumn("label", F.col("unit")), plan, block).mapInArrow(nearest_earlier(distance, both, jaccard), "unit long, off long, mate long")
-    nearest = F.min(F.when(F.col("mate").isNotNull(), F.struct("off", "mate")))
-    paired = materialize(found.groupBy("unit").agg(nearest["mate"].alias("mate")), "near-paired")
-    wanted = units.join(paired.select("unit"), "unit", "left_semi").select("unit", "row_key").hint("shuffle_hash")  # alike at every size
+    def mates(rows: DataFrame, across: bool) -> DataFrame:
+        found = sorted_buckets(rows, plan, block).mapInArrow(nearest_mates(distance, both, jaccard, across), "unit long, off long, mate long")
+        nearest = F.min(F.when(F.col("mate").isNotNull(), F.struct("off", "mate")))
+        return materialize(found.groupBy("unit").agg(nearest["mate"].alias("mate")), "near-paired")
+
+    paired = mates(units.withColumn("label", F.col("unit")), False)
+    near_units = materialize(units.join(paired.select("unit"), "unit", "left_semi"), "near-some")
+    wanted = near_units.select("unit", "row_key").hint("shuffle_hash")  # alike at every size
     texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").select("unit", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
     sets = materialize(texts.dropDuplicates(["unit"]), "near-shingles")
+    more = materialize(sets.mapInArrow(more_prints, "unit long, more binary"), "near-more")
 
     def verified(found: DataFrame) -> DataFrame:
+        """Those of found(a, b and others) whose texts have the Jaccard, without a and b if there are others."""
+        kept = [c for c in found.columns if c not in ("a", "b")] or ["a", "b"]
         both_sets = found.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
-        common = both_sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-        return materialize(common.where(F.col("common") >= F.lit(jaccard) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select("a", "b"), "near-links")
-
-    near = verified(paired.where("mate is not null").select(F.col("unit").alias("a"), F.col("mate").alias("b")))
-    roots = components(near)
-    labelled = materialize(units.join(paired.select("unit"), "unit", "left_semi").join(roots, F.col("unit") == F.col("v"), "left").select("fp", "fp2", "unit", "n", F.coalesce("root", "unit").alias("label")), "near-labels")
-    rest = verified(materialize(sorted_buckets(labelled, plan, block).mapInArrow(open_pairs(distance, both, jaccard), "a long, b long").distinct(), "near-pairs"))
-    roots = components(near.unionByName(rest))
-    discard(sets, prints)
-    named = rows.join(roots, rows["unit"] == roots["v"], "left")
-    return named.select("id", "row_key", "copies", F.coalesce("root", "unit").alias("root"))
+        common = both_sets.select(*kept, F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+        return materialize(common.where(F.col("common") >= F.lit(jaccard) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select(*kept).distinct(), "near-links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return materialize(near_units.join(roots, F.col("unit") == F.col("v"), "left").join(more, "unit").select("fp", "fp2", "unit", "n", "more", F.coalesce("root", "unit").alias("label")), "near-labels")
+
+    def as_pairs(found: DataFrame) -> DataFrame:
+        return found.where("mate is not null").select(F.greatest("unit", "mate").alias("a"), F.least("unit", "mate").alias("b")).distinct()
+
+    near = verified(as_pairs(paired))
+    near = near.unionByName(verified(as_pairs(mates(labelled(near), True))))
+    classes_ = labelled(near)
+    pairs = sorted_buckets(classes_, plan, block).mapInArrow(open_pairs(distance, both, jaccard), "a long, b long, label_a long, label_b long").distinct()
+    tied = verified(materialize(pairs, "near-pairs"))
+    over = components(tied.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    named = materialize(classes_.select("unit", "label").join(over, F.col("label") == F.col("v"), "left").select("unit", F.coalesce("root", "label").alias("root")), "near-classes")
+    discard(sets, prints, more)
+    return rows.join(named, "unit", "left").select("id", "row_key", "copies", F.coalesce("root", "unit").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, jaccard: float = STAGE_JACCARD, distance: int = STAGE_DISTANCE, both: int = STAGE_BOTH) -> DataFrame:

@@ -89,10 +89,14 @@ def shingle_set(text, width=5):
 
 
 def stage_prints(shingles):
-    """Both fingerprints of a set of shingles, bit by bit."""
+    """All fingerprints of a set of shingles, bit by bit."""
     hs = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
-    more = [int(h) for h in op._remix(np.array(hs, np.uint64))]
-    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each)) for each in (hs, more))
+    rounds = [hs, [int(h) for h in op._remix(np.array(hs, np.uint64))]]
+    last = np.array(rounds[1], np.uint64)
+    for k in range(op.MORE_WORDS):
+        last = op._remix(last ^ np.uint64(k + 1))
+        rounds.append([int(h) for h in last])
+    return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each)) for each in rounds]
 
 
 def jaccard_classes(texts, jaccard=0.8, within_bits=False):
@@ -104,8 +108,8 @@ def jaccard_classes(texts, jaccard=0.8, within_bits=False):
         for j in range(i):
             if root[i] != root[j] and len(sets[i] & sets[j]) >= jaccard * len(sets[i] | sets[j]):
                 if within_bits:
-                    off, more = ((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True))
-                    if off > op.STAGE_DISTANCE or off + more > op.STAGE_BOTH:
+                    off = [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)]
+                    if off[0] > op.STAGE_DISTANCE or off[0] + off[1] > op.STAGE_BOTH or sum(off[2:]) > op.MORE_BITS:
                         continue
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
@@ -121,7 +125,7 @@ def test_near_pairs_of_buckets_equal_brute_force():
         centre = rng.integers(0, 2**63, 6, dtype=np.int64)
         fp = centre[bucket >> 1] ^ (1 << rng.integers(0, 62, k)) ^ (1 << rng.integers(0, 62, k))
         unit = rng.integers(0, 60, k)
-        cols = [bucket, np.zeros(k, np.int32), fp, fp >> 1, unit, rng.integers(8, 12, k).astype(np.int32), unit]
+        cols = [bucket, np.zeros(k, np.int32), fp, fp >> 1, unit, rng.integers(8, 12, k).astype(np.int32), unit, np.zeros((k, 0), np.uint64)]
         got = {(min(a, b), max(a, b)) for l, r, _ in op.near_in_buckets(cols, 3, 6, 0.8) for a, b in zip(l.tolist(), r.tolist(), strict=True)}
         bits = lambda x: int(x & (2**64 - 1)).bit_count()
         want = set()
