@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import colorsys
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +78,7 @@ def normalise(value: Column, names: bool = True) -> Column:
     short = F.concat(F.lit("#"), *[F.repeat(F.substring(text, i, 1), 2) for i in (2, 3, 4)])
     out = F.when(text.rlike("^#[0-9a-f]{3,4}$"), short).when(text.rlike("^#(?:[0-9a-f]{6}|[0-9a-f]{8})$"), F.substring(text, 1, 7)).when(text.rlike(r"^(?:rgb|hsl)a?\s*\([^)]+\)$"), _functional(text))
     if names:
-        table = F.create_map(*[F.lit(x) for pair in named_colors().items() for x in pair])
+        table = F.expr("map(" + ", ".join(f"'{name}', '{code}'" for name, code in named_colors().items()) + ")")
         out = F.when(text.rlike("^[a-z]+$"), F.try_element_at(table, text)).otherwise(out)
     return out
 
@@ -117,6 +119,35 @@ def with_lab(df: DataFrame, color: str, prefix: str) -> DataFrame:
     return df.drop(*[f"{prefix}__{k}" for k in ("r", "g", "b", "fx", "fy", "fz")])
 
 
+def normalised(value: str) -> str | None:
+    """What normalise gives, for token sets on the driver."""
+    text = value.strip().lower()
+    if re.fullmatch("#[0-9a-f]{3,4}", text):
+        return "#" + "".join(c * 2 for c in text[1:4])
+    if re.fullmatch("#(?:[0-9a-f]{6}|[0-9a-f]{8})", text):
+        return text[:7]
+    if not re.fullmatch(r"(?:rgb|hsl)a?\s*\([^)]+\)", text):
+        return named_colors().get(text)
+    numbers = re.findall(r"-?\d*\.?\d+%?", text)[:3]
+    if len(numbers) < 3:
+        return None
+    plain = [float(n.rstrip("%")) for n in numbers]
+    if text.startswith("hsl"):
+        channels = [c * 255 for c in colorsys.hls_to_rgb(plain[0] / 360 % 1, plain[2] / 100, plain[1] / 100)]
+    else:
+        channels = [v * 2.55 if n.endswith("%") else v for n, v in zip(numbers, plain, strict=True)]
+    return "#" + "".join(f"{min(255, max(0, math.floor(c + 0.5))):02x}" for c in channels)
+
+
+def lab(color: str) -> tuple[float, float, float]:
+    """Lab of `#rrggbb`, for token sets on the driver."""
+    plain = [int(color[k : k + 2], 16) / 255 for k in (1, 3, 5)]
+    rgb = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in plain]
+    x, y, z = (sum(c * m for c, m in zip(rgb, row, strict=True)) / w for row, w in zip(TO_XYZ, WHITE, strict=True))
+    fx, fy, fz = (math.cbrt(t) if t > 216 / 24389 else (24389 / 27 * t + 16) / 116 for t in (x, y, z))
+    return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
+
+
 def with_delta_e(df: DataFrame, p: str, q: str, name: str) -> DataFrame:
     """Adds the CIEDE2000 distance of the lab columns with prefixes p and q, in stages, so that no term is written out twice."""
     keep = df.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of colour literals, token references and property families.
@@ -27,6 +27,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each computed once for a row, however many filters and columns name them: the optimizer neither
+    copies an expression past the generator it comes out of, nor moves a filter on it below."""
+    for name, value in columns.items():
+        df = df.withColumn(name, F.explode(F.array(value)))
+    return df
+
+
 def has_color(value: Column) -> Column:
     return value.rlike(COLOR)
 
@@ -157,13 +165,21 @@ def class_names(text: Column) -> Column:
 
 def arbitrary_class(name: Column) -> Column:
     """struct(utility, raw, number, category) of a class with a bracketed value; null for others and for calc() and var()."""
-    by_property = name.rlike(PROPERTY_CLASS)
-    pattern = lambda group: F.when(by_property, F.regexp_extract(name, PROPERTY_CLASS, group)).otherwise(F.regexp_extract(name, CLASS_NAME, group))
-    utility, raw = pattern(2), pattern(3)
-    number = number_of(raw)
-    by_name = F.when(utility.startswith("rounded"), "radius").when(utility.isin(*SPACING_UTILITIES) | utility.rlike(SPACING_PROP), "spacing").when(has_color(raw), "color").when((utility == "text") & number.isNotNull(), "fontSize").otherwise("other")
-    category = F.when(by_property, F.when(has_color(raw), "color").when(utility.rlike(RADIUS_PROP), "radius").when(utility.rlike(SPACING_PROP), "spacing").when(utility == "font-size", "fontSize").otherwise("other")).otherwise(by_name)
-    return F.when((utility != "") & ~raw.rlike(DYNAMIC), F.struct(utility.alias("utility"), raw.alias("raw"), number.alias("number"), category.alias("category")))
+
+    def judged(x: Column) -> Column:
+        utility, raw, number, colored = x["utility"], x["raw"], x["number"], x["colored"]
+        by_name = F.when(utility.startswith("rounded"), "radius").when(utility.isin(*SPACING_UTILITIES) | utility.rlike(SPACING_PROP), "spacing").when(colored, "color").when((utility == "text") & number.isNotNull(), "fontSize").otherwise("other")
+        by_property = F.when(colored, "color").when(utility.rlike(RADIUS_PROP), "radius").when(utility.rlike(SPACING_PROP), "spacing").when(utility == "font-size", "fontSize").otherwise("other")
+        category = F.when(x["property"], by_property).otherwise(by_name)
+        return F.when((utility != "") & ~raw.rlike(DYNAMIC), F.struct(utility.alias("utility"), raw.alias("raw"), number.alias("number"), category.alias("category")))
+
+    def measured(x: Column) -> Column:
+        return let(F.struct(x["property"].alias("property"), x["utility"].alias("utility"), x["raw"].alias("raw"), number_of(x["raw"]).alias("number"), has_color(x["raw"]).alias("colored")), judged)
+
+    def parts(pattern: str, by_property: bool) -> Column:
+        return F.struct(F.lit(by_property).alias("property"), F.regexp_extract(name, pattern, 2).alias("utility"), F.regexp_extract(name, pattern, 3).alias("raw"))
+
+    return F.when(name.contains("["), let(F.when(name.rlike(PROPERTY_CLASS), parts(PROPERTY_CLASS, True)).otherwise(parts(CLASS_NAME, False)), measured))
 
 
 def with_bracket(name: Column, value: Column) -> Column:

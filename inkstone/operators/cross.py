@@ -28,8 +28,8 @@ def dead_tokens(facts: DataFrame) -> DataFrame:
 def near_spacing(facts: DataFrame, scale: list[float]) -> DataFrame:
     """Parts of spacing values in style blocks that miss a scale of five or more values by at most 4 px."""
     parts = parts_of(facts_of(facts, "decl").where("origin = 'css'").where(F.col("name").rlike(values.SPACING_PROP)))
-    px = values.px_of(F.col("part"))
-    near = values.nearest(px, scale, values.SPACING_NEAR)
+    parts, px = values.once(parts, px=values.px_of(F.col("part"))), F.col("px")
+    parts, near = values.once(parts, near=values.nearest(px, scale, values.SPACING_NEAR)), F.col("near")
     found = parts.where(~values.in_scale(px, scale) & near.isNotNull()) if len(scale) >= LEAST_SCALE else parts.where("false")
     return violation(found, "spacing-near-token", F.concat(F.lit('"'), F.col("part"), F.lit('" is close to '), values.number_text(near), F.lit("px")), F.concat(values.number_text(near), F.lit("px")), F.col("part"))
 

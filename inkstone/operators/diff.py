@@ -18,8 +18,10 @@ def categorised(violations: DataFrame) -> DataFrame:
 
 
 def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One violation for each key of left that right lacks."""
-    return left.dropDuplicates(KEY).join(right.select(*KEY).distinct(), KEY, "left_anti")
+    """For each key of left that right lacks its first violation."""
+    place = F.struct("line", "col", F.struct(*left.columns))
+    first = left.groupBy(*KEY).agg(F.min(place).alias("first")).join(right.select(*KEY).distinct(), KEY, "left_anti")
+    return first.select(*[F.col("first")["col3"][c].alias(c) for c in left.columns])
 
 
 def file_impact(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -24,10 +24,15 @@ def token_rows(spark: SparkSession, tokens: Tokens) -> DataFrame:
     return found.withColumn("value", hexed).where("value is not null")
 
 
+def found_values(facts: DataFrame) -> DataFrame:
+    """category, value (families in lower case), shown (as written), file, line, col of every value in code."""
+    seen = occurrences(facts, KINDS, skip_tokens=True).withColumn("shown", F.col("value"))
+    return seen.withColumn("value", F.when(F.col("category") == "fontFamily", F.lower("value")).otherwise(F.col("value")))
+
+
 def code_values(facts: DataFrame) -> DataFrame:
-    """category, value (families in lower case), n and locations of every value in code."""
-    seen = occurrences(facts, KINDS, skip_tokens=True).withColumn("shown", F.col("value")).withColumn("value", F.when(F.col("category") == "fontFamily", F.lower("value")).otherwise(F.col("value")))
-    return seen.groupBy("category", "value").agg(F.min("shown").alias("shown"), F.count(F.lit(1)).alias("n"), F.array_sort(F.array_agg(F.struct("file", "line", "col"))).alias("locations"))
+    """category, value, shown and n of every value in code; where each one stands are the rows of found_values."""
+    return found_values(facts).groupBy("category", "value").agg(F.min("shown").alias("shown"), F.count(F.lit(1)).alias("n"))
 
 
 def drifted(used: DataFrame, tokens: Tokens) -> DataFrame:

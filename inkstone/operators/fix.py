@@ -42,7 +42,8 @@ def fix_lines(text: str, wanted: list[tuple]) -> tuple[str, list[str | None]]:
 
 
 def apply(violations: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row for each violation with status applied or skipped and the reason; content is its file's new text."""
+    """One row for each violation with status applied or skipped and the reason; the first row of a file holds its new
+    content."""
 
     def run(key: tuple, rows: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
         out = rows[["file", "rule_id", "line", "col", "old_value", "suggested"]].reset_index(drop=True).copy()
@@ -54,7 +55,7 @@ def apply(violations: DataFrame, sources: DataFrame) -> DataFrame:
             none = lambda v: None if pd.isna(v) else v
             wanted = [(int(r.line), int(r.col), none(r.old_value), none(r.suggested)) for r in out.itertuples()]
             content, reasons = fix_lines(files["content"].iloc[0], wanted)
-            out["content"], out["reason"] = content, reasons
+            out["content"], out["reason"] = [content, *[None] * (len(out) - 1)], reasons
         out["status"] = ["skipped" if r else "applied" for r in out["reason"]]
         return out[[c.split()[0] for c in RESULT.split(", ")]]
 
@@ -64,7 +65,8 @@ def apply(violations: DataFrame, sources: DataFrame) -> DataFrame:
 
 def rewritten(fixes: DataFrame) -> DataFrame:
     """file, content of every file that a fix changed."""
-    return fixes.where("status = 'applied'").groupBy("file").agg(F.first("content").alias("content"))
+    changed = F.count_if(F.col("status") == "applied") > 0
+    return fixes.groupBy("file").agg(F.max("content").alias("content"), changed.alias("changed")).where("changed").drop("changed")
 
 
 def summary(fixes: DataFrame) -> DataFrame:

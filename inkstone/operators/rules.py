@@ -78,18 +78,17 @@ def parts_of(decls: DataFrame, slash: bool = False) -> DataFrame:
 
 
 def closest_colors(distinct: DataFrame, tokens: dict[str, str], most: float = values.COLOR_NEAR) -> DataFrame:
-    """value, token for distinct(value): the token equal in normal form, else the nearest within most. Tokens are configuration, so every
-    value meets them as an array in its own row; the first of equals wins."""
-    names = list(tokens)
-    if not names:
+    """value, token for distinct(value): the token equal in normal form, else the nearest within most. Tokens are configuration: their
+    Lab values stand in the plan, every colour meets them as an array in its own row, and the first of equals wins."""
+    known = [(i, n, h, *color.lab(h)) for i, (n, v) in enumerate(tokens.items()) if (h := color.normalised(v))]
+    if not known:
         return distinct.select("value", F.lit(None).cast("string").alias("token")).where("false")
-    rows = [(i, n, v) for i, (n, v) in enumerate(tokens.items())]
-    dim = distinct.sparkSession.createDataFrame(rows, "ord int, token string, token_value string")
-    dim = color.with_lab(dim.withColumn("token_hex", color.normalise(F.col("token_value"))).where("token_hex is not null"), "token_hex", "t")
-    mine = color.with_lab(distinct.select("value").distinct().withColumn("hex", color.normalise(F.col("value"))).where("hex is not null"), "hex", "v")
-    pairs = color.with_delta_e(mine.join(F.broadcast(dim)), "v", "t", "off") if len(names) <= 4096 else color.with_delta_e(mine.join(dim), "v", "t", "off")
-    near = pairs.withColumn("off", F.when(F.col("hex") == F.col("token_hex"), -1.0).otherwise(F.col("off"))).where(F.col("off") <= most)
-    return near.groupBy("value").agg(F.min_by("token", F.struct("off", "ord")).alias("token"))
+    names = ("ord", "token", "token_hex", "t_l", "t_a", "t_b")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, t, strict=True)]) for t in known])
+    mine = values.once(distinct.select("value").distinct(), hex=color.normalise(F.col("value"))).where("hex is not null")
+    pairs = color.with_lab(mine, "hex", "v").select("value", "hex", "v_l", "v_a", "v_b", F.inline(listed))
+    near = values.once(color.with_delta_e(pairs, "v", "t", "off"), near=F.when(F.col("hex") == F.col("token_hex"), -1.0).otherwise(F.col("off"))).where(F.col("near") <= most)
+    return near.groupBy("value").agg(F.min_by("token", F.struct("near", "ord")).alias("token"))
 
 
 @rule("no-hardcoded-color")
@@ -109,7 +108,7 @@ def arbitrary_spacing(facts: DataFrame, config: Config) -> DataFrame:
     part = F.col("part")
     parts = parts_of(facts_of(facts, "decl").where(F.col("name").rlike(values.SPACING_PROP)))
     skip = part.isin("0", "auto") | part.endswith("%") | values.is_token(part) | part.rlike(r"^(?:calc|env)\(")
-    px = values.px_of(part)
+    parts, px = values.once(parts, px=values.px_of(part)), F.col("px")
     bad = ~skip & F.when(px.isNotNull(), ~values.in_scale(px, config.tokens.spacing)).otherwise(part.rlike(values.UNIT))
     return violation(parts.where(bad), "no-arbitrary-spacing", F.concat(F.lit('"'), part, F.lit('" in '), F.col("name"), F.lit(" is not on the spacing scale")), old=part)
 
@@ -117,8 +116,9 @@ def arbitrary_spacing(facts: DataFrame, config: Config) -> DataFrame:
 @rule("no-arbitrary-font-size")
 def arbitrary_font_size(facts: DataFrame, config: Config) -> DataFrame:
     value = F.trim("value")
-    px = values.px_of(value)
-    bad = facts_of(facts, "decl").where((F.col("name") == "font-size") & ~values.is_token(value) & ~F.coalesce(values.in_scale(px, config.tokens.font_sizes), F.lit(False)))
+    sizes = facts_of(facts, "decl").where((F.col("name") == "font-size") & ~values.is_token(value))
+    sizes, px = values.once(sizes, px=values.px_of(value)), F.col("px")
+    bad = sizes.where(~F.coalesce(values.in_scale(px, config.tokens.font_sizes), F.lit(False)))
     near = values.nearest(px, config.tokens.font_sizes, values.FONT_NEAR)
     return violation(bad, "no-arbitrary-font-size", F.concat(F.lit('Font size "'), value, F.lit('" is not on the scale')), F.concat(values.number_text(near), F.lit("px")), value)
 
@@ -136,7 +136,7 @@ def arbitrary_radius(facts: DataFrame, config: Config) -> DataFrame:
     part = F.col("part")
     parts = parts_of(facts_of(facts, "decl").where(F.col("name").rlike(values.RADIUS_PROP)), slash=True)
     skip = part.isin("0", "auto") | part.endswith("%") | values.is_token(part) | part.startswith("calc(")
-    px = values.px_of(part, rem=False)
+    parts, px = values.once(parts, px=values.px_of(part, rem=False)), F.col("px")
     bad = ~skip & F.when(px.isNotNull(), ~values.in_scale(px, config.tokens.radii)).otherwise(part.rlike(values.UNIT))
     near = values.nearest(px, config.tokens.radii, values.RADIUS_NEAR)
     return violation(parts.where(bad), "no-arbitrary-radius", F.concat(F.lit('Radius "'), part, F.lit('" is not on the scale')), F.concat(values.number_text(near), F.lit("px")), part)
@@ -144,21 +144,25 @@ def arbitrary_radius(facts: DataFrame, config: Config) -> DataFrame:
 
 @rule("enforce-contrast")
 def enforce_contrast(facts: DataFrame, config: Config) -> DataFrame:
-    """Text colour against the first background that is a plain colour in the same block; inline declarations have no block."""
+    """Text colour against the first background that is a plain colour in the same block; inline declarations have no block. A
+    block is gathered once: its first background and its text colours."""
     block = ["file", "unit", "id"]
-    decls = facts_of(facts, "decl").where("id is not null").withColumn("hex", color.normalise(F.col("value"))).where("hex is not null")
-    backs = decls.where(F.col("name").isin("background", "background-color")).groupBy(*block).agg(F.min_by("hex", "seq").alias("back"), F.min_by("value", "seq").alias("back_value"))
-    both = decls.where("name = 'color'").join(backs, block).withColumn("ratio", color.contrast(F.col("hex"), F.col("back")))
+    decls = facts_of(facts, "decl").where(F.col("id").isNotNull() & F.col("name").isin("color", "background", "background-color"))
+    plain = values.once(decls, hex=color.normalise(F.col("value"))).where("hex is not null").withColumn("text", F.col("name") == "color")
+    back = F.min(F.when(~F.col("text"), F.struct("seq", "hex", "value")))
+    texts = F.collect_list(F.when(F.col("text"), F.struct("line", "col", "hex", "value")))  # those of one block of one file
+    both = plain.groupBy(*block).agg(back.alias("back"), texts.alias("texts")).where("back is not null").select("file", F.col("back.hex").alias("back"), F.col("back.value").alias("back_value"), F.inline("texts"))
     need = 7.0 if config.wcag_level == "AAA" else 4.5
-    bad = both.where(F.col("ratio") < need)
+    bad = values.once(both, ratio=color.contrast(F.col("hex"), F.col("back"))).where(F.col("ratio") < need)
     return violation(bad, "enforce-contrast", F.concat(F.lit("Contrast of "), F.col("value"), F.lit(" on "), F.col("back_value"), F.lit(" is "), F.format_string("%.2f", "ratio"), F.lit(f", {need:g} is needed")), old=F.col("value"))
 
 
 @rule("no-tailwind-arbitrary")
 def tailwind_arbitrary(facts: DataFrame, config: Config) -> DataFrame:
     t = config.tokens
-    each = facts_of(facts, "class").withColumn("name", F.explode(values.class_names(F.col("value"))))
-    parsed = each.withColumn("c", values.arbitrary_class(F.col("name"))).where("c is not null and c.category <> 'other'")
+    bracketed = F.filter(values.class_names(F.col("value")), lambda c: c.contains("["))
+    each = facts_of(facts, "class").where(F.col("value").contains("[")).withColumn("name", F.explode(bracketed))
+    parsed = values.once(each, c=values.arbitrary_class(F.col("name"))).where("c is not null and c.category <> 'other'")
     number, category, raw = F.col("c.number"), F.col("c.category"), F.col("c.raw")
     listed = [v.lower() for v in t.colors.values()]
     exact = F.when(category == "color", F.lower(raw).isin(*listed) if listed else F.lit(False))
@@ -174,17 +178,20 @@ def tailwind_arbitrary(facts: DataFrame, config: Config) -> DataFrame:
     return violation(fixed, "no-tailwind-arbitrary", F.concat(F.lit('Class "'), F.col("name"), F.lit('" holds '), raw, F.lit(", which is no "), category, F.lit(" token")), values.with_bracket(F.col("name"), value), F.col("name"))
 
 
+#: Elements whose attributes rules ask for; all of these rules read one and the same gathering of attributes.
+ASKED = ("img", "div", "span", "button", "input", "textarea", "select")
+
+
 def with_attrs(facts: DataFrame, names: list[str]) -> DataFrame:
-    """Elements of component files with a map of their attributes."""
+    """Elements of component files with the names and the entries (name, value) of their attributes, in order."""
     elements = facts_of(facts, "element", "jsx").where(F.col("name").isin(*names)).select("file", "id", "name", "line", "col")
-    attrs = facts_of(facts, "attr", "jsx").where(F.col("selector").isin(*names)).groupBy("file", "id").agg(F.map_from_entries(F.array_agg(F.struct(F.concat("name", F.lit("#"), "seq").alias("k"), F.col("value").alias("v")))).alias("m"))
-    keyed = F.map_from_entries(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.struct(F.split_part(e["key"], F.lit("#"), F.lit(1)).alias("k"), e["value"].alias("v")))))
+    attrs = facts_of(facts, "attr", "jsx").where(F.col("selector").isin(*ASKED)).groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "value"))).alias("entries"))
     joined = elements.join(attrs, ["file", "id"], "left")
-    return joined.withColumn("names", F.coalesce(F.array_distinct(F.transform(F.map_keys("m"), lambda k: F.split_part(k, F.lit("#"), F.lit(1)))), F.array().cast("array<string>"))).withColumn("entries", F.coalesce(F.map_entries("m"), F.array().cast("array<struct<key:string,value:string>>")))
+    return joined.withColumn("names", F.coalesce(F.transform("entries", lambda e: e["name"]), F.array().cast("array<string>")))
 
 
 def attr_value(name: str) -> Column:
-    return F.get(F.filter("entries", lambda e: F.split_part(e["key"], F.lit("#"), F.lit(1)) == name), 0)["value"]
+    return F.get(F.filter("entries", lambda e: e["name"] == name), 0)["value"]
 
 
 def has_attr(*names: str) -> Column:
@@ -239,7 +246,8 @@ def xss_dangerous(facts: DataFrame, config: Config) -> DataFrame:
     return violation(rows, "no-xss-dangerous", F.lit("Raw markup without a sanitiser"))
 
 
-SERVER_PATH = r"\.server\.|/server/|/api/|/scripts/|(?:^|/)(?:next|vite|webpack|jest|vitest)\.config\."
+# Paths of code that never reaches a client, public prefixes, words of sensitive names.
+SERVER_PATH = r"\.server\.|\/server\/|\/api\/|(?:^|[/.])(?:next|vite|webpack|jest|vitest)\.config\.[jt]s$|\/scripts\/"
 PUBLIC_ENV = ("NEXT_PUBLIC_", "VITE_", "PUBLIC_", "REACT_APP_")
 SENSITIVE = r"(?i)token|password|passwd|secret|apikey|api_key|auth|credential|private_?key|session"
 
@@ -275,7 +283,8 @@ def hardcoded_credentials(facts: DataFrame, config: Config) -> DataFrame:
     return violation(rows, "no-hardcoded-credentials", F.lit("Credential in the source"))
 
 
-TODO, TICKET = r"(?i)\b(?:TODO|FIXME)\b", r"#\d+|[A-Z][A-Z0-9_]*-\d+|\[[^\]]+\]|https?://"
+# What opens a task and what counts as its ticket.
+TODO, TICKET = r"(?i)\b(?:TODO|FIXME)\b", r"(?:#\d+|[A-Z][A-Z0-9_]*-\d+|\[[A-Z][A-Z0-9_]*-\d+\]|https?:\/\/)"
 
 
 @rule("no-todo-without-ticket")
@@ -286,7 +295,9 @@ def todo_without_ticket(facts: DataFrame, config: Config) -> DataFrame:
 
 @rule("no-magic-numbers")
 def magic_numbers(facts: DataFrame, config: Config) -> DataFrame:
-    rows = facts_of(facts, "number").where(~F.col("value").isin("0", "1", "2"))
+    text = F.regexp_replace("value", "_", "")
+    number = F.when(text.rlike("^0[xX]"), F.conv(F.substring(text, 3, 20), 16, 10)).otherwise(text).try_cast("double")
+    rows = facts_of(facts, "number").where(~F.coalesce(number.isin(0.0, 1.0, 2.0), F.lit(False)))
     return violation(rows, "no-magic-numbers", F.concat(F.lit("Unnamed number "), F.col("value")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKER = "inkstone"
@@ -15,8 +15,10 @@ def directives(facts: DataFrame, lines: DataFrame, marker: str = MARKER) -> Data
     said = facts.where((F.col("fact") == "comment") & F.col("value").rlike(pattern))
     ids = F.filter(F.split(F.split_part(F.regexp_extract("value", pattern, 1), F.lit("--"), F.lit(1)), r"[,\s]+"), lambda i: i != "")
     said = said.select("file", "name", F.col("line").alias("at"), "seq", ids.alias("ids"))
-    code = lines.where(~F.col("text").rlike(r"^\s*(?:$|//|/\*|\*|\{/\*)")).select(F.col("file").alias("f"), F.col("line").alias("code_line"))
-    targets = said.join(code, (F.col("file") == F.col("f")) & (F.col("code_line") > F.col("at"))).groupBy("file", "name", "at", "seq", "ids").agg(F.min("code_line").alias("line"))
+    code = lines.where(~F.col("text").rlike(r"^\s*(?:$|//|/\*|\*|\{/\*)")).select("file", F.col("line").alias("at"), F.col("line").alias("code_line"))
+    below = Window.partitionBy("file").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    both = said.unionByName(code.join(said.select("file").distinct(), "file", "left_semi"), allowMissingColumns=True)
+    targets = both.withColumn("target", F.min("code_line").over(below)).where("ids is not null and target is not null").select("file", "name", "at", "seq", "ids", F.col("target").alias("line"))
     style = targets.where("name = 'css'").groupBy("file", "line").agg(F.max_by("ids", "seq").alias("ids"))
     style = style.select("file", "line", (F.size("ids") == 0).alias("all_rules"), "ids")
     script = targets.where("name <> 'css'").groupBy("file", "line").agg(F.bool_or(F.size("ids") == 0).alias("all_rules"), F.array_distinct(F.flatten(F.array_agg("ids"))).alias("ids"))

@@ -1,11 +1,15 @@
 """Incremental analysis: changes are settled, the files' facts are replaced, and cross-file rules run over the merged facts.
 
-A change is (path, type, content, ts, seq) with type change or unlink. Facts live in a table partitioned by a bucket of the path, and a batch rewrites
-the buckets that it touches only, so its cost follows the change and not the code base.
+A change is (path, type, content, ts, seq) with type change or unlink. Facts live in a table cut into buckets of the path, and a batch rewrites
+the buckets that it touches only, so its cost follows the change and not the code base. A batch writes new files in a folder of its own and then names
+the folder of every bucket in a new version, so that a batch that fails half-way leaves the version before it as it was.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,29 +65,70 @@ def updated(state: DataFrame, changes: DataFrame, globs: tuple[str, ...] = IGNOR
 def apply_batch(spark: SparkSession, table: str, changes: DataFrame, globs: tuple[str, ...] = IGNORED) -> None:
     """Rewrite the touched buckets of the stored fact table. Running a batch again gives the same table."""
     changes = changes.persist()
-    touched = [r["b"] for r in latest(changes).select(bucket("path").alias("b")).distinct().collect()]  # BUCKETS at most
-    if not touched:
-        return
-    stored = read_state(spark, table)
-    own = stored.where(F.col("bucket").isin(touched)).drop("bucket")
-    new = updated(own, changes, globs).withColumn("bucket", bucket())
-    held = new.persist()
-    held.count()  # the buckets are read before they are overwritten
-    have = {r["bucket"] for r in held.select("bucket").distinct().collect()}
-    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-    for gone in set(touched) - have:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={gone}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    held.unpersist()
-    changes.unpersist()
+    try:
+        touched = {r["b"] for r in latest(changes).select(bucket("path").alias("b")).distinct().collect()}  # BUCKETS at most
+        if not touched:
+            return
+        number, places = version(spark, table)
+        own = _read(spark, sorted(f for b, f in places.items() if b in touched)).drop("bucket")
+        new = updated(own, changes, globs).withColumn("bucket", bucket())
+        folder = f"{table}/data/{uuid.uuid4().hex}"
+        new.withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(folder)
+        kept = {b: f for b, f in places.items() if b not in touched}
+        names = [status.getPath().getName() for status in _files(spark, folder)]
+        _publish(spark, table, number + 1, kept | {int(n[2:]): f"{folder}/{n}" for n in names if n.startswith("b=")})
+        _forget(spark, table, number - 1)
+    finally:
+        changes.unpersist()
+
+
+def _system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _files(spark: SparkSession, folder: str) -> list:
+    system, where = _system(spark, folder)
+    return list(system.listStatus(where)) if system.exists(where) else []
+
+
+def version(spark: SparkSession, table: str, number: int | None = None) -> tuple[int, dict[int, str]]:
+    """Number of a version (the last one) and the folder of each of its buckets; 0 and none before the first batch."""
+    known = [int(s.getPath().getName()) for s in _files(spark, f"{table}/versions") if s.getPath().getName().isdigit()]
+    number = max(known, default=0) if number is None else number
+    if number not in known:
+        return number, {}
+    lines = spark.read.option("wholetext", True).text(f"{table}/versions/{number}").first()
+    return number, {int(b): f for b, f in json.loads(lines[0]).items()}
+
+
+def _publish(spark: SparkSession, table: str, number: int, places: dict[int, str]) -> None:
+    """A version appears as a whole, by a rename."""
+    system, draft = _system(spark, f"{table}/versions/_{uuid.uuid4().hex}")
+    out = system.create(draft)
+    out.write(bytearray(json.dumps(places).encode()))
+    out.close()
+    if not system.rename(draft, _system(spark, f"{table}/versions/{number}")[1]):
+        raise RuntimeError(f"version {number} of {table} could not be published")
+
+
+def _forget(spark: SparkSession, table: str, number: int) -> None:
+    """Delete an old version and the buckets that only it names; the one before the last stays for its readers."""
+    old = version(spark, table, number)[1]
+    used = set(version(spark, table)[1].values()) | set(version(spark, table, number + 1)[1].values())
+    for path in [f for f in old.values() if f not in used] + [f"{table}/versions/{number}"] * bool(old):
+        system, where = _system(spark, path)
+        system.delete(where, True)
+
+
+def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
+    schema = f"{FACTS}, bucket int"
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def read_state(spark: SparkSession, table: str) -> DataFrame:
-    """The stored fact table; empty before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], f"{FACTS}, bucket int")
-    return spark.read.schema(f"{FACTS}, bucket int").parquet(table)
+    """The stored fact table in its last version; empty before the first batch."""
+    return _read(spark, sorted(version(spark, table)[1].values()))
 
 
 def watch(changes: DataFrame, table: str, checkpoint: str, each=None, interval: str = "1 second", globs: tuple[str, ...] = IGNORED) -> StreamingQuery:

@@ -67,6 +67,24 @@ def test_stream_keeps_the_fact_table(spark, tmp_path):
     assert {r.file for r in watch.read_state(spark, table).select("file").collect()} == {"a.css", "d.css"}
 
 
+def test_a_batch_that_fails_half_way_leaves_the_table(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "facts")
+
+    def put(*rows):
+        watch.apply_batch(spark, table, spark.createDataFrame([(p, t, c, 1, i) for i, (p, t, c) in enumerate(rows)], "path string, type string, content string, ts int, seq int"))
+
+    put(("a.css", "change", ".a { gap: 1px }"), ("b.css", "change", ".b { gap: 2px }"))
+    before = sorted(map(str, watch.read_state(spark, table).collect()))
+    monkeypatch.setattr(watch, "_publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        put(("a.css", "change", ".a { gap: 3px }"), ("b.css", "unlink", None))
+    assert sorted(map(str, watch.read_state(spark, table).collect())) == before
+    monkeypatch.undo()
+    for _ in range(3):
+        put(("a.css", "change", ".a { gap: 3px }"), ("b.css", "unlink", None))
+        assert {(r.file, r.value) for r in watch.read_state(spark, table).where("fact = 'decl'").collect()} == {("a.css", "3px")}
+
+
 def test_incremental_equals_batch(spark):
     texts = {"a.css": ".a { padding: 13px }", "b.css": ".b { color: #fff }"}
     log = [("a.css", "change", ".a { gap: 1px }", 1), ("b.css", "change", texts["b.css"], 1), ("c.css", "change", ".c { gap: 2px }", 2), ("a.css", "change", texts["a.css"], 3), ("c.css", "unlink", None, 4)]
