@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import discard, let, lower_ascii, materialize, row_key, unused, words
+from inkstone.llm.common import discard, let, lower_ascii, materialize, row_key, row_slices, unused, words
 
 BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks and every pair of blocks is compared.
@@ -30,6 +30,8 @@ BLOCK = 4096
 #: Relative costs of one bucket row and of one compared pair, for the allotment, and fingerprints whose pairs it is estimated from.
 ROW_COST, PAIR_COST, SAMPLE = 100.0, 1.0, 1024
 NO_SAMPLE = np.zeros(0, np.uint64)
+#: Hashes that a task counts bits of at once.
+HASH_SLICE = 1 << 17
 
 
 def shingle_hashes(text, width: int):
@@ -72,6 +74,18 @@ def _remix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _in_slices(values: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of each run of hashes: one of the hashes, and one after each of words - 1 remixes of them; a slice of the runs at a time, so that
+    a task holds little."""
+    out = np.zeros((len(offsets) - 1, words), np.uint64)
+    for lo, hi in row_slices(offsets, HASH_SLICE):
+        at, h = offsets[lo : hi + 1] - offsets[lo], values[offsets[lo] : offsets[hi]]
+        for k in range(words):
+            h = _remix(h ^ np.uint64(k - 1)) if k else h
+            out[lo:hi, k] = _majority_bits(h, at)
+    return out
+
+
 def majority(more: bool):
     """A mapInArrow function: hashes -> fp, other columns are carried; with more also n, the number of hashes, and fp2, the
     fingerprint of the remixed hashes."""
@@ -81,10 +95,11 @@ def majority(more: bool):
             lists = batch.column("hashes")
             offsets, values = np.asarray(lists.offsets, dtype=np.int64), np.asarray(lists.values, dtype=np.int64).view(np.uint64)
             out = {c: batch.column(c) for c in batch.schema.names if c != "hashes"}
-            out["fp"] = pa.array(_majority_bits(values, offsets).view(np.int64))
+            found = _in_slices(values, offsets, 2 if more else 1)
+            out["fp"] = pa.array(found[:, 0].view(np.int64))
             if more:
                 out["n"] = pa.array(np.diff(offsets).astype(np.int32))
-                out["fp2"] = pa.array(_majority_bits(_remix(values), offsets).view(np.int64))
+                out["fp2"] = pa.array(found[:, 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
@@ -341,12 +356,12 @@ def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) ->
 #: The pipeline's near duplicates: words of a shingle, shingle Jaccard from which two texts are near copies, and the bits within
 #: which a pair becomes a candidate: STAGE_DISTANCE of the 64 that are searched, STAGE_BOTH of these and the 64 remixed ones. README has the
 #: share of pairs at 0.8 and above that these bits find.
-STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 36
+STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 31
 #: Texts that have a near one by these bits are compared by MORE_WORDS further remixed fingerprints, which may differ in MORE_BITS.
-MORE_WORDS, MORE_BITS = 8, 97
+MORE_WORDS, MORE_BITS = 8, 95
 #: Here a bucket row costs so many compared pairs; buckets are cut beyond STAGE_BLOCK rows; tiles have TILE pairs, and buckets of up to SMALL rows are
 #: compared side by side. A task passes pairs on when it holds HELD_PAIRS.
-STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 2000.0, 1 << 16, 1 << 18, 48, 1 << 16
+STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 2000.0, 1 << 16, 1 << 16, 48, 1 << 15
 #: Columns of a bucket row: bucket number with the lowest bit set for a probe, the pair of blocks, both fingerprints, the unit,
 #: its number of shingles, its label and, once they are known, its further fingerprints.
 BUCKET = ("bucket", "pair", "fp", "fp2", "unit", "n", "label", "more")
@@ -463,15 +478,10 @@ def open_pairs(distance: int, both: int, jaccard: float):
 
 
 def more_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, s) -> (unit, more): MORE_WORDS fingerprints of the hashes, each remixed once more than the one before."""
+    """(unit, s) -> (unit, more): MORE_WORDS fingerprints of the hashes, after those of majority."""
     for batch in batches:
         lists = batch.column("s")
-        offsets, values = np.asarray(lists.offsets, dtype=np.int64), _remix(np.asarray(lists.values, dtype=np.int64).view(np.uint64))
-        found = []
-        for k in range(MORE_WORDS):
-            values = _remix(values ^ np.uint64(k + 1))
-            found.append(_majority_bits(values, offsets))
-        wide = np.stack(found, axis=1)
+        wide = _in_slices(np.asarray(lists.values, dtype=np.int64).view(np.uint64), np.asarray(lists.offsets, dtype=np.int64), 2 + MORE_WORDS)[:, 2:]
         yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([w.tobytes() for w in wide], pa.binary())], names=["unit", "more"])
 
 
@@ -535,7 +545,9 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     def verified(found: DataFrame) -> DataFrame:
         """Those of found(a, b and others) whose texts have the Jaccard, without a and b if there are others."""
         kept = [c for c in found.columns if c not in ("a", "b")] or ["a", "b"]
-        both_sets = found.join(sets.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
+        needed = materialize(found.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "near-needed")
+        some = sets.join(needed, "unit", "left_semi")
+        both_sets = found.join(some.select(F.col("unit").alias("a"), F.col("s").alias("sa")), "a").join(some.select(F.col("unit").alias("b"), F.col("s").alias("sb")), "b")
         common = both_sets.select(*kept, F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
         return materialize(common.where(F.col("common") >= F.lit(jaccard) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select(*kept).distinct(), "near-links")
 

@@ -91,10 +91,10 @@ def shingle_set(text, width=5):
 def stage_prints(shingles):
     """All fingerprints of a set of shingles, bit by bit."""
     hs = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
-    rounds = [hs, [int(h) for h in op._remix(np.array(hs, np.uint64))]]
-    last = np.array(rounds[1], np.uint64)
-    for k in range(op.MORE_WORDS):
-        last = op._remix(last ^ np.uint64(k + 1))
+    last = np.array(hs, np.uint64)
+    rounds = [hs]
+    for k in range(1 + op.MORE_WORDS):
+        last = op._remix(last ^ np.uint64(k))
         rounds.append([int(h) for h in last])
     return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each)) for each in rounds]
 
