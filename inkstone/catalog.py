@@ -330,10 +330,10 @@ def g6_summary(spark, sf_dir):
     return report.check_summary(plain_violations(spark, sf_dir)).select("total", "errors", "warnings", "files")
 
 
-@query("""SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS file FROM orders WHERE o_orderkey % 4 IN (0, 2)""")
+@query("""SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS file FROM orders WHERE o_orderkey % 6 IN (0, 2, 4)""")
 def r18_todo(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, "todo: tidy up").when(k == 1, "TODO(#12) tidy up").when(k == 2, "FIXME later").otherwise("a note")
+    k = F.col("o_orderkey") % 6
+    text = F.when(k == 0, "todo: tidy up").when(k == 1, "TODO(#12) tidy up").when(k == 2, "FIXME later").when(k == 3, "a note").when(k == 4, "TODO [cleanup]").otherwise("TODO [AB-1]")
     return rules.todo_without_ticket(as_facts(table(spark, sf_dir, "orders"), "comment", file=F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), line=F.lit(1), col=F.lit(1), value=text), CONFIG).select("file")
 
 
