@@ -20,7 +20,9 @@ from inkstone.sources.config import Tokens
 
 # Places and names that the sources are looked for under, and what their names say.
 THEME_FILES = ("tailwind.theme.json", "tailwind.config.json")
-TOKEN_DIRS, TOKEN_FILES = ("", "src", "tokens", "design-tokens"), ("tokens.json", "design-tokens.json", "style-dictionary.json")
+# Where token files are looked for by name, folders all of whose JSON files are token files, and the configuration that names more.
+TOKEN_DIRS, TOKEN_FILES = ("", "src", "tokens", "design-tokens"), ("tokens.json", "tokens.json5", "design-tokens.json")
+TOKEN_FOLDERS, TOKEN_CONFIG = ("tokens", "design-tokens"), "style-dictionary.config.json"
 VARIABLE_DIRS = ("", "src", "src/styles", "src/css", "styles", "css")
 VARIABLE_FILES = tuple(f"{name}.{ext}" for name in ("variables", "tokens", "globals", "global", "theme") for ext in ("css", "scss"))
 SKIPPED_COLORS = ("transparent", "inherit", "current", "currentColor")
@@ -151,8 +153,38 @@ def _theme_file(root: Path) -> Path | None:
     return _first_file(root, ("",), THEME_FILES)
 
 
+def _read_object(file: Path) -> dict:
+    """A JSON object; nothing for a file that can't be read as one."""
+    try:
+        found = json.loads(file.read_text())
+    except (OSError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def token_files(root: Path) -> list[Path]:
+    """All token files of a project, sorted: those with a name of TOKEN_FILES or ending in .tokens.json, the JSON files of TOKEN_FOLDERS, and those
+    that the patterns under `source` in TOKEN_CONFIG match."""
+    found = {f for d in TOKEN_DIRS for n in TOKEN_FILES if (f := root / d / n).is_file()}
+    found |= {f for d in TOKEN_DIRS if (root / d).is_dir() for f in (root / d).glob("*.tokens.json") if f.is_file()}
+    found |= {f for d in TOKEN_FOLDERS if (root / d).is_dir() for f in (root / d).glob("*.json") if f.is_file()}
+    patterns = _read_object(root / TOKEN_CONFIG).get("source", [])
+    for pattern in [patterns] if isinstance(patterns, str) else patterns if isinstance(patterns, list) else []:
+        if isinstance(pattern, str) and pattern and not Path(pattern).is_absolute():
+            found |= {f for f in root.glob(pattern.removeprefix("./")) if f.is_file()}
+    return sorted(found)
+
+
+def token_tree(root: Path) -> dict:
+    """The token files as one tree, later files over earlier ones by top-level name, so that aliases reach across files."""
+    tree: dict = {}
+    for file in token_files(root):
+        tree |= _read_object(file)
+    return tree
+
+
 def _token_file(root: Path) -> Path | None:
-    return _first_file(root, TOKEN_DIRS, TOKEN_FILES) or next(iter(sorted(root.glob("*.tokens.json"))), None)
+    return next(iter(token_files(root)), None)
 
 
 DETECTORS: dict[str, tuple[float, Callable[[Path], Path | None]]] = {
@@ -178,5 +210,5 @@ def resolve(root: str | Path, facts: DataFrame, source: str | None = None) -> tu
     if name == "tailwind":
         return name, from_theme(json.loads(Path(file).read_text()))
     if name == "tokens":
-        return name, from_token_tree(json.loads(Path(file).read_text()))
+        return name, from_token_tree(token_tree(Path(root)))
     return name, from_variables(facts) if name == "css-vars" else draft_tokens(facts)

@@ -22,6 +22,23 @@ def test_theme_and_token_tree():
     assert config.draft(got)["tokens"]["fontFamilies"] == ["Inter"]
 
 
+def test_all_token_files_make_one_tree(tmp_path):
+    for name, tree in {
+        "tokens/color.json": {"color": {"$type": "color", "base": {"$value": "#123456"}}},
+        "tokens/theme.json": {"theme": {"$type": "color", "main": {"$value": "{color.base}"}}},
+        "src/space.tokens.json": {"space": {"$type": "dimension", "s": {"$value": "4px"}}},
+        "pkg/a/radius.json": {"radius": {"big": {"type": "borderRadius", "value": 9}}},
+        "style-dictionary.config.json": {"source": ["pkg/**/*.json", "[", 3]},
+        "src/package.json": {"other": {"$type": "color", "x": {"$value": "#ffffff"}}},
+        "tokens/list.json": [1],
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(tree))
+    (tmp_path / "tokens" / "broken.json").write_text("{ // no")
+    name, found = tokens.resolve(tmp_path, None)
+    assert name == "tokens" and found == config.Tokens({"color-base": "#123456", "theme-main": "#123456"}, [4.0], [], [9.0], [])
+
+
 def test_detect_resolve_and_scan(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "variables.css").write_text(":root { --accent: #ff6600; --space-s: 8px; --radius-m: 4px; --font-size-s: 14px; --other: x }\n")
