@@ -361,7 +361,7 @@ STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 31
 MORE_WORDS, MORE_BITS = 8, 95
 #: Here a bucket row costs so many compared pairs; buckets are cut beyond STAGE_BLOCK rows; tiles have TILE pairs, and buckets of up to SMALL rows are
 #: compared side by side. A task passes pairs on when it holds HELD_PAIRS.
-STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 2000.0, 1 << 16, 1 << 16, 48, 1 << 15
+STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 4000.0, 1 << 16, 1 << 16, 48, 1 << 15
 #: Columns of a bucket row: bucket number with the lowest bit set for a probe, the pair of blocks, both fingerprints, the unit,
 #: its number of shingles, its label and, once they are known, its further fingerprints.
 BUCKET = ("bucket", "pair", "fp", "fp2", "unit", "n", "label", "more")
@@ -528,15 +528,17 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     rows = materialize(prints.groupBy("id", "row_key", "unit").agg(F.count(F.lit(1)).alias("copies")), "near-rows")
     units = materialize(prints.groupBy("unit").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.max("n").alias("n"), F.min("row_key").alias("row_key")), "near-units")
     n, p, corr = bit_statistics(units)
-    plan = plan_parts(max(n, 2), p, corr, distance, sampled_prints(units), STAGE_ROW_COST)
+    sample = sampled_prints(units)
+    plan = plan_parts(max(n, 2), p, corr, distance, sample, STAGE_ROW_COST)
 
-    def mates(rows: DataFrame, across: bool) -> DataFrame:
+    def mates(rows: DataFrame, across: bool, plan: list[tuple[list[int], int]]) -> DataFrame:
         found = sorted_buckets(rows, plan, block).mapInArrow(nearest_mates(distance, both, jaccard, across), "unit long, off long, mate long")
         nearest = F.min(F.when(F.col("mate").isNotNull(), F.struct("off", "mate")))
         return materialize(found.groupBy("unit").agg(nearest["mate"].alias("mate")), "near-paired")
 
-    paired = mates(units.withColumn("label", F.col("unit")), False)
+    paired = mates(units.withColumn("label", F.col("unit")), False, plan)
     near_units = materialize(units.join(paired.select("unit"), "unit", "left_semi"), "near-some")
+    fewer = plan_parts(max(near_units.count(), 2), p, corr, distance, sample, STAGE_ROW_COST)  # for the texts that are still compared
     wanted = near_units.select("unit", "row_key").hint("shuffle_hash")  # alike at every size
     texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").select("unit", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
     sets = materialize(texts.dropDuplicates(["unit"]), "near-shingles")
@@ -559,9 +561,9 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
         return found.where("mate is not null").select(F.greatest("unit", "mate").alias("a"), F.least("unit", "mate").alias("b")).distinct()
 
     near = verified(as_pairs(paired))
-    near = near.unionByName(verified(as_pairs(mates(labelled(near), True))))
+    near = near.unionByName(verified(as_pairs(mates(labelled(near), True, fewer))))
     classes_ = labelled(near)
-    pairs = sorted_buckets(classes_, plan, block).mapInArrow(open_pairs(distance, both, jaccard), "a long, b long, label_a long, label_b long").distinct()
+    pairs = sorted_buckets(classes_, fewer, block).mapInArrow(open_pairs(distance, both, jaccard), "a long, b long, label_a long, label_b long").distinct()
     tied = verified(materialize(pairs, "near-pairs"))
     over = components(tied.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     named = materialize(classes_.select("unit", "label").join(over, F.col("label") == F.col("v"), "left").select("unit", F.coalesce("root", "label").alias("root")), "near-classes")
