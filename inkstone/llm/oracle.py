@@ -118,4 +118,63 @@ REPLIES = r"""(
     ELSE '>> ' || replace(before, chr(10), chr(10) || '>> ') || chr(10) || text || chr(10) || '> no such words were ever said' END AS text
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations))"""
 
-ORACLE: dict[str, str] = {"op2_quote_linking": _op2("conversations"), "op2_quoted_replies": _op2(REPLIES), "op3_divergence_rules": _op3(), "op5_containment_search": OP5}
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
+#: kind, pattern, number of the group whose length counts, least length; letters of the first in either case are spelled out, as (?i) takes more than a-z.
+SECRETS = (
+    ("assign", "(" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@", 0, 0),
+)
+
+
+def _op12() -> str:
+    def of(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+        return f"""
+  SELECT r, {place} AS place, '{kind}' AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s, length(ms[i]) AS n
+  FROM (SELECT r, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT r, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM t WHERE regexp_matches(text, '{pattern}')))
+  WHERE length(regexp_extract(ms[i], '{pattern}', {group})) >= {least}"""
+
+    every = " UNION ALL ".join(of(k, *secret) for k, secret in enumerate(SECRETS))
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in SECRETS[:3])
+    zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in SECRETS[:3])
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+m AS ({every}),
+g AS (SELECT r, {counts}, coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, place) FILTER (place < 3), '') AS base,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, place) AS spans, count(*) FILTER (place >= 3) AS n_added FROM m GROUP BY r)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added FROM t LEFT JOIN g USING (r)
+"""
+
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {words} AS w, min(doc_id) OVER (PARTITION BY text) AS low FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN low < w.doc_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+j AS (SELECT *, contains(fails, f) AS hit, length(translate(fails, earlier, '')) < length(fails) AS gone FROM c, steps),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS toxic_lost FROM j GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+""".replace("{words}", WORDS.format(text="text"))
+
+ORACLE: dict[str, str] = {"op2_quote_linking": _op2("conversations"), "op2_quoted_replies": _op2(REPLIES), "op3_divergence_rules": _op3(), "op5_containment_search": OP5, "op12_blob_ledger": _op12(), "op13_filter_audit": OP13}

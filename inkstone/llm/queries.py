@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm import containment, cube_mix, divergence, html_layout, pii, ppm_language, quotes, simhash_gph, subword_quality, token_rans
+from inkstone.llm import blob_ledger, containment, cube_mix, divergence, filter_audit, html_layout, periodic_runs, pii, ppm_language, quotes, simhash_gph, subword_quality, token_rans
 from inkstone.llm.oracle import ORACLE
 
 
@@ -75,9 +75,25 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_repeats(_read(spark, sf_dir, "documents"))))
+
+
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are imported into a new ledger, a doc_id being a path."""
+    versions = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("path"), "text")
+    ledger = blob_ledger.new_ledger(spark)
+    held, _ = blob_ledger.import_versions(versions, ledger)
+    return blob_ledger.digest(blob_ledger.findings(held, ledger))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_layout, op2_quote_linking, op2_quoted_replies, op3_divergence_rules, op4_token_rans, op5_containment_search, op6_cube_mix, op7_simhash_gph, op8_ppm_language, op9_pii_spans, op10_subword_quality)
+    for f in (op1_html_layout, op2_quote_linking, op2_quoted_replies, op3_divergence_rules, op4_token_rans, op5_containment_search, op6_cube_mix, op7_simhash_gph, op8_ppm_language, op9_pii_spans, op10_subword_quality, op11_periodic_runs, op12_blob_ledger, op13_filter_audit)
 }
 
 
