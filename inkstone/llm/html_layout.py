@@ -6,11 +6,13 @@ hanging indents, preformatted text as it stands, and tables with their cells ali
 Visibility is that of a screen SCREEN pixels wide: style elements and style attributes are read for `display` and `visibility`, with at-rules
 (media queries of type and width, supports, layer), selectors of names, classes and ids joined as descendants or children, specificity, order and
 `!important`. `display: none` hides a whole element; `visibility` is inherited, so that a visible child of a hidden element is shown. Selectors and
-queries of other forms apply to nothing. Of svg the text elements are shown, of math everything but annotations.
+queries of other forms apply to nothing: what a query asks of a feature that is not known here is neither so nor not so, and rules that hang on it
+are left out. Of svg the text elements are shown, of math everything but annotations.
 
 Defined cases: null and empty pages give an empty text; broken markup is repaired as browsers do (open elements are closed by
-what cannot stand inside them, end tags without a start are ignored, what stands in a row outside its cells goes before the table); as in browsers,
-elements nested deeper than MAX_DEPTH become siblings, whose text is kept; page_ids may repeat, each row is
+what cannot stand inside them, end tags without a start are ignored, what stands in a row outside its cells goes before the table; a quote opens
+a value only right after an equals sign, elsewhere it is part of a name or value; a tag or quoted value that never ends takes the rest of the page with it); as in browsers,
+elements nested deeper than MAX_DEPTH become siblings, whose text is kept, and spans reach at most MAX_COLUMNS and MAX_ROWS; page_ids may repeat, each row is
 rendered; other columns are ignored; an empty table gives an empty result. Pages of any length are rendered whole.
 """
 
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH, GAP, SCREEN = 512, 2, 1280
+#: Fixed values of HTML: a cell's greatest spans.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
@@ -54,12 +58,19 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption html button template".split())
 
-TAG = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: A comment, a section of character data, another declaration, or the start of a tag: what follows its name is read by _tag.
+MARKUP = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|/>|/[^A-Za-z>][^>]*(?:>|\Z)|(/?)([A-Za-z][^ \t\n\r\f/>]*))", re.S)
+BETWEEN = re.compile(r"[ \t\n\r\f/]*")
+NAME = re.compile(r"=?[^ \t\n\r\f/>=]*")
+EQUALS = re.compile(r"[ \t\n\r\f]*=[ \t\n\r\f]*")
+UNQUOTED = re.compile(r"[^ \t\n\r\f>]*")
 #: What may stand in a head; anything else ends it.
 HEAD = frozenset("head title base link meta script style noscript template bgsound basefont".split())
 BRACES = re.compile(r"\"[^\"]*\"|'[^']*'|[{};]")
 COMPOUND = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+#: Display values and properties that screens are taken to know in @supports.
+DISPLAYS = frozenset("none inline block inline-block flex inline-flex grid inline-grid table table-row table-cell list-item contents flow-root".split())
+PROPERTIES = frozenset("color position float margin padding width height opacity visibility transform transition animation gap flex object-fit grid-template-columns".split())
 WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)(px|em|rem)\s*\)")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -71,11 +82,29 @@ class Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
 
-def _attributes(text: str) -> dict[str, str]:
+def _tag(source: str, at: int) -> tuple[dict[str, str], int] | None:
+    """The attributes that begin at a place of a tag, and where the tag ends; None if the page ends first. Of attributes of one name the first counts."""
     out: dict[str, str] = {}
-    for m in ATTR.finditer(text):
-        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-    return out
+    while True:
+        at = BETWEEN.match(source, at).end()
+        if at == len(source):
+            return None
+        if source[at] == ">":
+            return out, at + 1
+        name = NAME.match(source, at)
+        at, value = name.end(), ""
+        if equals := EQUALS.match(source, at):
+            at = equals.end()
+            quote = source[at : at + 1]
+            if quote in ("'", '"'):
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = source[at + 1 : end], end + 1
+            else:
+                end = UNQUOTED.match(source, at).end()
+                value, at = source[at:end], end
+        out.setdefault(name[0].lower(), html.unescape(value))
 
 
 def build(source: str) -> tuple[Node, list[str]]:
@@ -108,7 +137,7 @@ def build(source: str) -> tuple[Node, list[str]]:
 
     at, size = 0, len(source)
     while at < size:
-        m = TAG.search(source, at)
+        m = MARKUP.search(source, at)
         if m is None:
             text(html.unescape(source[at:]))
             break
@@ -118,7 +147,10 @@ def build(source: str) -> tuple[Node, list[str]]:
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[2].lower()
+        tag, read = m[2].lower(), _tag(source, at)
+        if read is None:
+            break
+        attrs, at = read
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -130,7 +162,6 @@ def build(source: str) -> tuple[Node, list[str]]:
                     if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                         break
             continue
-        attrs = _attributes(m[3]) if m[3] else {}
         if tag == "html":
             root.attrs.update({k: v for k, v in attrs.items() if k not in root.attrs})
             continue
@@ -148,12 +179,12 @@ def build(source: str) -> tuple[Node, list[str]]:
         node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[ \t\n\r\f/>])|\Z", re.I).search(source, at)
             body = source[at : end.start()]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             if tag == "style":
                 styles.append(body)
-            at = end.end()
+            at = (_tag(source, end.end()) or ({}, size))[1]
         elif tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
             open_[tag] += 1
@@ -163,22 +194,39 @@ def build(source: str) -> tuple[Node, list[str]]:
 def media_matches(query: str) -> bool:
     """Whether one of the queries of a list holds for a screen SCREEN pixels wide."""
 
+    def part(text: str) -> bool | None:
+        if not text.startswith("("):
+            return text in ("all", "screen")
+        m = WIDTH.fullmatch(text)
+        if not m or not re.fullmatch(r"[0-9]*\.?[0-9]+", m[2]):
+            return None
+        pixels = float(m[2]) * (1 if m[3] == "px" else 16)
+        return SCREEN >= pixels if m[1] == "min" else SCREEN <= pixels
+
     def one(q: str) -> bool:
         q, turned = q.removeprefix("only "), False
         if q.startswith("not "):
             q, turned = q[4:], True
-        ok = True
-        for part in filter(None, re.split(r"\s+and\s+", q)):
-            if part in ("all", "screen"):
-                continue
-            m = WIDTH.fullmatch(part)
-            pixels = float(m[2].strip(".") or 0) * (1 if m[3] == "px" else 16) if m and re.fullmatch(r"[0-9]*\.?[0-9]+", m[2]) else None
-            ok = ok and pixels is not None and (SCREEN >= pixels if m[1] == "min" else SCREEN <= pixels)
-        return ok != turned
+        said = [part(x) for x in re.split(r"\s+and\s+", q) if x]
+        holds = False if False in said else None if None in said else True
+        return holds is not None and holds != turned
 
     return any(one(" ".join(q.lower().split())) for q in query.split(","))
 
 
+def supports(condition: str) -> bool:
+    """Whether a condition of @supports is known to hold: tests in brackets, one of them or several joined by one word."""
+
+    def known(test: str) -> bool:
+        name, _, value = (x.strip() for x in test.partition(":"))
+        return bool(value) and (name.startswith("--") or name in PROPERTIES or (name == "display" and value in DISPLAYS))
+
+    text = " ".join(condition.lower().split())
+    tests = [known(x) for x in re.findall(r"\(([^()]*)\)", text)]
+    shape = re.sub(r"\([^()]*\)", "x", text)
+    return bool(tests) and ((all(tests) and re.fullmatch(r"x( and x)*", shape) is not None) or (any(tests) and re.fullmatch(r"x( or x)*", shape) is not None))
+
+
 def declarations(body: str) -> dict[str, tuple[bool, str]]:
     """(important, value) of display and visibility in a list of declarations; of equals the last one."""
     out: dict[str, tuple[bool, str]] = {}
@@ -239,7 +287,7 @@ def style_rules(styles: list[str]) -> list[tuple[tuple, tuple, dict]]:
             if prelude.startswith("@"):
                 name, _, rest = prelude[1:].partition(" ") if "(" not in prelude.split(" ")[0] else (prelude[1:].split("(")[0], "", "(" + prelude.split("(", 1)[1])
                 name = name.lower()
-                if not (name == "layer" or (name == "media" and media_matches(rest)) or (name == "supports" and not rest.strip().lower().startswith("not"))):
+                if not (name == "layer" or (name == "media" and media_matches(rest)) or (name == "supports" and supports(rest))):
                     at = block_end(at) + 1
                 continue
             end = block_end(at)
@@ -503,11 +551,11 @@ class Layout:
             for cell in cells:
                 while taken.get(col, 0) > 0:
                     col += 1
-                wide = _span(cell.attrs.get("colspan"))
+                wide = _span(cell.attrs.get("colspan"), MAX_COLUMNS)
                 style = cell.attrs.get("align", "").lower() or (re.search(r"text-align\s*:\s*(\w+)", cell.attrs.get("style", ""), re.I) or ["", ""])[1].lower()
                 placed.append((col, wide, self.lines(cell.children), style))
                 for c in range(col, col + wide):
-                    taken[c] = max(taken.get(c, 0), _span(cell.attrs.get("rowspan")))
+                    taken[c] = max(taken.get(c, 0), _span(cell.attrs.get("rowspan"), MAX_ROWS))
                 col += wide
             for c in list(taken):
                 taken[c] -= 1
@@ -553,8 +601,11 @@ def _holds_cells(node: Node) -> bool:
     return False
 
 
-def _span(value: str | None) -> int:
-    return max(1, min(1000, int(value))) if value and re.fullmatch(r"[0-9]{1,6}", value.strip()) else 1
+def _span(value: str | None, most: int) -> int:
+    """A span as HTML reads it: leading digits, one if there are none; a rowspan of 0 reaches to the last row."""
+    digits = re.match(r"[ \t\n\r\f]*\+?([0-9]{1,9})", value or "")
+    found = int(digits[1]) if digits else 1
+    return min(found or (most if most == MAX_ROWS else 1), most)
 
 
 def _number(value: str | None, default: int) -> int:
