@@ -8,7 +8,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/inkstone"
 
 
+_TEMPORARY: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends there, and any executor can reread it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,14 +60,28 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*cols, F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns]))
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize made and that nothing will read again."""
-    context = tables[0].sparkSession.sparkContext
-    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
         where = context._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize made and that nothing will read again."""
+    _delete(tables[0].sparkSession, {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()})
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize makes within are deleted at the end: nothing that is used later may read them."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _TEMPORARY.pop())
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

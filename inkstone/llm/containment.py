@@ -9,7 +9,7 @@ exact count of the item's shingles in the document.
 A shingle is `width` words, lower-cased and space-joined; an item with fewer words is one shingle of all its words, which documents
 are then probed for at that width too. Defined cases: null and blank texts have no shingle, match nothing and are never matched; rows that share a doc_id
 (or an item_id) count as variants of it and the best containment stands; null ids are ordinary values; empty tables give an empty
-result; other columns are ignored, and kept by drop_contaminated.
+result; other columns are ignored. drop_contaminated judges rows, not ids, and keeps all columns.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import let, materialize, words
+from inkstone.llm.common import let, materialize, row_key, unused, words
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -54,25 +54,32 @@ def sketches(items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
     return sized.select("item_id", "width", "size", "shingles", sketch.alias("sketch"))
 
 
+def _held(docs: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """key, item_id, n_item, n_found of docs(key, text) for every key and item of the index with at least threshold of the item's shingles in
+    a text of that key; a key with several texts may come more than once."""
+    widths = sorted(r["width"] for r in index.select("width").distinct().collect()) or [WIDTH]  # at most `width` values
+    keyed = materialize(index.select(F.explode("sketch").alias("h"), "item_id"), "contain-sketches")
+    probes = docs.select("key", F.explode(_probe_hashes(F.col("text"), widths)).alias("h"))
+    pairs = materialize(probes.join(keyed, "h").select("key", "item_id").distinct(), "contain-pairs")
+    ids = pairs.select(F.col("key").alias("p_key"), F.col("item_id").alias("p_item"))
+    suspects = docs.join(ids, docs["key"].eqNullSafe(ids["p_key"])).select("key", "text", "p_item")
+    both = suspects.join(index, suspects["p_item"].eqNullSafe(index["item_id"]))
+    found = both.select("key", "item_id", F.col("size").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", _shingle_strings(F.col("text"), F.col("width")))).cast("long").alias("n_found"))
+    return found.where(F.col("n_found") / F.col("n_item") >= threshold)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_item, n_found, containment for every document that holds at least threshold of an item's shingles."""
     index = materialize(sketches(items, width, threshold), "contain-items")
-    widths = sorted(r["width"] for r in index.select("width").distinct().collect()) or [width]  # at most `width` values
-    keyed = materialize(index.select(F.explode("sketch").alias("h"), "item_id"), "contain-sketches")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probes = plain.select("doc_id", F.explode(_probe_hashes(F.col("text"), widths)).alias("h"))
-    pairs = materialize(probes.join(keyed, "h").select("doc_id", "item_id").distinct(), "contain-pairs")
-    ids = pairs.withColumnRenamed("doc_id", "p_doc").withColumnRenamed("item_id", "p_item")
-    suspects = plain.join(ids, plain["doc_id"].eqNullSafe(ids["p_doc"])).select("doc_id", "text", "p_item")
-    both = suspects.join(index, suspects["p_item"].eqNullSafe(index["item_id"]))
-    found = both.select("doc_id", "item_id", F.col("size").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", _shingle_strings(F.col("text"), F.col("width")))).cast("long").alias("n_found"))
-    share = F.col("n_found") / F.col("n_item")
-    exact = found.withColumn("containment", F.round(share, 6)).where(share >= threshold)
+    exact = _held(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), index, threshold).withColumn("containment", F.round(F.col("n_found") / F.col("n_item"), 6))
     best = F.max(F.struct("containment", "n_item", "n_found"))
-    return exact.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_item", "b.n_found", "b.containment")
+    return exact.groupBy("key", "item_id").agg(best.alias("b")).select(F.col("key").alias("doc_id"), "item_id", "b.n_item", "b.n_found", "b.containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose doc_id holds no item, with the columns of docs."""
-    found = materialize(contained_items(docs, items, width, threshold).select(F.col("doc_id").alias("bad_id")).distinct(), "contain-bad")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(found["bad_id"]), "left_anti")
+    """The rows of docs that hold no item, with the columns of docs. Each row is judged by its own text, whatever rows share its doc_id."""
+    index = materialize(sketches(items, width, threshold), "contain-items")
+    found = _held(docs.select(row_key(docs).alias("key"), "text"), index, threshold).select("key").distinct()
+    key = unused("bad_key", docs.columns)
+    bad = materialize(found.withColumnRenamed("key", key), "contain-bad")
+    return docs.join(bad, row_key(docs) == bad[key], "left_anti")

@@ -13,6 +13,7 @@ that has no other id gets null; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb, inf
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import discard, let, lower_ascii, materialize, row_key, row_slices, unused, words
+from inkstone.llm.common import let, lower_ascii, materialize, row_key, row_slices, scratch_dir, temporary, unused, words
 
 BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks and every pair of blocks is compared.
@@ -87,8 +88,8 @@ def _in_slices(values: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarra
 
 
 def majority(more: bool):
-    """A mapInArrow function: hashes -> fp, other columns are carried; with more also n, the number of hashes, and fp2, the
-    fingerprint of the remixed hashes."""
+    """A mapInArrow function: hashes -> fp, other columns are carried; with more also n, the number of hashes, fp2, the fingerprint of the
+    remixed hashes, and sketch, the SKETCH smallest hashes (unsigned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +101,8 @@ def majority(more: bool):
             if more:
                 out["n"] = pa.array(np.diff(offsets).astype(np.int32))
                 out["fp2"] = pa.array(found[:, 1].view(np.int64))
+                least = [np.partition(own, SKETCH - 1)[:SKETCH] if len(own) > SKETCH else own for own in map(values.__getitem__, map(slice, offsets[:-1], offsets[1:]))]
+                out["sketch"] = pa.array([x.view(np.int64) for x in least], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
@@ -344,19 +347,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is their fingerprint class's smallest; of rows that share that doc_id, all stay. Rows
-    without a doc_id stay. Columns are those of docs."""
-    key = unused("gone_id", docs.columns)
-    found = near_duplicates(docs, width, distance)
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct(), "simhash-gone")
-    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
-
-
 #: The pipeline's near duplicates: words of a shingle, shingle Jaccard from which two texts are near copies, and the bits within
 #: which a pair becomes a candidate: STAGE_DISTANCE of the 64 that are searched, STAGE_BOTH of these and the 64 remixed ones. README has the
 #: share of pairs at 0.8 and above that these bits find.
 STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 31
+#: Before that a text has to share SHARED of its SKETCH smallest shingle hashes with those of other texts, or STAGE_JACCARD of them if it has no more: the
+#: smallest hashes of two texts together are in both with the chance of their Jaccard, so at 0.8 one text in 1,700 shares fewer.
+SKETCH, SHARED = 12, 5
 #: Texts that have a near one by these bits are compared by MORE_WORDS further remixed fingerprints, which may differ in MORE_BITS.
 MORE_WORDS, MORE_BITS = 8, 95
 #: Here a bucket row costs so many compared pairs; buckets are cut beyond STAGE_BLOCK rows; tiles have TILE pairs, and buckets of up to SMALL rows are
@@ -516,17 +513,27 @@ def sorted_buckets(units: DataFrame, plan: list[tuple[list[int], int]], block: i
     return dealt.repartition(F.shiftright("bucket", 1), "pair").sortWithinPartitions("pair", "bucket")
 
 
+def with_shared_sketch(units: DataFrame, jaccard: float) -> DataFrame:
+    """The units(unit, n, sketch, ...) whose sketch shares enough hashes with the sketches of others, without sketch."""
+    rows = units.select("unit", F.explode("sketch").alias("h"))
+    several = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h")
+    shares = rows.join(several.hint("shuffle_hash"), "h", "left_semi").groupBy("unit").agg(F.count(F.lit(1)).alias("shared"))
+    need = F.when(F.col("n") > SKETCH, F.lit(float(SHARED))).otherwise(F.lit(jaccard) * F.col("n") - F.lit(1e-9))
+    return units.join(shares.hint("shuffle_hash"), "unit").where(F.col("shared") >= need).drop("sketch", "shared")
+
+
 def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both: int, block: int = STAGE_BLOCK) -> DataFrame:
     """id, row_key, copies, root for the different rows of docs: root names the class of texts that are tied by shingle Jaccard
     of jaccard or more, where the pairs looked at are those within the distances. A unit is a text in lower case without
-    regard to white space. First each unit's nearest smaller one is found, whose verified links tie dense groups without all
+    regard to white space. Units that share too few of their smallest hashes with others have no near copy and are classes of their own. First each unit's nearest smaller one is found, whose verified links tie dense groups without all
     their pairs. Units that have a near one get further fingerprints; then each looks for its nearest one of another class, and last every
     pair that is still of two classes is verified. Links of the last step tie classes, not texts."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("row_key"), words(lower_ascii(F.col("text"))).alias("w"), "text")
     hashed = keyed.select("id", "row_key", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.array_distinct(shingle_hashes(F.col("text"), width)).alias("hashes"))
-    prints = materialize(hashed.mapInArrow(majority(True), "id long, row_key long, unit long, fp long, n int, fp2 long"), "near-prints")
+    prints = materialize(hashed.mapInArrow(majority(True), "id long, row_key long, unit long, fp long, n int, fp2 long, sketch array<long>"), "near-prints")
     rows = materialize(prints.groupBy("id", "row_key", "unit").agg(F.count(F.lit(1)).alias("copies")), "near-rows")
-    units = materialize(prints.groupBy("unit").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.max("n").alias("n"), F.min("row_key").alias("row_key")), "near-units")
+    every = materialize(prints.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n", "sketch")], F.min("row_key").alias("row_key")), "near-every")  # rows of a unit differ in row_key only
+    units = materialize(with_shared_sketch(every, jaccard), "near-units")
     n, p, corr = bit_statistics(units)
     sample = sampled_prints(units)
     plan = plan_parts(max(n, 2), p, corr, distance, sample, STAGE_ROW_COST)
@@ -567,7 +574,6 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     tied = verified(materialize(pairs, "near-pairs"))
     over = components(tied.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     named = materialize(classes_.select("unit", "label").join(over, F.col("label") == F.col("v"), "left").select("unit", F.coalesce("root", "label").alias("root")), "near-classes")
-    discard(sets, prints, more)
     return rows.join(named, "unit", "left").select("id", "row_key", "copies", F.coalesce("root", "unit").alias("root"))
 
 
@@ -575,16 +581,19 @@ def keep_one_of_each(docs: DataFrame, width: int = STAGE_WIDTH, jaccard: float =
     """Of every class of near copies one row: that with the smallest doc_id (none last), then the smallest hash of the row.
     Rows that share a doc_id, or have none, are rows like any other; texts without a word are copies of each other. Columns are
     those of docs."""
-    found = materialize(near_copies(docs, width, jaccard, distance, both), "near-rows-of-classes")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row_key"))
-    first = materialize(found.groupBy(F.col("root").alias("class")).agg(F.min(place).alias("first")), "near-firsts")
-    stays = F.col("row_key") == F.col("first.row_key")
-    judged = materialize(found.join(first, found["root"] == first["class"]).select("row_key", "copies", stays.alias("stays")), "near-judged")
+    path = f"{scratch_dir(docs.sparkSession)}/near-judged-{uuid.uuid4().hex}"
+    with temporary(docs.sparkSession):
+        found = materialize(near_copies(docs, width, jaccard, distance, both), "near-rows-of-classes")
+        place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row_key"))
+        first = materialize(found.groupBy(F.col("root").alias("class")).agg(F.min(place).alias("first")), "near-firsts")
+        stays = F.col("row_key") == F.col("first.row_key")
+        found.join(first, found["root"] == first["class"]).select("row_key", "copies", stays.alias("stays")).write.parquet(path)
+    judged = docs.sparkSession.read.schema("row_key long, copies long, stays boolean").parquet(path)
     key = unused("near_key", docs.columns)
     own = docs.withColumn(key, row_key(docs))
 
     def pick(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return df.join(keys.select(F.col("row_key").alias(key)), key, how)
+        return df.join(keys.select(F.col("row_key").alias(key)).hint("shuffle_hash"), key, how)  # alike at every size
 
     kept = pick(own, judged.where("not stays"), "left_anti")
     repeated = judged.where("stays and copies > 1")  # equal rows in every column
