@@ -87,13 +87,12 @@ pieces AS (
   SELECT conv_id, turn, own AS u FROM own
   UNION ALL SELECT conv_id, turn, unnest(string_split_regex(broken, '\n[\x20\x09-\x0D]*\n')) FROM own
   UNION ALL SELECT conv_id, turn, unnest(string_split(broken, chr(10))) FROM own),
-held AS (
-  SELECT conv_id, trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS u, turn FROM pieces
-  UNION ALL SELECT m.conv_id, p.text, said.turn FROM passages p JOIN m USING (r) JOIN said ON said.conv_id IS NOT DISTINCT FROM m.conv_id
-    AND len(string_split(p.text, ' ')) >= 5 AND contains(' ' || said.said || ' ', ' ' || p.text || ' ')),
-units AS (SELECT conv_id, u, min(turn) AS original FROM held GROUP BY conv_id, u),
-links AS (SELECT p.r, m.conv_id, m.turn, p.level, CASE WHEN units.original < m.turn THEN units.original END AS original
-  FROM passages p JOIN m USING (r) LEFT JOIN units ON units.conv_id IS NOT DISTINCT FROM m.conv_id AND units.u = p.text WHERE p.text <> ''),
+units AS (SELECT conv_id, trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS u, min(turn) AS unit_of FROM pieces GROUP BY ALL),
+parts AS (SELECT m.conv_id, p.text AS u, min(said.turn) AS part_of FROM passages p JOIN m USING (r) JOIN said ON said.conv_id IS NOT DISTINCT FROM m.conv_id
+  AND contains(' ' || said.said || ' ', ' ' || p.text || ' ') GROUP BY ALL),
+links AS (SELECT p.r, m.conv_id, m.turn, p.level, coalesce(CASE WHEN units.unit_of < m.turn THEN units.unit_of END, CASE WHEN parts.part_of < m.turn THEN parts.part_of END) AS original
+  FROM passages p JOIN m USING (r) LEFT JOIN units ON units.conv_id IS NOT DISTINCT FROM m.conv_id AND units.u = p.text
+  LEFT JOIN parts ON parts.conv_id IS NOT DISTINCT FROM m.conv_id AND parts.u = p.text WHERE p.text <> ''),
 lowest AS (SELECT conv_id, turn, min(level) AS level FROM links WHERE original IS NOT NULL GROUP BY conv_id, turn),
 replies AS (SELECT l.conv_id, l.turn, max(l.original) AS parent FROM links l JOIN lowest w ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.turn = w.turn AND l.level = w.level WHERE l.original IS NOT NULL GROUP BY l.conv_id, l.turn),
 tops AS (

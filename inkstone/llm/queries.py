@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import blob_ledger, containment, cube_mix, divergence, filter_audit, html_layout, periodic_runs, pii, ppm_language, quotes, simhash_gph, subword_quality, token_rans
+from inkstone.llm.common import with_position
 from inkstone.llm.oracle import ORACLE
 
 
@@ -31,8 +32,9 @@ def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator where messages quote: each is given a part of the one before, its whole text, or that at the second level."""
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    told = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before"))
+    told = with_position(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "seq", "replies")
+    before = told.select(F.col("conv_id").alias("of"), (F.col("seq") + 1).alias("after"), F.col("text").alias("before"))
+    told = told.join(before, told["conv_id"].eqNullSafe(before["of"]) & (told["seq"] == before["after"]), "left")
     part = F.array_join(F.slice(F.split(F.regexp_replace("before", "\n", " "), " "), 3, 10), " ")
     text = (
         F.when(F.col("before").isNull(), F.col("text"))

@@ -1,11 +1,12 @@
 """Quotation linking: from quoted passages in messages to the messages they come from, and to reply-ordered conversations.
 
 A line's quote level is the number of `>` marks it starts with. A passage is a run of lines of one level above 0. Passages are
-normalised (lower case, white space as one space), hashed and linked to the earliest message of the same conversation whose own text holds them, if that is
-earlier than the quoting message. A message holds a passage that is one of its units (its own text as a whole, a paragraph, a line), and a passage of
-RUN_WORDS words or more also if these words stand in its own text in sequence, so that a trimmed quote is found: the hash of the passage's first words is
-looked up among the own texts' runs of that length, and what is found is verified word for word. A message replies to the original of its linked passages of
-the lowest level, the latest of these. Links stay inside a conversation. Threads
+normalised (lower case, white space as one space), hashed and linked to the earliest message of the same conversation that has one as a unit (its own text
+as a whole, a paragraph, a line), if that is earlier than the quoting message; otherwise to the earliest one before it whose own text holds the passage's words in sequence, so
+that a quote trimmed to any part of a line or of several lines is found. For that, runs of 1, 2, 4, ... words are hashed, each from two of half its length: a
+passage stands where the longest such run that fits it stands at its start and another at its end, and each pair of message and passage that is found is
+compared once, word for word. A message replies to the original of its linked passages of the
+lowest level, the latest of these. Links stay inside a conversation. Threads
 follow replies to their roots by pointer doubling; a conversation in reply order lists threads by their root's turn and each
 thread by turn, so every reply stands after what it answers. Own text is what is left without passages and the
 attribution lines right before them; paragraphs and lines of it also end where a passage stood.
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import let, materialize, with_position
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
-#: Words from which on a passage is also found inside a unit.
-RUN_WORDS = 5
 ATTRIBUTION = r"(?i)(wrote|writes|said|écrit|schrieb|escribió)[ \t]*:[ \t]*$"
 
 
@@ -62,34 +61,65 @@ def parse(messages: DataFrame) -> DataFrame:
     return parsed.withColumn("units", units).drop("broken")
 
 
-def _runs(ws: Column) -> Column:
-    """Hashes of all runs of RUN_WORDS words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (RUN_WORDS - 1), F.lit(1)))
-    return F.when(F.size(ws) >= RUN_WORDS, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, RUN_WORDS), " ")))).otherwise(F.array().cast("array<bigint>"))
+def _with_runs(df: DataFrame, text: str, levels: int) -> DataFrame:
+    """df with words, the number n of them, and run0, run1, ...: hashes of all runs of 1, 2, 4, ... words of a normalised text, by place."""
+    out = df.withColumn("ws", F.split(text, " ")).withColumn("n", F.size("ws")).withColumn("run0", F.transform("ws", lambda w: F.xxhash64(w)))
+    for k in range(1, levels):
+        half, before = 1 << (k - 1), F.col(f"run{k - 1}")
+        starts = F.when(F.col("n") >= 2 * half, F.sequence(F.lit(0), F.greatest(F.col("n") - 2 * half, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        out = out.withColumn(f"run{k}", _joined(starts, before, half))
+    return out
+
+
+def _joined(starts: Column, before: Column, half: int) -> Column:
+    return F.transform(starts, lambda i: F.xxhash64(F.get(before, i), F.get(before, i + half)))
 
 
 def _inside(parsed: DataFrame, quoted: DataFrame, conv: Column) -> DataFrame:
-    """conv, hash, turn of messages whose own words hold a passage of RUN_WORDS words or more."""
-    wanted = quoted.withColumn("ws", F.split("text", " ")).where(F.size("ws") >= RUN_WORDS)
-    wanted = materialize(wanted.select("conv", "hash", "text", F.size("ws").alias("n"), F.xxhash64(F.array_join(F.slice("ws", 1, RUN_WORDS), " ")).alias("head")).distinct(), "quote-wanted")
+    """conv, hash, turn of messages whose own words hold a passage of quoted(conv, hash, text) in sequence."""
+    passages = materialize(quoted.select("conv", "hash", "text").distinct(), "quote-wanted")
+    longest = passages.agg(F.max(F.size(F.split("text", " ")))).first()[0] or 1
+    levels = longest.bit_length()
+    level = sum(F.when(F.col("n") >= 1 << k, 1).otherwise(0) for k in range(1, levels)) + F.lit(0)
+    ends = _with_runs(passages, "text", levels).withColumn("level", level)
+
+    def run_at(place: Column) -> Column:
+        return F.coalesce(*[F.when(F.col("level") == k, F.get(f"run{k}", place)) for k in range(levels)])
+
+    gap = F.col("n") - F.coalesce(*[F.when(F.col("level") == k, F.lit(1 << k)) for k in range(levels)])
+    wanted = materialize(ends.select("conv", "hash", "n", "level", gap.alias("gap"), run_at(F.lit(0)).alias("head"), run_at(gap).alias("tail")), "quote-ends")
     said = parsed.where("turn is not null").select(conv, "turn", normalise(F.col("own")).alias("said")).join(wanted.select("conv").distinct(), "conv", "left_semi")
     said = materialize(said.groupBy("conv", "said").agg(F.min("turn").alias("turn")).withColumn("said_key", F.md5("said")), "quote-said")  # of equal texts only the first counts
-    places = said.select(F.col("conv").alias("in_conv"), "said_key", F.posexplode(let(F.split("said", " "), _runs)).alias("at", "run"))
-    found = places.join(wanted, (F.col("in_conv") == F.col("conv")) & (F.col("run") == F.col("head"))).select("conv", "said_key", "at", "hash", "text", "n")
-    held = found.join(said, ["conv", "said_key"]).where(F.array_join(F.slice(F.split("said", " "), F.col("at") + 1, F.col("n")), " ") == F.col("text"))
-    return held.select("conv", "hash", "turn")
+    runs = F.concat(*[F.transform(f"run{k}", _place(k)) for k in range(levels)])
+    places = _with_runs(said, "said", levels).select("conv", "said_key", F.explode(runs).alias("r")).select("conv", "said_key", "r.*")
+    looked_for = wanted.select("conv", "level", F.explode(F.array("head", "tail")).alias("run")).distinct()
+    places = materialize(places.join(looked_for, ["conv", "level", "run"], "left_semi"), "quote-places")
+    starts = places.join(wanted, (places["conv"] == wanted["conv"]) & (places["level"] == wanted["level"]) & (places["run"] == wanted["head"]))
+    starts = starts.select(places["conv"], "said_key", places["level"], "hash", "n", "at", (F.col("at") + F.col("gap")).alias("end_at"), F.col("tail").alias("run"))
+    both = starts.join(places.withColumnRenamed("at", "end_at"), ["conv", "said_key", "level", "end_at", "run"], "left_semi")
+    found = materialize(both.groupBy("conv", "said_key", "hash", "n").agg(F.min("at").alias("at")), "quote-found")
+    held = found.join(said, ["conv", "said_key"]).join(passages, ["conv", "hash"])
+    return held.where(F.array_join(F.slice(F.split("said", " "), F.col("at") + 1, F.col("n")), " ") == F.col("text")).select("conv", "hash", "turn")
+
+
+def _place(level: int):
+    return lambda run, at: F.struct(F.lit(level).alias("level"), at.alias("at"), run.alias("run"))
 
 
 def link(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, row_key, level, hash, original (turn or null) of every quoted passage."""
     conv = F.coalesce("conv_id", F.lit(-(1 << 63)).cast("long")).alias("conv")
     quoted = materialize(parsed.select(conv, "turn", "row_key", F.posexplode("passages").alias("place", "p")).select("conv", "turn", "row_key", "place", "p.level", "p.text", F.md5("p.text").alias("hash")), "quote-passages")
-    wanted = quoted.select("conv", "hash").distinct()
     units = parsed.where("turn is not null").select(conv, "turn", F.explode("units").alias("u")).select("conv", F.md5("u").alias("hash"), "turn")
-    holders = units.join(wanted, ["conv", "hash"], "left_semi").unionByName(_inside(parsed, quoted, conv))
-    first = materialize(holders.groupBy("conv", "hash").agg(F.min("turn").alias("original")), "quote-originals")
-    found = quoted.join(first, ["conv", "hash"], "left")
-    return found.select("conv", "turn", "row_key", "place", "level", "hash", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original"))
+    holders = units.join(quoted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    first = materialize(holders.groupBy("conv", "hash").agg(F.min("turn").alias("unit_of")), "quote-units")
+    by_unit = quoted.join(first, ["conv", "hash"], "left").withColumn("unit_of", F.when(F.col("unit_of") < F.col("turn"), F.col("unit_of")))
+    by_unit = materialize(by_unit, "quote-by-unit")
+    inside = _inside(parsed, by_unit.where("unit_of is null and turn is not null"), conv)
+    part = materialize(inside.groupBy("conv", "hash").agg(F.min("turn").alias("part_of")), "quote-parts")
+    found = by_unit.join(part, ["conv", "hash"], "left")
+    original = F.coalesce("unit_of", F.when(F.col("part_of") < F.col("turn"), F.col("part_of")))
+    return found.select("conv", "turn", "row_key", "place", "level", "hash", original.alias("original"))
 
 
 def threads(parents: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import defaultdict
 
 from inkstone.llm import quotes as op
@@ -25,10 +26,16 @@ ROWS = [
     (4, 0, "a", "l one is here\nl two is here too\nl three\n\nnext paragraph of words\nlast line"),
     (4, 1, "b", "> l one is here\n> l two is here too\nfirst part"),
     (4, 2, "b", "> two is here too l three next\n> paragraph of\nmiddle, over the paragraph"),
-    (4, 3, "b", "> l one\ntoo short for a part"),
+    (4, 3, "b", "> one is\n>> is\na part of two words, and one"),
     (4, 4, "b", "> one is here l two was\nnearly"),
     (4, 5, "b", "answer one\nin two lines\n> l three\nanswer two\n> last line\nanswer three"),
     (4, 6, "b", "> answer one\n> in two lines\n>> l one is here l two\nyes"),
+    (5, 0, "a", "so we say yes to that"),
+    (5, 1, "b", "yes"),
+    (5, 2, "a", "> yes\nthe line counts before the word in a line"),
+    (5, 3, "a", "> we say\n> yes to\nover two lines\n> that so\n"),
+    (5, 4, "b", "x x x x x x x y"),
+    (5, 5, "a", "> x x x x x\n>> x x x y\n> y x\n"),
     (3, 5, "a", "tie one"),
     (3, 5, "b", "tie two\n> tie one"),
     (3, 6, "b", "> tie two\r\nok\r\n> tie one"),
@@ -67,21 +74,25 @@ def brute(rows):
     for conv, turn, _, _, _, units in parsed:
         for u in units if turn is not None else ():
             first[conv, u] = min(turn, first.get((conv, u), turn))
-    quoted = {(conv, u) for conv, _, _, _, passages, _ in parsed for _, u in passages if len(u.split(" ")) >= 5}
-    for conv, u in quoted:
+    part = {}
+    for conv, u in {(conv, u) for conv, _, _, _, passages, _ in parsed for _, u in passages}:
         for other, turn, _, own, _, _ in parsed:
             if other == conv and turn is not None and f" {u} " in f" {norm(own)} ":
-                first[conv, u] = min(turn, first.get((conv, u), turn))
+                part[conv, u] = min(turn, part.get((conv, u), turn))
+
+    def original(conv, turn, u):
+        return next((d[conv, u] for d in (first, part) if turn is not None and d.get((conv, u), turn) < turn), None)
+
     reply = {}
     for conv, turn, _, _, passages, _ in parsed:
         for level, u in passages:
-            o = first.get((conv, u))
-            if turn is not None and o is not None and o < turn:
+            o = original(conv, turn, u)
+            if o is not None:
                 reply[conv, turn] = min(reply.get((conv, turn), (level, -o)), (level, -o))
     parent = {k: -v[1] for k, v in reply.items()}
     out = []
     for conv, turn, role, own, passages, _ in parsed:
-        linked = sum(turn is not None and first.get((conv, u)) is not None and first[conv, u] < turn for _, u in passages)
+        linked = sum(original(conv, turn, u) is not None for _, u in passages)
         root, depth = turn, 0
         while (conv, root) in parent:
             root, depth = parent[conv, root], depth + 1
@@ -94,7 +105,7 @@ def test_links_threads_and_texts_equal_brute_force(spark):
     got = op.conversations(df).collect()
     strip = [(r.conv_id, r.turn, r.role, r.own_text, r.n_passages, r.n_linked, r.parent_turn, r.thread_turn, r.depth) for r in got]
     assert sorted(map(repr, strip)) == sorted(map(repr, brute(ROWS)))
-    assert {r.turn: r.n_linked for r in got if r.conv_id == 4} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 2, 6: 2}
+    assert {r.turn: r.n_linked for r in got if r.conv_id == 4} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 0, 5: 2, 6: 2}
     by = defaultdict(list)
     for r in got:
         by[r.conv_id].append(r)
@@ -109,6 +120,13 @@ def test_links_threads_and_texts_equal_brute_force(spark):
         assert order == sorted(order)
 
 
+def test_long_texts_of_one_word_are_looked_through_once(spark):
+    rows = [(1, 0, "a", "w " * 60000 + "end"), (1, 1, "b", "> " + "w " * 30000 + "end\nhm"), (1, 2, "b", "> " + "w " * 777 + "\n>> " + "w " * 70000)]
+    started = time.time()
+    got = op.conversations(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect()
+    assert {(r.turn, r.n_linked) for r in got} == {(0, 0), (1, 1), (2, 1)} and time.time() - started < 120
+
+
 def test_long_chain_and_empty(spark):
     rows = [(1, t, "user", (f"> message {t - 1}\n" if t else "") + f"message {t}") for t in range(70)]
     got = op.conversations(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect()
