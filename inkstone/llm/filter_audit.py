@@ -19,22 +19,22 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import UPPER, materialize, words
+from inkstone.llm.common import let, materialize, words
 
 FILTERS = "ABCDE"
 #: Code points of the first block of a text, and how many times longer each further one is; so many blocks hold any text.
 FIRST_BLOCK, LONGER, BLOCKS = 64, 16, 7
 
 
-def failures(text: Column) -> dict[str, Column]:
-    """The filters that need nothing but the text, true where it fails."""
-    w, length = words(text), F.length(text)
-    return {
-        "A": F.size(w) < 200,
-        "B": 100 * F.size(F.array_distinct(w)) < 50 * F.size(w),
-        "C": 100 * (length - F.length(F.translate(text, UPPER, ""))) > 3 * length,
-        "D": text.rlike("[#$%&*|]"),
-    }
+def bit(name: str, fails: Column) -> Column:
+    return F.when(fails, 1 << FILTERS.index(name)).otherwise(0)
+
+
+def text_mask(text: Column) -> Column:
+    """The bits of the filters that need nothing but the text."""
+    by_words = let(words(text), lambda w: bit("A", F.size(w) < 200) + bit("B", 100 * F.size(F.array_distinct(w)) < 50 * F.size(w)))
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
+    return (by_words + bit("C", 100 * capitals > 3 * F.length(text)) + bit("D", text.rlike("[#$%&*|]"))).cast("int")
 
 
 def blocks(text: Column) -> Column:
@@ -42,7 +42,8 @@ def blocks(text: Column) -> Column:
     sizes = [FIRST_BLOCK * LONGER**k for k in range(BLOCKS)]
     starts = [sum(sizes[:k]) for k in range(BLOCKS)]
     bounds = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in zip(starts, sizes, strict=True)])
-    return F.transform(F.filter(bounds, lambda b: b["a"] < F.length(text)), lambda b: F.xxhash64(text.substr(b["a"] + 1, b["n"])))
+    held = let(F.length(text), lambda length: F.filter(bounds, lambda b: b["a"] < length))
+    return F.transform(held, lambda b: F.xxhash64(text.substr(b["a"] + 1, b["n"])))
 
 
 def refined(key: Column, block: Column) -> Column:
@@ -68,9 +69,9 @@ def surviving_classes(prints: DataFrame) -> DataFrame:
     return several
 
 
-def smallest_ids(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+def smallest_ids(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Of docs(id, text): (key, low) with the smallest id of every class whose texts are all equal; and (key, text, low) of
-    classes of several texts that share all hashes."""
+    classes of several texts that share all hashes, if there are any."""
     several = surviving_classes(prints)
     texts = docs.select(class_key(F.col("text")).alias("key"), "text", "id").join(several.hint("shuffle_hash"), "key", "left_semi")
     lows = texts.groupBy("key", "text").agg(F.min("id").alias("low"))  # whole texts compared; merged in each task before they are sent
@@ -78,6 +79,8 @@ def smallest_ids(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFra
     counted = lows.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min("low").alias("low"))
     alike = counted.where("texts = 1").select("key", "low")
     mixed = counted.where("texts > 1").select("key")
+    if mixed.isEmpty():
+        return alike, None
     return alike, texts.join(mixed, "key", "left_semi").groupBy("key", "text").agg(F.min("id").alias("low"))
 
 
@@ -85,17 +88,17 @@ def masks(docs: DataFrame) -> DataFrame:
     """id, part and mask (a bit for each filter failed, A the lowest) of every row of docs(doc_id, text, lang)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"))
-    mask = sum(F.when(f, 1 << FILTERS.index(name)).otherwise(0) for name, f in failures(F.col("text")).items())
-    prints = materialize(own.select("id", "part", mask.cast("int").alias("mask"), F.length("text").alias("length"), blocks(F.col("text")).alias("blocks")), "audit-prints")
+    mask = text_mask(F.col("text"))
+    prints = materialize(own.select("id", "part", mask.alias("mask"), F.length("text").alias("length"), blocks(F.col("text")).alias("blocks")), "audit-prints")
     alike, mixed = smallest_ids(own, prints)
-    copy = F.when(F.col("low") < F.col("id"), 1 << FILTERS.index("E")).otherwise(0)
+    copy = bit("E", F.col("low") < F.col("id"))
     keyed = prints.withColumn("key", F.aggregate("blocks", F.xxhash64("length"), refined))
     out = keyed.join(alike.hint("merge"), "key", "left").select("id", "part", (F.col("mask") + copy).alias("mask"))
-    if mixed.isEmpty():
+    if mixed is None:
         return out
     some = mixed.select("key").distinct()  # classes in which all hashes agree and the texts do not: decided by the texts
     clear = keyed.join(some, "key", "left_anti").join(alike, "key", "left").select("id", "part", (F.col("mask") + copy).alias("mask"))
-    unclear = own.select("id", "part", mask.cast("int").alias("mask"), class_key(F.col("text")).alias("key"), "text").join(mixed, ["key", "text"])
+    unclear = own.select("id", "part", mask.alias("mask"), class_key(F.col("text")).alias("key"), "text").join(mixed, ["key", "text"])
     return clear.unionByName(unclear.select("id", "part", (F.col("mask") + copy).alias("mask")))
 
 
