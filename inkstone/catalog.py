@@ -374,6 +374,51 @@ def component_rules(spark, sf_dir):
     return report.by_rule(rules.apply(found, CONFIG))
 
 
+BROKEN = {
+    0: (".a { padding: 13px; color: #abc", "Unclosed block"),
+    1: (".a { padding: 13px }} .b { gap: 2px }", "Unexpected }"),
+    2: (".a { padding: 13px } /* open .b { gap: 1px }", "Unclosed comment"),
+    3: (".a { content: \"x; gap: 1px } .b { gap: 2px }", "Unclosed string"),
+}
+
+
+def chosen(key, texts: dict, rest: str = ""):
+    """The text of each key, and the rest for keys without one."""
+    out = F.lit(rest)
+    for k, text in texts.items():
+        out = F.when(key == k, text).otherwise(out)
+    return out
+
+
+@query("WITH b(k, error) AS (VALUES " + ", ".join(f"({k}, '{e}')" for k, (_, e) in BROKEN.items()) + ") SELECT 'p' || CAST(p_partkey AS VARCHAR) || '.css' AS file, CASE WHEN error IS NULL THEN 2 ELSE 0 END AS declarations, CASE WHEN error IS NULL THEN 0 ELSE 1 END AS others, error FROM part LEFT JOIN b ON p_partkey % 9 = k")
+def p11_parse_errors(spark, sf_dir):
+    """Style sheets of which four in nine are broken: these give their error and no other fact."""
+    text = chosen(F.col("p_partkey") % 9, {k: t for k, (t, _) in BROKEN.items()}, ".a { padding: 13px; content: '}' }")
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".css")).alias("file"), text.alias("content"))
+    found = facts.parse(files).groupBy("file").agg(F.count_if(F.col("fact") == "decl").cast("int").alias("declarations"), F.count_if(F.col("fact") != "decl").cast("int").alias("others"), F.max(F.when(F.col("fact") == "error", F.col("value"))).alias("error"))
+    return found
+
+
+LOGS = {
+    0: ("console.log('token', a, 1);", None),
+    1: ("console.error(\n  'x',\n  user.password);", "password"),
+    2: ("console.log(`x ${`in ${b.apiKey}`} ${token}`);", "apiKey"),
+    3: ("console.log(a), foo(password); console.log(session.id);", None),
+    4: ("console.log({ a: token, 'api_key': 1 });", "api_key"),
+    5: ("foo(() => console.warn((authToken), bar(secret)));", "authToken"),
+    6: ("console.log({ a: { token } }, [session], a + token, a.token());", None),
+    7: ("console.debug(a[credentials]);", "credentials"),
+}
+
+
+@query("WITH e(k, word) AS (VALUES " + ", ".join(f"({k}, '{w}')" for k, (_, w) in LOGS.items() if w) + ") SELECT 'src/o' || CAST(o_orderkey AS VARCHAR) || '.tsx' AS file, 1 + CAST(o_orderkey % 3 AS INTEGER) AS line, '\"' || word || '\" is logged' AS message FROM orders JOIN e ON o_orderkey % 9 = k")
+def r16_console_sensitive(spark, sf_dir):
+    key = F.col("o_orderkey")
+    text = F.concat(F.repeat(F.lit("\n"), (key % 3).cast("int")), chosen(key % 9, {k: t for k, (t, _) in LOGS.items()}, "no.call(token);"))
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("src/o"), key.cast("string"), F.lit(".tsx")).alias("file"), text.alias("content"))
+    return rules.console_sensitive(facts.parse(files), CONFIG).select("file", "line", "message")
+
+
 @query("SELECT 'p' || CAST(page_id AS VARCHAR) || '.twig' AS file, len(regexp_extract_all(html, '<div class=\"ad\">')) AS n FROM pages")
 def p9_tag_scan(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".twig")).alias("file"), F.col("html").alias("content"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import color, values
@@ -266,11 +266,66 @@ def env_in_client(facts: DataFrame, config: Config) -> DataFrame:
     return violation(rows.join(first, "file", "left_anti"), "no-env-in-client", F.concat(F.lit("process.env."), F.col("hit"), F.lit(" in client code")))
 
 
+# Methods that log.
+LOGS = ("log", "info", "warn", "error", "debug")
+#: Token kinds that open and close, in the order of each other; a chain is what may stand before the last name of a member.
+OPENS, CLOSES = ("(", "[", "{", "`", "<"), (")", "]", "}", "'", ">")
+CHAIN = r"(?:w|s|\(\)|\[\]|\{\}|`')(?:\.w|\(\)|\[\])*"
+
+
+def bracketed(tokens: DataFrame) -> DataFrame:
+    """tokens(file, seq, kind, value, line, col) with their place among brackets: after (depth behind a token), mate (seq of an opening one's
+    close), whole (an opening one and its close are all of an argument), parent (seq, kind and whole of the bracket around), part (commas
+    before it in there) and shut (depth of brackets that are more than grouping, templates or expressions in these)."""
+    order = Window.partitionBy("file").orderBy("seq")
+    opens, closes = F.col("kind").isin(*OPENS), F.col("kind").isin(*CLOSES)
+    t = tokens.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("after", F.sum("step").over(order))
+    t = t.withColumn("pair", F.when(opens, F.col("after")).when(closes, F.col("after") + 1)).withColumn("next", F.lead("kind").over(order))
+    pairs = Window.partitionBy("file", "pair").orderBy("seq")
+    closed_by = F.when(opens, F.lead(F.struct("seq", "next")).over(pairs))
+    begins = F.coalesce(F.lag("kind").over(order).isin(*OPENS, ","), F.lit(False))
+    t = t.withColumn("close", closed_by).withColumn("mate", F.col("close.seq"))
+    t = t.withColumn("whole", opens & begins & F.coalesce(F.col("close.next").isin(*CLOSES, ","), F.lit(False)))
+    t = t.withColumn("open", F.when(opens & ((F.col("whole") & F.col("kind").isin("(", "`")) | (F.col("kind") == "<")), True).when(opens, False))
+    shut = F.when(opens & ~F.col("open"), 1).when(closes & ~F.coalesce(F.lag("open").over(pairs), F.lit(True)), -1).otherwise(0)
+    t = t.withColumn("shut_step", shut).withColumn("shut", F.sum("shut_step").over(order))
+    level = Window.partitionBy("file", "after").orderBy("seq")
+    inside = F.last(F.when(opens, F.struct("seq", "kind", "whole")), ignorenulls=True).over(level)
+    t = t.withColumn("around", inside)
+    parent = F.when(opens, F.lag("around").over(order)).otherwise(F.col("around"))  # a bracket that opens stands where the token before it, or in it
+    t = t.withColumn("parent", parent)
+    return t.withColumn("part", F.sum(F.when(F.col("kind") == ",", 1).otherwise(0)).over(Window.partitionBy("file", "parent.seq").orderBy("seq")))
+
+
+def logged_names(tokens: DataFrame) -> DataFrame:
+    """file, line, col, seq of every call of console that logs, and the name of each argument that has one: a name, the last name of a member, a key
+    of an object, or one of these in a template or brackets. Other expressions have none."""
+    order = Window.partitionBy("file").orderBy("seq")
+    back = lambda c, n: F.lag(c, n).over(order)
+    called = (F.col("kind") == "(") & back("value", 1).isin(*LOGS) & (back("kind", 2) == ".") & (back("value", 3) == "console") & ~F.coalesce(back("kind", 4) == ".", F.lit(False))
+    only = F.when((F.lead("kind").over(order) == "w") & (F.lead("kind", 2).over(order) == "]"), F.lead("value").over(order))
+    t = bracketed(tokens).withColumn("called", called).withColumn("at", back(F.struct("line", "col"), 3)).withColumn("only", only)
+    calls = t.where("called and mate is not null").select("file", F.col("seq").alias("call"), F.col("mate").alias("end"), F.col("shut").alias("base"), "at.line", "at.col")
+    around = F.col("shut") - F.when(F.col("shut_step") > 0, 1).otherwise(0)  # of the bracket a token stands in
+    key = (F.col("parent.kind") == "{") & F.col("parent.whole")
+    role = F.explode(F.array(F.struct(around.alias("base"), F.lit(False).alias("key")), F.struct((around - 1).alias("base"), F.lit(True).alias("key"))))
+    pieces = t.where("kind <> ','").withColumn("is_key", key).select("file", "seq", "kind", "value", "only", "parent", "part", "is_key", role.alias("r")).where("not r.key or is_key")
+    found = pieces.select("file", "seq", "kind", "value", "only", F.col("parent.seq").alias("parent"), "part", "r.key", "r.base").join(calls, ["file", "base"]).where("seq > call and seq < end")
+    parts = found.groupBy("file", "call", "line", "col", "key", "parent", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "value", "only"))).alias("p"))
+    shape = F.array_join(F.transform("p", lambda x: x["kind"]), "")
+    first, last, text = F.get("p", 0), F.element_at("p", -1), lambda x: F.regexp_replace(x["value"], "^[\"']|[\"']$", "")
+    of_argument = F.when(F.col("shape").rlike(rf"^(?:w|{CHAIN}\.w)$"), last["value"]).when(F.col("shape").rlike(rf"^{CHAIN}\[\]$"), F.get("p", F.size("p") - 2)["only"])
+    of_key = F.when(F.col("shape").rlike(r"^(?:w$|[ws]:|w\(\)\{\}$)"), text(first)).when(F.col("shape").rlike(r"^ww\(\)\{\}$"), F.get("p", 1)["value"]).when(F.col("shape").rlike(r"^\[\]:"), first["only"])
+    named = parts.withColumn("shape", shape).withColumn("name", F.when(F.col("key"), of_key).otherwise(of_argument)).where("name is not null")
+    return named.select("file", "line", "col", "call", first["seq"].alias("seq"), "name")
+
+
 @rule("no-console-sensitive")
 def console_sensitive(facts: DataFrame, config: Config) -> DataFrame:
-    rows = code_matches(facts, r"\bconsole\.(?:log|info|warn|error|debug)\s*\(([^;]*)")
-    word = F.get(F.filter(F.regexp_extract_all("hit", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)), lambda w: w.rlike(SENSITIVE)), 0)
-    return violation(rows.withColumn("word", word).where("word is not null"), "no-console-sensitive", F.concat(F.lit('"'), F.col("word"), F.lit('" is logged')))
+    tokens = facts_of(facts, "token", "jsx").select("file", "seq", F.col("name").alias("kind"), "value", "line", "col")
+    said = logged_names(tokens).where(F.col("name").rlike(SENSITIVE))
+    first = said.groupBy("file", "line", "col", "call").agg(F.min_by("name", "seq").alias("word"))
+    return violation(first, "no-console-sensitive", F.concat(F.lit('"'), F.col("word"), F.lit('" is logged')))
 
 
 CREDENTIAL = r"(?i)\b(?:password|passwd|secret|api_?key|auth_?token|access_?token|private_?key|token)[\"']?\s*[:=]\s*[\"'`]([^\"'`\s]{8,})[\"'`]"

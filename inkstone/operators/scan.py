@@ -26,11 +26,16 @@ class Places:
         return line + self.shift, offset - self.starts[line - 1]
 
 
-STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|(?<!:)//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|#\{[^}]*\}|\((?:[^()"']|\([^()]*\)|"[^"]*"|'[^']*')*\)|[{};]""", re.S)
+class Broken(ValueError):
+    """A text that has no reading as what it should be."""
+
+
+STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|(?<!:)//[^\n]*|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|#\{[^}]*\}|\((?:[^()"']|\([^()]*\)|"[^"]*"|'[^']*')*\)|[{};]""", re.S)
 
 
 def style_facts(text: str, lang: str, shift: int = 0) -> Iterator[Fact]:
-    """Declarations with their block and selector, variable at-rules and comments of one style sheet."""
+    """Declarations with their block and selector, variable at-rules and comments of one style sheet; Broken if a block, string or comment never
+    ends or a block ends that never began."""
     place, blocks, number, start = Places(text, shift), [], 0, 0
     holes: list[tuple[int, int]] = []
 
@@ -54,6 +59,10 @@ def style_facts(text: str, lang: str, shift: int = 0) -> Iterator[Fact]:
 
     for m in STYLE.finditer(text):
         token = m.group()
+        if token[0] in "\"'" and (len(token) == 1 or token[-1] != token[0]):
+            raise Broken("Unclosed string")
+        if token.startswith("/*") and not (len(token) > 3 and token.endswith("*/")):
+            raise Broken("Unclosed comment")
         if token.startswith("/*") or (token.startswith("//") and lang != "css"):
             holes.append(m.span())
             line, col = place(m.start())
@@ -66,8 +75,12 @@ def style_facts(text: str, lang: str, shift: int = 0) -> Iterator[Fact]:
         elif token in ";}":
             yield from statement(m.start())
             start = m.end()
-            if token == "}" and blocks:
+            if token == "}":
+                if not blocks:
+                    raise Broken("Unexpected }")
                 blocks.pop()
+    if blocks:
+        raise Broken("Unclosed block")
     yield from statement(len(text))
 
 
@@ -151,10 +164,10 @@ def tag_facts(text: str, script: bool, shift: int = 0) -> Iterator[Fact]:
             stack.append((number, m[2] or ""))
 
 
-SCRIPT = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>(?<![\w.$])\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<mark>=>|[=!]==?|[<>]=|&&|\|\||\?\?|\*\*|[-+*/%<>=?:,;.(){}\[\]])""",
-    re.S,
-)
+COMMENT, STRING, TEMPLATE = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r"""\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'""", r"`(?:\\.|[^`\\])*`"
+REST = r"(?P<number>(?<![\w.$])\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<mark>=>|[=!]==?|[<>]=|&&|\|\||\?\?|\*\*|[-+*/%<>=?:,;.(){}\[\]])"
+SCRIPT = re.compile(rf"(?P<comment>{COMMENT})|(?P<string>{STRING}|{TEMPLATE})|{REST}", re.S)
+TOKEN = re.compile(rf"(?P<comment>{COMMENT})|(?P<string>{STRING})|(?P<tick>`)|{REST}", re.S)
 BINARY = frozenset("+ - * / % ** == === != !== < > <= >= && || ??".split())
 COMPONENT = re.compile(r"(?:export\s+(?:default\s+)?)?(?:(?:async\s+)?function\s+(?P<f>[A-Z]\w*)\s*(?=\()|(?:const|let|var)\s+(?P<v>[A-Z]\w*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\w*\s*)?(?=\(|\w+\s*=>)|class\s+(?P<c>[A-Z]\w*)\b[^{]*(?=\{))")
 
@@ -213,6 +226,48 @@ def script_facts(text: str) -> Iterator[Fact]:
     yield from component_facts(text, masked, place)
 
 
+STATIC = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
+
+
+def token_facts(text: str) -> Iterator[Fact]:
+    """The tokens of a script without comments: name is a letter for its kind, w(ord), s(tring), n(umber), a bracket, point, comma or colon
+    itself, ` and ' around a template, < and > around an expression in it, o(ther)."""
+    place, open_, at = Places(text), [], 0
+
+    def fact(name: str, value: str, offset: int) -> Fact:
+        line, col = place(offset)
+        return {"fact": "token", "name": name, "value": value, "line": line, "col": col}
+
+    while at < len(text):
+        if open_ and open_[-1] == "`":
+            at = STATIC.match(text, at).end()
+            if text.startswith("${", at):
+                open_.append("<")
+                yield fact("<", "${", at)
+                at += 2
+            elif at < len(text):
+                open_.pop()
+                yield fact("'", "`", at)
+                at += 1
+            continue
+        m = TOKEN.search(text, at)
+        if m is None:
+            return
+        at, kind, value = m.end(), m.lastgroup, m.group()
+        if kind == "tick":
+            open_.append("`")
+            yield fact("`", value, m.start())
+        elif value == "}" and open_ and open_[-1] == "<":
+            open_.pop()
+            yield fact(">", value, m.start())
+        elif kind != "comment":
+            if value == "{":
+                open_.append(value)
+            elif value == "}" and open_:
+                open_.pop()
+            yield fact(kind[0] if kind in ("word", "string", "number") else value if value in "()[]{}.,:" else "o", value, m.start())
+
+
 def component_facts(text: str, masked: str, place: Places) -> Iterator[Fact]:
     """Top-level capitalised functions and classes: span of lines, used properties, and the tags they render with sorted attributes."""
     at = 0

@@ -73,6 +73,59 @@ def test_templates(found):
     assert {g[1:3] for g in of(found, "g.blade.php")} == {(2, "5px"), (2, "p-[5px]")}
 
 
+LOGGED = {
+    "console.log(token)": "token",
+    "console.log('token', \"a\", 1)": None,
+    "console.error(\n  'x',\n  user.password,\n  authToken)": "password",
+    "console.log(session.id)": None,
+    "console.log(a), foo(password)": None,
+    "console.log(foo(password))": None,
+    "console.log(load().secret, 1)": "secret",
+    "console.log(`x ${token} y`)": "token",
+    "console.log(`x ${a + token} y ${`in ${b.apiKey}`}`)": "apiKey",
+    "console.log({ a, password })": "password",
+    "console.log({ 'api_key': 1, token })": "api_key",
+    "console.log({ a: password })": None,
+    "console.log({ a: { password: 1 } })": None,
+    "console.log({ [session]: 1 })": "session",
+    "console.log({ get token() { return 1 } })": "token",
+    "console.log((password))": "password",
+    "console.log((a, b) => password)": None,
+    "console.log(a[token])": "token",
+    "console.log([token])": None,
+    "console.log(a + token)": None,
+    "console.log(...tokens)": None,
+    "console.log(a ? token : 1)": None,
+    "console.log(`token`, tag`${token}`)": None,
+    "window.console.log(token)": None,
+    "console.table(token)": None,
+    "console.log(a.token.length)": None,
+    "console.log(a.token())": None,
+    "console.log(() => { console.warn(secretKey) })": "secretKey",
+    "/* console.log(token) */ console.info('it', // token\n  1)": None,
+    "foo(console.debug(credentials, password))": "credentials",
+    "console.log(`}`, a['x'].auth)": "auth",
+    "console.log(token": None,
+}
+
+
+def test_console_calls_name_what_the_arguments_name(spark):
+    sources = spark.createDataFrame([(f"{i}.tsx", text + ";\nconst y = `${1}`;") for i, text in enumerate(LOGGED)], "file string, content string")
+    got = {r.file: r for r in rules.console_sensitive(facts.parse(sources), CONFIG).collect()}
+    for i, (text, want) in enumerate(LOGGED.items()):
+        said = got.get(f"{i}.tsx")
+        assert (said.message.split('"')[1] if said else None) == want, text
+    assert (got["2.tsx"].line, got["2.tsx"].col) == (1, 0) and (got["27.tsx"].line, got["27.tsx"].col) == (1, 20)
+
+
+def test_broken_style_sheets_give_one_error_and_nothing_else(spark):
+    broken = {"a.css": ".a{color:red", "b.css": "}}} .b{color:red}", "c.scss": ".c{gap:1px} /* open", "d.less": ".d{content:'x}", "e.vue": "<template><p style='gap:1px'/></template><style>.e{</style>", "f.css": ".f{gap:1px} /*/"}
+    fine = {"g.css": ".g{content:'}';background:url(a{b)} /* } */", "h.scss": "// it's {\n.h{#{$p}-x:1px}", "i.css": ""}
+    found = facts.parse(spark.createDataFrame([*broken.items(), *fine.items()], "file string, content string")).collect()
+    assert {f: [r.value for r in found if r.file == f] for f in broken} == {"a.css": ["Unclosed block"], "b.css": ["Unexpected }"], "c.scss": ["Unclosed comment"], "d.less": ["Unclosed string"], "e.vue": ["Unclosed block"], "f.css": ["Unclosed comment"]}
+    assert {r.fact for r in found if r.file in broken} == {"error"} and not [r for r in found if r.file in fine and r.fact == "error"]
+
+
 def test_components(found):
     got = of(found, "h.tsx")
     assert ("no-inline-styles", 6, None, None) in got and not of(found, "h.tsx", "no-console-log")
