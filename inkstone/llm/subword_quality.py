@@ -1,8 +1,8 @@
-"""Quality classifier: hashed word and byte n-gram vectors, averaged for each document, with a softmax output.
+"""Quality classifier: hashed word and character n-gram vectors, averaged for each document, with a softmax output.
 
 The vectors and the output layer are trained by plain stochastic gradient descent in numpy on a bounded sample of the labelled
 training rows (SAMPLE per class, the first by a hash of the id; whole texts). As the output is linear in the mean vector, each
-bucket's share of the margin is known after training, and tasks add those shares over every byte of every text.
+bucket's share of the margin is known after training, and tasks add those shares over every character of every text.
 
 Defined cases: null and empty texts have no feature and score by the output bias alone; ids may repeat, each row is scored;
 labels that are null or not 0/1 are not learned from; without labels of both classes every score is the share of label 1
@@ -28,6 +28,19 @@ SLICE = 1 << 20
 _P32, _P64 = np.uint32(0x01000193), np.uint64(0x100000001B3)
 
 
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes as numbers, and the offsets of the texts in them."""
+    if not len(raw) or int(raw.max()) < 0x80:
+        return raw.astype(np.uint32), offsets
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    lead = raw[first].astype(np.uint32)
+    points = np.where(lead < 0x80, lead, np.where(lead < 0xE0, lead & 0x1F, np.where(lead < 0xF0, lead & 0x0F, lead & 0x07)))
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        longer = lead >= least
+        points[longer] = (points[longer] << np.uint32(6)) | (raw[np.minimum(first[longer] + k, len(raw) - 1)] & np.uint32(0x3F))
+    return points, np.searchsorted(first, offsets)
+
+
 def _spaces(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
@@ -37,8 +50,8 @@ def _bucket32(h: np.ndarray) -> np.ndarray:
 
 
 def gram_features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each gram length: bucket of the gram that starts at each byte, and a mask of grams inside one text."""
-    wide = raw.astype(np.uint32)
+    """For each gram length: bucket of the gram that starts at each character, and a mask of grams inside one text."""
+    wide = raw.astype(np.uint32, copy=False)
     ends = offsets[1:]
     h = np.full(len(raw), 0x811C9DC5, np.uint32)
     done = 0
@@ -56,7 +69,7 @@ def gram_features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
 
 
 def word_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start byte and bucket of every word and of every pair of neighbours; a word next to itself has one bucket of its own."""
+    """First character and bucket of every word and of every pair of neighbours; a word next to itself has one bucket of its own."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     space = _spaces(raw)
@@ -83,7 +96,7 @@ def word_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def sparse_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and their shares, which sum to 1."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.array([0, len(raw)], np.int64)
     found = [b[inside] for b, inside in gram_features(raw, offsets)] + [word_features(raw, offsets)[1]]
     ids, n = np.unique(np.concatenate(found), return_counts=True)
@@ -139,7 +152,7 @@ def scorer(model: dict):
             raw, offsets = text_buffers(batch.column("text"))
             scores = np.full(len(offsets) - 1, model.get("constant", 0.5))
             for lo, hi in row_slices(offsets, SLICE) if "margin" in model else ():
-                part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                part, at = code_points(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 total, count = np.zeros(hi - lo), np.zeros(hi - lo)
                 full = np.flatnonzero(np.diff(at))
                 for bucket, inside in gram_features(part, at):

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -144,9 +145,9 @@ def test_quality_without_both_classes_and_filter(spark, labelled):
 
 
 def test_vectorised_features_equal_one_text_at_a_time():
-    texts = ["abc abc\nd", "", "é x x", "a", "word" * 50]
-    raw = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    texts = ["abc abc\nd", "", "é x x", "a", "word" * 50, "日本 語🙂🙂 Ж", "", "\u07ff\u0800\uffff\U00010000"]
+    raw, offsets = subword_quality.code_points(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    assert raw.tolist() == list(map(ord, "".join(texts))) and offsets.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
     margin = np.random.default_rng(0).normal(size=1 << subword_quality.BUCKET_BITS).astype(np.float32)
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
     for bucket, inside in subword_quality.gram_features(raw, offsets):
@@ -161,3 +162,64 @@ def test_vectorised_features_equal_one_text_at_a_time():
         ids, share = subword_quality.sparse_features(t)
         want = float(share @ margin[ids]) if len(ids) else 0.0
         assert abs(want - total[i] / max(1, count[i])) < 1e-5
+
+
+def plain_features(text):
+    """Shares of the hashed character grams, words and word pairs of a text, one after the other."""
+
+    def bucket(h):
+        h &= 2**32 - 1
+        return (((h ^ (h >> 15)) * 0x9E3779B1) & (2**32 - 1)) >> (32 - subword_quality.BUCKET_BITS)
+
+    found = []
+    for n in (3, 4, 5):
+        for i in range(len(text) - n + 1):
+            h = 0x811C9DC5
+            for c in text[i : i + n]:
+                h = (h * 0x01000193 + ord(c) + 1) & (2**32 - 1)
+            found.append(bucket(h))
+    hashes = [sum((ord(c) + 1) * 0x100000001B3**k for k, c in enumerate(w)) & (2**64 - 1) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    found += [bucket(h ^ (h >> 32)) for h in hashes]
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        pair = (a * 0x100000001B3 + b) & (2**64 - 1)
+        found.append(0 if a == b else bucket(pair ^ (pair >> 29)))
+    return {b: found.count(b) / len(found) for b in set(found)}
+
+
+def plain_training(texts, labels):
+    """Margin of the buckets that occur, and the bias, by gradient descent over dictionaries."""
+    op = subword_quality
+    rng = np.random.default_rng(op.SEED)
+    start = rng.uniform(-1 / op.DIM, 1 / op.DIM, (1 << op.BUCKET_BITS, op.DIM))
+    shares = [plain_features(t) for t in texts]
+    vectors = {b: start[b].tolist() for s in shares for b in s}
+    out, bias, step, total = [[0.0] * op.DIM, [0.0] * op.DIM], [0.0, 0.0], 0, op.EPOCHS * len(texts)
+    for _ in range(op.EPOCHS):
+        for i in rng.permutation(len(texts)):
+            rate, step = op.RATE * (1 - step / total), step + 1
+            mean = [sum(x * vectors[b][d] for b, x in shares[i].items()) for d in range(op.DIM)]
+            logits = [sum(o * m for o, m in zip(out[c], mean, strict=True)) + bias[c] for c in (0, 1)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            error = [odds[c] / sum(odds) - (labels[i] == c) for c in (0, 1)]
+            back = [error[0] * out[0][d] + error[1] * out[1][d] for d in range(op.DIM)]
+            for b, x in shares[i].items():
+                vectors[b] = [v - rate * x * len(shares[i]) ** 0.5 * g for v, g in zip(vectors[b], back, strict=True)]
+            for c in (0, 1):
+                out[c] = [o - rate * error[c] * m for o, m in zip(out[c], mean, strict=True)]
+                bias[c] -= rate * 0.1 * error[c]
+    return {b: sum(v * (p - q) for v, p, q in zip(vec, out[1], out[0], strict=True)) for b, vec in vectors.items()}, bias[1] - bias[0]
+
+
+def test_training_and_scores_equal_a_plain_version(spark):
+    good = ["the cat sat on the mat", "Les élèves étaient là, n'est-ce pas", "日本語の文章です 日本語", "it was not there but here", "a quiet day"]
+    bad = ["ZAB ZAB ZAB ZAB", "!!! buy buy 🙂🙂🙂 now", "zab ЖЖЖЖ zab", "BUY !!! now !!!"]
+    docs = [(i, t, "en", "s", 0, 1, "x") for i, t in enumerate([*good, *bad] * 3)] + [(500, "", "en", "s", 0, 1, "x")]
+    labels = [(d[0], int(d[0] % 9 < 5), 0) for d in docs[:-1]]
+    got = {r.doc_id: r.score for r in subword_quality.score_quality(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    learned = [(d[0], d[1]) for d in docs[:-1] if zlib.crc32(str(d[0]).encode()) % 3 != 1]
+    margin, bias = plain_training([t for _, t in learned], [int(i % 9 < 5) for i, _ in learned])
+    seen = {t for _, t in learned}
+    assert len(seen) == len(good) + len(bad)
+    for d in docs:
+        value = sum(x * margin[b] for b, x in plain_features(d[1]).items()) if d[1] else 0.0
+        assert abs(got[d[0]] - 1 / (1 + math.exp(-(value + bias)))) < 1e-3, d
