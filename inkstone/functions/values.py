@@ -154,39 +154,61 @@ def drift_dots(ratio: Column) -> Column:
 
 # Utility classes with a value in brackets.
 SPACING_UTILITIES = "p px py pt pr pb pl m mx my mt mr mb ml gap gap-x gap-y space-x space-y inset inset-x inset-y top right bottom left w h min-w max-w min-h max-h".split()
-CLASS_NAME = r"^((?:(?:[^\[\]:]|\[[^\]]*\])*:)*)!?-?([a-z][a-z-]*?)-?\[((?:[^\[\]]|\[[^\[\]]*\])+)\]!?$"
-PROPERTY_CLASS = r"^((?:(?:[^\[\]:]|\[[^\]]*\])*:)*)!?\[([a-z-]+):((?:[^\[\]]|\[[^\[\]]*\])+)\]!?$"
-DYNAMIC = r"\b(calc|var)\s*\("
+DYNAMIC = r"(?i)\b(calc|var)\s*\("
 
 
 def class_names(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"\s+"), lambda c: c != "")
 
 
+def _brackets(name: Column) -> Column:
+    """struct(colon, open, close): 0-based places of the last colon outside brackets, of the first bracket behind it and of its end, -1 for none."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("colon"), F.lit(-1).alias("open"), F.lit(-1).alias("close"))
+
+    def step(s: Column, c: Column) -> Column:
+        at, depth = s["at"], s["depth"]
+        deeper = depth + F.when(c == "[", 1).when((c == "]") & (depth > 0), -1).otherwise(0)
+        parts = (c == ":") & (depth == 0)
+        opens = (c == "[") & (depth == 0) & (s["open"] < 0)
+        closes = (c == "]") & (depth == 1) & (s["open"] >= 0) & (s["close"] < 0)
+        return F.struct(
+            (at + 1).alias("at"), deeper.alias("depth"), F.when(parts, at).otherwise(s["colon"]).alias("colon"),
+            F.when(parts, -1).when(opens, at).otherwise(s["open"]).alias("open"), F.when(parts, -1).when(closes, at).otherwise(s["close"]).alias("close"),
+        )
+
+    return F.aggregate(F.split(name, ""), start, step)
+
+
 def arbitrary_class(name: Column) -> Column:
-    """struct(utility, raw, number, category) of a class with a bracketed value; null for others and for calc() and var()."""
+    """struct(utility, raw, number, category, head, tail) of a class with a value in brackets of any depth: a utility's, or a property's of its own;
+    head and tail are what stands around the value. Null for others and for calc() and var()."""
+
+    def cut(begin: Column, end: Column) -> Column:
+        return F.substring(name, begin + 1, end - begin)
+
+    def read(b: Column) -> Column:
+        size = F.length(name)
+        end = size - F.when(name.endswith("!"), 1).otherwise(0)
+        before = F.regexp_replace(cut(b["colon"] + 1, b["open"]), "^!?-?", "")
+        own = (before == "") & F.substring(name, end, 1).eqNullSafe("]")
+        inner = F.position(F.lit(":"), name, b["open"] + 1) - 1  # between a property and its value
+        at = F.when(own, inner + 1).otherwise(b["open"] + 1)
+        to = F.when(own, end - 1).otherwise(b["close"])
+        utility = F.when(own, F.trim(cut(b["open"] + 1, inner))).otherwise(F.regexp_replace(before, "-$", ""))
+        fields = F.struct(own.alias("property"), utility.alias("utility"), F.trim(cut(at, to)).alias("raw"), cut(F.lit(0), at).alias("head"), cut(to, size).alias("tail"))
+        return F.when((b["open"] >= 0) & F.when(own, (inner > b["open"]) & (inner < to)).otherwise(b["close"] >= 0), fields)
+
+    def measured(x: Column) -> Column:
+        return let(F.struct(x["property"].alias("property"), x["utility"].alias("utility"), x["raw"].alias("raw"), x["head"].alias("head"), x["tail"].alias("tail"), number_of(x["raw"]).alias("number"), has_color(x["raw"]).alias("colored")), judged)
 
     def judged(x: Column) -> Column:
         utility, raw, number, colored = x["utility"], x["raw"], x["number"], x["colored"]
-        by_name = F.when(utility.startswith("rounded"), "radius").when(utility.isin(*SPACING_UTILITIES) | utility.rlike(SPACING_PROP), "spacing").when(colored, "color").when((utility == "text") & number.isNotNull(), "fontSize").otherwise("other")
+        by_name = F.when(utility.startswith("rounded"), "radius").when(utility.isin(*SPACING_UTILITIES), "spacing").when(colored, "color").when((utility == "text") & number.isNotNull(), "fontSize").otherwise("other")
         by_property = F.when(colored, "color").when(utility.rlike(RADIUS_PROP), "radius").when(utility.rlike(SPACING_PROP), "spacing").when(utility == "font-size", "fontSize").otherwise("other")
         category = F.when(x["property"], by_property).otherwise(by_name)
-        return F.when((utility != "") & ~raw.rlike(DYNAMIC), F.struct(utility.alias("utility"), raw.alias("raw"), number.alias("number"), category.alias("category")))
-
-    def measured(x: Column) -> Column:
-        return let(F.struct(x["property"].alias("property"), x["utility"].alias("utility"), x["raw"].alias("raw"), number_of(x["raw"]).alias("number"), has_color(x["raw"]).alias("colored")), judged)
-
-    def parts(pattern: str, by_property: bool) -> Column:
-        return F.struct(F.lit(by_property).alias("property"), F.regexp_extract(name, pattern, 2).alias("utility"), F.regexp_extract(name, pattern, 3).alias("raw"))
-
-    return F.when(name.contains("["), let(F.when(name.rlike(PROPERTY_CLASS), parts(PROPERTY_CLASS, True)).otherwise(parts(CLASS_NAME, False)), measured))
-
+        return F.when((raw != "") & ~raw.rlike(DYNAMIC), F.struct(utility.alias("utility"), raw.alias("raw"), number.alias("number"), category.alias("category"), x["head"].alias("head"), x["tail"].alias("tail")))
 
-def with_bracket(name: Column, value: Column) -> Column:
-    """A class name with its value in brackets replaced, its property and its variants kept."""
-    head = F.regexp_extract(name, r"^(.*\[(?:[a-z-]+:)?)(?:[^\[\]]|\[[^\[\]]*\])+\]!?$", 1)
-    tail = F.regexp_extract(name, r"(\]!?)$", 1)
-    return F.concat(head, value, tail)
+    return F.when(name.contains("["), let(let(_brackets(name), read), measured))
 
 
 def offset_line(text: Column, offset: Column) -> Column:

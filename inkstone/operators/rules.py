@@ -161,8 +161,8 @@ def enforce_contrast(facts: DataFrame, config: Config) -> DataFrame:
 def tailwind_arbitrary(facts: DataFrame, config: Config) -> DataFrame:
     t = config.tokens
     bracketed = F.filter(values.class_names(F.col("value")), lambda c: c.contains("["))
-    each = facts_of(facts, "class").where(F.col("value").contains("[")).withColumn("name", F.explode(bracketed))
-    parsed = values.once(each, c=values.arbitrary_class(F.col("name"))).where("c is not null and c.category <> 'other'")
+    each = facts_of(facts, "class").where(F.col("value").contains("[")).select("file", "line", "col", F.explode(bracketed).alias("name"))
+    parsed = values.once(each.select("name").distinct(), c=values.arbitrary_class(F.col("name"))).where("c is not null and c.category <> 'other'")
     number, category, raw = F.col("c.number"), F.col("c.category"), F.col("c.raw")
     listed = [v.lower() for v in t.colors.values()]
     exact = F.when(category == "color", F.lower(raw).isin(*listed) if listed else F.lit(False))
@@ -173,9 +173,10 @@ def tailwind_arbitrary(facts: DataFrame, config: Config) -> DataFrame:
     bad = parsed.where(~F.coalesce(exact, F.lit(False)) & ~values.is_token(raw)).withColumn("near", near)
     colors = bad.where(category == "color").select(raw.alias("value"))
     lookup = closest_colors(colors, t.colors).withColumnRenamed("value", "raw_color")
-    fixed = bad.join(lookup, F.when(category == "color", raw) == F.col("raw_color"), "left")
+    judged = bad.join(lookup, F.when(category == "color", raw) == F.col("raw_color"), "left")  # distinct names: code repeats few of them very often
     value = F.coalesce(F.concat(F.lit("var("), F.col("token"), F.lit(")")), F.concat(values.number_text(F.col("near")), F.lit("px")))
-    return violation(fixed, "no-tailwind-arbitrary", F.concat(F.lit('Class "'), F.col("name"), F.lit('" holds '), raw, F.lit(", which is no "), category, F.lit(" token")), values.with_bracket(F.col("name"), value), F.col("name"))
+    said = judged.select(F.col("name").alias("said"), F.concat(F.lit('Class "'), F.col("name"), F.lit('" holds '), raw, F.lit(", which is no "), category, F.lit(" token")).alias("message"), F.concat("c.head", value, "c.tail").alias("fix"))
+    return violation(each.join(said, F.col("name") == F.col("said")), "no-tailwind-arbitrary", F.col("message"), F.col("fix"), F.col("name"))
 
 
 #: Elements whose attributes rules ask for; all of these rules read one and the same gathering of attributes.

@@ -56,11 +56,12 @@ def test_class_values(spark):
     cases = {
         "mt-[13px]": ("mt", "13px", "spacing"), "md:hover:-px-[2rem]": ("px", "2rem", "spacing"), "bg-[#ff5733]": ("bg", "#ff5733", "color"), "rounded-[7px]": ("rounded", "7px", "radius"), "rounded-t-[7px]": ("rounded-t", "7px", "radius"),
         "text-[15px]": ("text", "15px", "fontSize"), "!w-[50%]": ("w", "50%", "spacing"), "[padding:3px]": ("padding", "3px", "spacing"), "[&:hover]:mt-[13px]": ("mt", "13px", "spacing"), "w-[calc(1px+2px)]": None, "flex": None, "grid-cols-[1fr_2fr]": ("grid-cols", "1fr_2fr", "other"),
+        "[&:is([a=b],[c=[d:e]])]:md:p-[3px]": ("p", "3px", "spacing"), "w-[x[y[z]]]": ("w", "x[y[z]]", "spacing"), "gap-[1px]/50": ("gap", "1px", "spacing"), "a:[color:#fff]!": ("color", "#fff", "color"), "m-[]": None, "m-[3px": None, "[nothing]": None, "-m-[ ]": None, "w-[CALC(1px)]": None, "m]-[3px]": ("m]", "3px", "other"),
     }
     for r in spark.createDataFrame([(k,) for k in cases], "n string").withColumn("c", values.arbitrary_class(F.col("n"))).collect():
         want = cases[r.n]
         assert (r.c is None) if want is None else (r.c.utility, r.c.raw, r.c.category) == want, r.n
-    fixed = spark.createDataFrame([("[&:hover]:mt-[13px]",), ("[padding:3px]!",)], "n string").select(values.with_bracket(F.col("n"), F.lit("12px")).alias("x")).collect()
+    fixed = spark.createDataFrame([("[&:hover]:mt-[13px]",), ("[padding:3px]!",)], "n string").select(F.concat(values.arbitrary_class(F.col("n"))["head"], F.lit("12px"), values.arbitrary_class(F.col("n"))["tail"]).alias("x")).collect()
     assert [r.x for r in fixed] == ["[&:hover]:mt-[12px]", "[padding:12px]!"]
 
 
