@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import color, values
 from inkstone.operators import baseline, cross, diff, drift, extract, facts, fix, report, rules, suppress
 from inkstone.schema import FACTS
+from inkstone.sources import tokens
 from inkstone.sources.config import Config, Tokens
 from inkstone.sources.files import kind_of
 from inkstone.streaming import watch
@@ -170,7 +171,9 @@ def f5_nearest(spark, sf_dir):
     return q.select(F.col("l_quantity").cast("int").alias("q"), values.nearest(F.col("l_quantity"), TOKENS.spacing, 4).alias("near"))
 
 
-def _delta_sql() -> str:
+def _delta_sql(key: str = "p_partkey", source: str = "part") -> str:
+    """Distances s8(value, token, ord, de) of the tints of a table's keys from all tokens."""
+
     def lab(h: str, p: str) -> str:
         return f"{LIN.format(c=hex_sql(h, 0))} AS {p}r, {LIN.format(c=hex_sql(h, 1))} AS {p}g, {LIN.format(c=hex_sql(h, 2))} AS {p}bl"
 
@@ -181,8 +184,8 @@ def _delta_sql() -> str:
     labs = ", ".join(f"116 * ({curve(p, 1)}) - 16 AS {p}l, 500 * (({curve(p, 0)}) - ({curve(p, 1)})) AS {p}a, 200 * (({curve(p, 1)}) - ({curve(p, 2)})) AS {p}b" for p in "vt")
     tokens = ", ".join(f"({i}, '{n}', '{v}')" for i, (n, v) in enumerate(TOKENS.colors.items()))
     hue = lambda b, a: f"CASE WHEN {a} = 0 AND {b} = 0 THEN 0 ELSE (degrees(atan2({b}, {a})) + 360) % 360 END"
-    return f"""WITH c AS (SELECT DISTINCT '#' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS value FROM part), t(ord, token, hex) AS (VALUES {tokens}),
-s0 AS (SELECT value, token, ord, hex, {lab('value', 'v')}, {lab('hex', 't')} FROM c CROSS JOIN t),
+    return f"""WITH c AS (SELECT DISTINCT '#' || substr(md5(CAST({key} AS VARCHAR)), 1, 6) AS value FROM {source}), colors(ord, token, hex) AS (VALUES {tokens}),
+s0 AS (SELECT value, token, ord, hex, {lab('value', 'v')}, {lab('hex', 't')} FROM c CROSS JOIN colors),
 s1 AS (SELECT value, token, ord, hex, {labs} FROM s0),
 s2 AS (SELECT *, pow((sqrt(va * va + vb * vb) + sqrt(ta * ta + tb * tb)) / 2, 7) AS m7 FROM s1),
 s3 AS (SELECT *, (1 + 0.5 * (1 - sqrt(m7 / (m7 + 6103515625)))) * va AS a1, (1 + 0.5 * (1 - sqrt(m7 / (m7 + 6103515625)))) * ta AS a2 FROM s2),
@@ -315,6 +318,23 @@ def b8_drifted(spark, sf_dir):
     return drift.drifted(drift.code_values(decls(spark, sf_dir)), TOKENS).select("category", "value", "n")
 
 
+CLOSEST = "closest AS (SELECT value, token FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY de, ord) AS k FROM s8 WHERE de <= 10) WHERE k = 1)"
+
+
+def reach_sql(category: str) -> str:
+    """The nearest value of the category's scale to the number q within its reach."""
+    scale, most = {"spacing": (TOKENS.spacing, 4), "fontSize": (TOKENS.font_sizes, 2), "radius": (TOKENS.radii, 2)}[category]
+    return near_sql(", ".join(map(str, scale)), most)
+
+
+@query(
+    _delta_sql("l_partkey", "lineitem") + f", {CLOSEST}, {USE}, {TOKEN_ROWS}, o AS (SELECT *, try_cast(value AS INTEGER) AS q FROM u WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.category = u.category AND t.value = u.value)) "
+    f"SELECT category, o.value, n, CASE category WHEN 'color' THEN token WHEN 'spacing' THEN {reach_sql('spacing')} WHEN 'fontSize' THEN {reach_sql('fontSize')} ELSE {reach_sql('radius')} END AS nearest FROM o LEFT JOIN closest ON category = 'color' AND o.value = closest.value"
+)
+def b8_nearest(spark, sf_dir):
+    return drift.drifted(drift.code_values(decls(spark, sf_dir)), TOKENS).select("category", "value", "n", "nearest")
+
+
 @query(f"WITH {USE}, {TOKEN_ROWS} SELECT category, value FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE t.category = u.category AND t.value = u.value)")
 def b8_unused(spark, sf_dir):
     return drift.unused(drift.code_values(decls(spark, sf_dir)), TOKENS).select("category", "value")
@@ -472,7 +492,38 @@ def b11_fixes(spark, sf_dir):
     return fix.apply(found, files).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("WITH p AS (SELECT p_size FROM part) SELECT CASE WHEN near IS NULL THEN 'no-fix' END AS reason, count(*) AS n FROM (SELECT (SELECT s FROM (SELECT unnest([12, 14, 16, 18, 24]) AS s) WHERE abs(s - p_size) <= 2 ORDER BY abs(s - p_size), s LIMIT 1) AS near FROM p WHERE p_size NOT IN (12, 14, 16, 18, 24)) GROUP BY 1")
+def b11_reasons(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), F.concat(F.lit(".a { font-size: "), F.col("p_size").cast("string"), F.lit("px }")).alias("content"))
+    return fix.summary(fix.apply(rules.arbitrary_font_size(facts.parse(files), CONFIG), files)).select("reason", "n")
+
+
+VARIABLES = ("src/tokens.css", "styles/_variables.scss", "css/app.css", "src/other.css", "tokens.scss", "index.css")
+
+
+@query("WITH f(k, file, place) AS (VALUES " + ", ".join(f"({k}, '{f}', {tokens.variable_files().index(f) if f in tokens.variable_files() else 'NULL'})" for k, f in enumerate(VARIABLES)) + """), v AS (SELECT file, place, '--v' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size AS VARCHAR) || 'px' AS value FROM part JOIN f ON k = p_partkey % 6 WHERE place IS NOT NULL),
+b AS (SELECT place FROM v GROUP BY place HAVING count(*) >= 3 ORDER BY count(*) DESC, place LIMIT 1) SELECT file, name, value FROM v JOIN b USING (place)""")
+def s16_variable_file(spark, sf_dir):
+    file = chosen(F.col("p_partkey") % 6, dict(enumerate(VARIABLES)))
+    found = as_facts(table(spark, sf_dir, "part"), "decl", file=F.concat(F.lit("/app/"), file), name=F.concat(F.lit("--v"), F.col("p_partkey").cast("string")), value=F.concat(F.col("p_size").cast("string"), F.lit("px")), selector=F.lit(":root"))
+    return tokens.best_variables(found, "/app").select(F.regexp_replace("file", "^/app/", "").alias("file"), "name", "value")
+
+
+def _sarif_sql() -> str:
+    place = {r[0]: i for i, r in enumerate(rules.CATALOG)}
+    index = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {place[r]}" for r in PLAIN_RULES) + " END"
+    said = """CASE rule_id WHEN 'no-arbitrary-spacing' THEN '"' || v.value || '" in ' || name || ' is not on the spacing scale' WHEN 'no-arbitrary-font-size' THEN 'Font size "' || v.value || '" is not on the scale'
+  WHEN 'no-arbitrary-radius' THEN 'Radius "' || v.value || '" is not on the scale' ELSE 'Hard-coded colour "' || v.value || '" in ' || name END"""
+    mended = f"CASE rule_id WHEN 'no-arbitrary-font-size' THEN {reach_sql('fontSize')} WHEN 'no-arbitrary-radius' THEN {reach_sql('radius')} WHEN 'no-hardcoded-color' THEN 'var(' || token || ')' END"
+    text = f"{said} || coalesce(' (fix: ' || {mended} || ')', '')"
+    where = "json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file), 'region', json_object('startLine', greatest(line, 1), 'startColumn', greatest(col, 1))))"
+    return f"""{_delta_sql("l_partkey", "lineitem")}, {CLOSEST}, {DECLS}, {BAD}
+SELECT file, line, col, CAST(json_object('ruleId', rule_id, 'ruleIndex', {index}, 'level', severity, 'message', json_object('text', {text}), 'locations', json_array({where})) AS VARCHAR) AS result
+FROM v LEFT JOIN closest ON rule_id = 'no-hardcoded-color' AND v.value = closest.value"""
+
+
+@query(_sarif_sql())
 def k3_sarif(spark, sf_dir):
     return report.sarif_results(plain_violations(spark, sf_dir)).select("file", "line", "col", "result")
 

@@ -24,7 +24,7 @@ THEME_FILES = ("tailwind.theme.json", "tailwind.config.json")
 TOKEN_DIRS, TOKEN_FILES = ("", "src", "tokens", "design-tokens"), ("tokens.json", "tokens.json5", "design-tokens.json")
 TOKEN_FOLDERS, TOKEN_CONFIG = ("tokens", "design-tokens"), "style-dictionary.config.json"
 VARIABLE_DIRS = ("", "src", "src/styles", "src/css", "styles", "css")
-VARIABLE_FILES = tuple(f"{name}.{ext}" for name in ("variables", "tokens", "globals", "global", "theme") for ext in ("css", "scss"))
+VARIABLE_FILES = ("variables.css", "tokens.css", "vars.css", "theme.css", "global.css", "globals.css", "app.css", "index.css", "_variables.scss", "_tokens.scss")
 SKIPPED_COLORS = ("transparent", "inherit", "current", "currentColor")
 LEAST_VARIABLES = 3
 RESERVED = ("$value", "value", "$type", "type", "$description", "description")
@@ -126,16 +126,23 @@ def classify_variables(declared: DataFrame) -> DataFrame:
     return declared.select(name.alias("name"), "value", category.alias("category")).where("category is not null")
 
 
-def best_variables(facts: DataFrame) -> DataFrame:
-    """Declared variables of the file that declares most, if it declares three or more."""
+def variable_files() -> list[str]:
+    """The files, relative to a project, that variables are looked for in, in their order."""
+    return [f"{d}/{n}" if d else n for d in VARIABLE_DIRS for n in VARIABLE_FILES]
+
+
+def best_variables(facts: DataFrame, root: str = "") -> DataFrame:
+    """Declared variables of that one of the variable files which declares most, the first of equals, if it declares three or more."""
     declared = facts.where("fact in ('decl', 'at_rule')").where((F.col("name").startswith("--") & (F.trim("selector") == ":root")) | F.col("name").rlike(r"^[$@]"))
-    best = declared.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_VARIABLES).orderBy(F.desc("n"), "file").limit(1)
-    return declared.join(best, "file", "left_semi")
+    place = F.array_position(F.array(*[F.lit(f) for f in variable_files()]), values.relative_path(F.col("file"), root))
+    placed = declared.withColumn("place", place).where("place > 0")
+    best = placed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_VARIABLES).orderBy(F.desc("n"), "place").limit(1)
+    return placed.join(best, "place", "left_semi").drop("place")
 
 
-def from_variables(facts: DataFrame) -> Tokens:
+def from_variables(facts: DataFrame, root: str = "") -> Tokens:
     colors, lists, families = {}, {"spacing": [], "fontSize": [], "radius": []}, []
-    for r in classify_variables(best_variables(facts)).collect():  # one file's variables
+    for r in classify_variables(best_variables(facts, root)).collect():  # one file's variables
         if r["category"] == "color":
             colors[r["name"]] = r["value"]
         elif r["category"] == "fontFamily":
@@ -211,4 +218,4 @@ def resolve(root: str | Path, facts: DataFrame, source: str | None = None) -> tu
         return name, from_theme(json.loads(Path(file).read_text()))
     if name == "tokens":
         return name, from_token_tree(token_tree(Path(root)))
-    return name, from_variables(facts) if name == "css-vars" else draft_tokens(facts)
+    return name, from_variables(facts, str(root)) if name == "css-vars" else draft_tokens(facts)
