@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from inkstone.functions import color, values
 from inkstone.operators import baseline, cross, diff, drift, extract, facts, fix, report, rules, suppress
 from inkstone.schema import FACTS
+from inkstone.session import scratch_folder
 from inkstone.sources import tokens
 from inkstone.sources.config import Config, Tokens
 from inkstone.sources.files import kind_of
-from inkstone.streaming import watch
+from inkstone.streaming import memo, watch
 
 TOKENS = Tokens({"primary": "#3b82f6", "danger": "#ef4444", "ok": "#22c55e", "ink": "#111827", "paper": "#ffffff"}, [4, 8, 12, 16, 24, 32], [12, 14, 16, 18, 24], [4, 8, 12], ["Brand#11", "Brand#22", "Brand#33"])
 CONFIG = Config(TOKENS)
@@ -478,6 +479,41 @@ def t3_incremental(spark, sf_dir):
     return state.where("fact = 'decl'").select("file", "selector")
 
 
+def events_as_changes(spark: SparkSession, sf_dir: str):
+    """Every event sets the style sheet of its user, of whose texts there are 40, or removes it; cut into four batches by time."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    text = F.concat(F.lit(":root { --t"), (n % 10).cast("string"), F.lit(": 1px } .a { width: var(--t"), (n % 8).cast("string"), F.lit(") }"))
+    user, first = F.col("user_id"), e.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), (F.max(F.unix_seconds(F.col("ts").cast("timestamp"))) + 1).alias("z")).first()
+    changes = e.select(F.concat(F.lit("u"), user.cast("string"), F.lit(".css")).alias("path"), F.when(n % 5 == 0, "unlink").otherwise("change").alias("type"), text.alias("content"), "ts", n.alias("seq"))
+    part = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - first["a"]) * 4 / (first["z"] - first["a"])).cast("int")
+    return [changes.where(part == k) for k in range(4)]
+
+
+QUARTERS = """q AS (SELECT *, CAST(floor((floor(epoch(ts)) - a) * 4 / (z - a)) AS INTEGER) AS part FROM events, (SELECT min(floor(epoch(ts))) AS a, max(floor(epoch(ts))) + 1 AS z FROM events))"""
+
+
+@query(f"""WITH {QUARTERS}, l AS (SELECT user_id, part, max_by(event_id, struct_pack(a := ts, b := event_id)) AS e FROM q GROUP BY user_id, part), f AS (SELECT e % 40 AS text, min(part) AS part FROM l WHERE e % 5 <> 0 GROUP BY 1)
+SELECT CAST(part + 1 AS VARCHAR) AS batch, count(*) AS parsed FROM f GROUP BY 1""")
+def t4_memo(spark, sf_dir):
+    """How many texts each batch of changes had to parse: the files change far more often."""
+    store = scratch_folder(spark, "memo")
+    for number, changes in enumerate(events_as_changes(spark, sf_dir), 1):
+        fresh = watch.latest(changes).where("type = 'change'").select(F.col("path").alias("file"), "content")
+        memo.parse(fresh, store, str(number))
+    return memo.parsed_texts(spark, store)
+
+
+@query("""WITH l AS (SELECT user_id, max_by(event_id, struct_pack(a := ts, b := event_id)) AS e FROM events GROUP BY user_id), s AS (SELECT * FROM l WHERE e % 5 <> 0)
+SELECT 'u' || CAST(user_id AS VARCHAR) || '.css' AS file, '--t' || CAST(e % 10 AS VARCHAR) || ' is never used' AS message FROM s WHERE e % 10 NOT IN (SELECT e % 8 FROM s)""")
+def x1_watched(spark, sf_dir):
+    """Unused tokens after four batches on the stored fact table, from counts that each batch only corrects."""
+    store = scratch_folder(spark, "facts")
+    for changes in events_as_changes(spark, sf_dir):
+        watch.apply_batch(spark, store, changes)
+    return watch.dead_tokens(spark, store).select("file", "message")
+
+
 @query()
 def g14_clusters(spark, sf_dir):
     used = extract.usage(decls(spark, sf_dir)).where("category = 'color'")

@@ -15,14 +15,32 @@ LEAST_SCALE, LEAST_COMPONENTS, MOST_PAIRS = 5, 5, 50
 TOTAL_LIMIT, NAME_LIMIT = 0.75, 0.5
 
 
-def dead_tokens(facts: DataFrame) -> DataFrame:
-    """Custom properties defined on :root that no declaration refers to; each definition counts."""
-    decls = facts_of(facts, "decl")
-    defined = decls.where((F.trim("selector") == ":root") & F.col("name").startswith("--"))
+def definitions(facts: DataFrame) -> DataFrame:
+    """Declarations of custom properties on :root that count as tokens."""
+    defined = facts_of(facts, "decl").where((F.trim("selector") == ":root") & F.col("name").startswith("--"))
     for prefix in SKIPPED_TOKENS:
         defined = defined.where(~F.col("name").startswith(prefix))
-    used = decls.where(F.col("value").contains("var(")).select(F.explode(values.var_refs(F.col("value"))).alias("name")).distinct()
-    return violation(defined.join(used, "name", "left_anti"), "no-dead-token", F.concat(F.col("name"), F.lit(" is never used")))
+    return defined
+
+
+def references(facts: DataFrame) -> DataFrame:
+    """name of every reference to a custom property in a declaration."""
+    return facts_of(facts, "decl").where(F.col("value").contains("var(")).select(F.explode(values.var_refs(F.col("value"))).alias("name"))
+
+
+def token_names(facts: DataFrame) -> DataFrame:
+    """name, defined, used: how often facts define and refer to each token."""
+    both = definitions(facts).select("name", F.lit(1).cast("long").alias("defined"), F.lit(0).cast("long").alias("used")).unionByName(references(facts).select("name", F.lit(0).cast("long").alias("defined"), F.lit(1).cast("long").alias("used")))
+    return both.groupBy("name").agg(F.sum("defined").alias("defined"), F.sum("used").alias("used"))
+
+
+def dead_definitions(defined: DataFrame) -> DataFrame:
+    return violation(defined, "no-dead-token", F.concat(F.col("name"), F.lit(" is never used")))
+
+
+def dead_tokens(facts: DataFrame) -> DataFrame:
+    """Custom properties defined on :root that no declaration refers to; each definition counts."""
+    return dead_definitions(definitions(facts).join(references(facts).distinct(), "name", "left_anti"))
 
 
 def near_spacing(facts: DataFrame, scale: list[float]) -> DataFrame:

@@ -13,6 +13,8 @@ from inkstone.operators import scan
 from inkstone.schema import FACTS
 from inkstone.sources.files import kind_of
 
+#: Raised whenever a parser gives other facts for the same text: what is remembered of older ones is not used.
+PARSER_VERSION = 1
 NAMES = [c.split()[0] for c in FACTS.split(", ")]
 STRINGS = re.compile(r"\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'|`((?:\\.|[^`\\])*)`", re.S)
 PAIR = re.compile(r"(?:^|[{,])\s*['\"]?([A-Za-z-][\w-]*)['\"]?\s*:\s*(?:\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'|`([^`$]*)`|(-?\d*\.?\d+)(?=\s*[,}]))")
@@ -156,8 +158,18 @@ def register_parser(kind: str, parser: Callable[[str], Iterator[dict]]) -> None:
     PARSERS[kind] = parser
 
 
+def parseable(sources: DataFrame) -> DataFrame:
+    """file, content, kind of the files of sources(file, content) that have a parser."""
+    return sources.select("file", "content", kind_of(F.col("file")).alias("kind")).where(F.col("kind").isin(*PARSERS))
+
+
 def parse(sources: DataFrame) -> DataFrame:
     """Facts of every file of sources(file, content) that has a parser. A file that cannot be read gives one fact `error` and no other."""
+    return parse_as_kind(parseable(sources))
+
+
+def parse_as_kind(sources: DataFrame) -> DataFrame:
+    """Facts of sources(file, content, kind); what they are depends on content and kind alone."""
     parsers = dict(PARSERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,5 +191,4 @@ def parse(sources: DataFrame) -> DataFrame:
                 out[c] = pd.Series([x if isinstance(x, str) else None for x in out[c]], dtype=object)
             yield out
 
-    kinds = sources.withColumn("kind", kind_of(F.col("file"))).where(F.col("kind").isin(*parsers))
-    return kinds.select("file", "content", "kind").mapInPandas(run, FACTS)
+    return sources.select("file", "content", "kind").mapInPandas(run, FACTS)

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inkstone.operators import cross
 from inkstone.operators import facts as parsing
 from inkstone.schema import FACTS
 from inkstone.sources.files import IGNORED, kind_of, not_ignored
+from inkstone.streaming import memo
 
+NAMES = "name string, defined long, used long"
 CHANGES = "path string, type string, content string, ts timestamp, seq long"
 BUCKETS = 64
 
@@ -54,16 +58,30 @@ def bucket(file: str = "file"):
     return F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
 
 
-def updated(state: DataFrame, changes: DataFrame, globs: tuple[str, ...] = IGNORED) -> DataFrame:
-    """The fact table after a batch of changes: facts of changed and removed files go, those of changed files come."""
+def replaced(state: DataFrame, changes: DataFrame, globs: tuple[str, ...] = IGNORED, parse: Callable[[DataFrame], DataFrame] = parsing.parse) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a batch of changes does to the fact table: the facts that stay, those of changed and removed files, which go, and those that come."""
     last = latest(changes)
-    kept = state.join(last.select(F.col("path").alias("file")), "file", "left_anti")
+    files = last.select(F.col("path").alias("file"))
     fresh = last.where("type = 'change'").select(F.col("path").alias("file"), "content")
-    return kept.unionByName(parsing.parse(not_ignored(fresh.where(kind_of(F.col("file")).isNotNull()), globs)))
+    return state.join(files, "file", "left_anti"), state.join(files, "file", "left_semi"), parse(not_ignored(fresh.where(kind_of(F.col("file")).isNotNull()), globs))
+
+
+def updated(state: DataFrame, changes: DataFrame, globs: tuple[str, ...] = IGNORED, parse: Callable[[DataFrame], DataFrame] = parsing.parse) -> DataFrame:
+    """The fact table after a batch of changes."""
+    stays, _, comes = replaced(state, changes, globs, parse)
+    return stays.unionByName(comes)
+
+
+def maintained(names: DataFrame, goes: DataFrame, comes: DataFrame) -> DataFrame:
+    """names(name, defined, used), the view of cross.token_names over all facts, after facts went and came: only these are counted anew."""
+    signed = names.unionByName(cross.token_names(comes))
+    signed = signed.unionByName(cross.token_names(goes).select("name", (-F.col("defined")).alias("defined"), (-F.col("used")).alias("used")))
+    return signed.groupBy("name").agg(F.sum("defined").alias("defined"), F.sum("used").alias("used")).where("defined <> 0 or used <> 0")
 
 
 def apply_batch(spark: SparkSession, table: str, changes: DataFrame, globs: tuple[str, ...] = IGNORED) -> None:
-    """Rewrite the touched buckets of the stored fact table. Running a batch again gives the same table."""
+    """Rewrite the touched buckets of the stored fact table, and the counts of its tokens by what went and came; texts that were parsed before are
+    not parsed again. Running a batch again gives the same table."""
     changes = changes.persist()
     try:
         touched = {r["b"] for r in latest(changes).select(bucket("path").alias("b")).distinct().collect()}  # BUCKETS at most
@@ -71,7 +89,9 @@ def apply_batch(spark: SparkSession, table: str, changes: DataFrame, globs: tupl
             return
         number, places = version(spark, table)
         own = _read(spark, sorted(f for b, f in places.items() if b in touched)).drop("bucket")
-        new = updated(own, changes, globs).withColumn("bucket", bucket())
+        stays, goes, comes = replaced(own, changes, globs, lambda sources: memo.parse(sources, f"{table}/memo", str(number + 1)))
+        new = stays.unionByName(comes).withColumn("bucket", bucket())
+        maintained(read_names(spark, table, number), goes, comes).write.mode("overwrite").parquet(f"{table}/names/{number + 1}")
         folder = f"{table}/data/{uuid.uuid4().hex}"
         new.withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(folder)
         kept = {b: f for b, f in places.items() if b not in touched}
@@ -119,6 +139,9 @@ def _forget(spark: SparkSession, table: str, number: int) -> None:
     for path in [f for f in old.values() if f not in used] + [f"{table}/versions/{number}"] * bool(old):
         system, where = _system(spark, path)
         system.delete(where, True)
+    if old:
+        system, where = _system(spark, f"{table}/names/{number}")
+        system.delete(where, True)
 
 
 def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -131,6 +154,18 @@ def read_state(spark: SparkSession, table: str) -> DataFrame:
     return _read(spark, sorted(version(spark, table)[1].values()))
 
 
+def read_names(spark: SparkSession, table: str, number: int | None = None) -> DataFrame:
+    """name, defined, used: how often the facts of a version (the last one) define and use each token."""
+    number = version(spark, table)[0] if number is None else number
+    return spark.read.schema(NAMES).parquet(f"{table}/names/{number}") if number else spark.createDataFrame([], NAMES)
+
+
+def dead_tokens(spark: SparkSession, table: str) -> DataFrame:
+    """What cross.dead_tokens finds in the stored facts, from their maintained counts: only places of unused names are looked up."""
+    unused = read_names(spark, table).where("defined > 0 and used = 0").select("name")
+    return cross.dead_definitions(cross.definitions(read_state(spark, table)).join(unused, "name", "left_semi"))
+
+
 def watch(changes: DataFrame, table: str, checkpoint: str, each=None, interval: str = "1 second", globs: tuple[str, ...] = IGNORED) -> StreamingQuery:
     """Start a stream that keeps the fact table; `each(state)` is called after every batch. The trigger's interval settles bursts."""
 

@@ -8,7 +8,7 @@ from inkstone import catalog
 from inkstone.operators import cross, facts
 from inkstone.sources import config, tokens
 from inkstone.sources.files import scan
-from inkstone.streaming import watch
+from inkstone.streaming import memo, watch
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,6 +102,28 @@ def test_a_batch_that_fails_half_way_leaves_the_table(spark, tmp_path, monkeypat
         assert {(r.file, r.value) for r in watch.read_state(spark, table).where("fact = 'decl'").collect()} == {("a.css", "3px")}
 
 
+def test_texts_are_parsed_once_and_counts_follow_the_facts(spark, tmp_path):
+    table = str(tmp_path / "facts")
+    a, b, c = ":root { --x: 1px; --y: 2px } .a { gap: var(--x) }", ".b { gap: var(--y) }", ".c { gap: var(--z) } :root { --z: 1px }"
+    batches = [
+        ([("a.css", a), ("b.css", b), ("copy.css", a)], 2),
+        ([("b.css", None), ("c.css", c), ("renamed.css", b), ("x.scss", b)], 2),  # the same text of another kind is another text
+        ([("renamed.css", None), ("x.scss", None), ("empty.css", "")], 1),
+        ([("b.css", b), ("a.css", None), ("copy.css", None), ("c.css", c)], 0),
+    ]
+    files = {}
+    for n, (rows, parsed) in enumerate(batches, 1):
+        files = {k: v for k, v in (files | dict(rows)).items() if v is not None}
+        changes = spark.createDataFrame([(f, "change" if t is not None else "unlink", t, 1, i) for i, (f, t) in enumerate(rows)], "path string, type string, content string, ts int, seq int")
+        for _ in range(2):  # a batch may be run again
+            watch.apply_batch(spark, table, changes)
+        state = watch.read_state(spark, table).drop("bucket")
+        fresh = facts.parse(spark.createDataFrame(sorted(files.items()), "file string, content string"))
+        assert sorted(map(str, state.collect())) == sorted(map(str, fresh.collect()))
+        assert sorted(map(str, watch.dead_tokens(spark, table).collect())) == sorted(map(str, cross.dead_tokens(fresh).collect()))
+        assert sum(r.parsed for r in memo.parsed_texts(spark, f"{table}/memo").collect()) == sum(p for _, p in batches[:n])
+
+
 def test_incremental_equals_batch(spark):
     texts = {"a.css": ".a { padding: 13px }", "b.css": ".b { color: #fff }"}
     log = [("a.css", "change", ".a { gap: 1px }", 1), ("b.css", "change", texts["b.css"], 1), ("c.css", "change", ".c { gap: 2px }", 2), ("a.css", "change", texts["a.css"], 3), ("c.css", "unlink", None, 4)]
