@@ -354,19 +354,24 @@ STAGE_WIDTH, STAGE_JACCARD, STAGE_DISTANCE, STAGE_BOTH = 5, 0.8, 16, 31
 #: Before that a text has to share SHARED of its SKETCH smallest shingle hashes with those of other texts, or STAGE_JACCARD of them if it has no more: the
 #: smallest hashes of two texts together are in both with the chance of their Jaccard, so at 0.8 one text in 1,700 shares fewer.
 SKETCH, SHARED = 12, 5
-#: Texts that have a near one by these bits are compared by MORE_WORDS further remixed fingerprints, which may differ in MORE_BITS.
-MORE_WORDS, MORE_BITS = 8, 95
+#: Texts that have a near one by these bits are compared by further remixed fingerprints: in the second round by MORE_WORDS of them, which may differ in
+#: MORE_BITS, in the last one by LAST_WORDS and LAST_BITS. A pair of Jaccard 0.8 differs in 15.15 % of the bits on average.
+MORE_WORDS, MORE_BITS, LAST_WORDS, LAST_BITS = 8, 95, 64, 680
 #: Here a bucket row costs so many compared pairs; buckets are cut beyond STAGE_BLOCK rows; tiles have TILE pairs, and buckets of up to SMALL rows are
-#: compared side by side. A task passes pairs on when it holds HELD_PAIRS.
-STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS = 4000.0, 1 << 16, 1 << 16, 48, 1 << 15
+#: compared side by side. A task passes pairs on when it holds HELD_PAIRS, and looks at the further fingerprints of AT_ONCE pairs at a time.
+STAGE_ROW_COST, STAGE_BLOCK, TILE, SMALL, HELD_PAIRS, AT_ONCE = 4000.0, 1 << 16, 1 << 16, 48, 1 << 15, 1 << 12
+#: Bit of a bucket number from which on it names the part.
+PART_AT = 40
 #: Columns of a bucket row: bucket number with the lowest bit set for a probe, the pair of blocks, both fingerprints, the unit,
 #: its number of shingles, its label and, once they are known, its further fingerprints.
 BUCKET = ("bucket", "pair", "fp", "fp2", "unit", "n", "label", "more")
 
 
-def near_in_buckets(cols: list[np.ndarray], distance: int, both: int, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near_in_buckets(cols: list[np.ndarray], distance: int, both: int, jaccard: float, plan: list[tuple[list[int], int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of rows sorted by bucket, probes last: positions of pairs of different units in one bucket, at least one of them no
-    probe, within the distances and with sizes that allow the Jaccard; and their distance."""
+    probe, within the distances and with sizes that allow the Jaccard; and their distance. With the plan, pairs that also meet in a bucket of an earlier part
+    are left to it."""
+    masks = [(np.uint64(sum(1 << b for b in part)), t) for part, t in plan or ()]
     bucket, pair, fp, fp2, unit, n, _, more = cols
     key = bucket >> 1
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
@@ -378,9 +383,17 @@ def near_in_buckets(cols: list[np.ndarray], distance: int, both: int, jaccard: f
         off = off + np.bitwise_count(fp2[l] ^ fp2[r])
         good = (off <= both) & (unit[l] != unit[r]) & (np.minimum(n[l], n[r]) >= jaccard * np.maximum(n[l], n[r]) - 1e-9)
         l, r, off = l[good], r[good], off[good]
+        if masks and len(l):
+            differ, own_part, first_here = fp[l] ^ fp[r], bucket[l] >> PART_AT, np.ones(len(l), bool)
+            for number, (mask, t) in enumerate(masks[:-1]):
+                first_here &= (own_part <= number) | (np.bitwise_count(differ & mask) > t)
+            l, r, off = l[first_here], r[first_here], off[first_here]
         if more.shape[1]:
-            apart = np.bitwise_count(more[l] ^ more[r]).sum(axis=1, dtype=np.int64)
-            near = apart <= MORE_BITS
+            apart = np.zeros(len(l), np.int64)
+            for at in range(0, len(l), AT_ONCE):
+                some = slice(at, at + AT_ONCE)
+                apart[some] = np.bitwise_count(more[l[some]] ^ more[r[some]]).sum(axis=1, dtype=np.int64)
+            near = apart <= (MORE_BITS if more.shape[1] == MORE_WORDS else LAST_BITS)
             l, r, off = l[near], r[near], apart[near]
         return l, r, off
 
@@ -448,8 +461,8 @@ def nearest_mates(distance: int, both: int, jaccard: float, across: bool):
     return run
 
 
-def open_pairs(distance: int, both: int, jaccard: float):
-    """A mapInArrow function over sorted bucket rows -> pairs a > b of near units with different labels, and these."""
+def open_pairs(distance: int, both: int, jaccard: float, plan: list[tuple[list[int], int]]):
+    """A mapInArrow function over sorted bucket rows -> pairs a > b of near units with different labels, and these; each pair from one of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -459,7 +472,7 @@ def open_pairs(distance: int, both: int, jaccard: float):
         held, count = [], 0
         for cols in _whole_buckets(batches):
             unit, label = cols[4], cols[6]
-            for l, r, _ in near_in_buckets(cols, distance, both, jaccard):
+            for l, r, _ in near_in_buckets(cols, distance, both, jaccard, plan):
                 apart = label[l] != label[r]
                 l, r = l[apart], r[apart]
                 a, b = np.where(unit[l] > unit[r], l, r), np.where(unit[l] > unit[r], r, l)
@@ -475,10 +488,10 @@ def open_pairs(distance: int, both: int, jaccard: float):
 
 
 def more_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, s) -> (unit, more): MORE_WORDS fingerprints of the hashes, after those of majority."""
+    """(unit, s) -> (unit, more): LAST_WORDS fingerprints of the hashes, after those of majority."""
     for batch in batches:
         lists = batch.column("s")
-        wide = _in_slices(np.asarray(lists.values, dtype=np.int64).view(np.uint64), np.asarray(lists.offsets, dtype=np.int64), 2 + MORE_WORDS)[:, 2:]
+        wide = _in_slices(np.asarray(lists.values, dtype=np.int64).view(np.uint64), np.asarray(lists.offsets, dtype=np.int64), 2 + LAST_WORDS)[:, 2:]
         yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([w.tobytes() for w in wide], pa.binary())], names=["unit", "more"])
 
 
@@ -493,7 +506,7 @@ def sorted_buckets(units: DataFrame, plan: list[tuple[list[int], int]], block: i
         return key
 
     def entries(number: int, part: list[int], t: int) -> list:
-        own, base = F.col(f"key{number}"), F.lit(number << 40).cast("long")
+        own, base = F.col(f"key{number}"), F.lit(number << PART_AT).cast("long")
         masks = [sum(1 << j for j in flip) for k in range(1, t + 1) for flip in combinations(range(len(part)), k)]
         raised = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: own.bitwiseAND(m.bitwiseAND(-m)) == 0)
         probes = F.transform(raised, lambda m: base + F.shiftleft(own.bitwiseXOR(m), 1) + F.lit(1))
@@ -527,7 +540,7 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     of jaccard or more, where the pairs looked at are those within the distances. A unit is a text in lower case without
     regard to white space. Units that share too few of their smallest hashes with others have no near copy and are classes of their own. First each unit's nearest smaller one is found, whose verified links tie dense groups without all
     their pairs. Units that have a near one get further fingerprints; then each looks for its nearest one of another class, and last every
-    pair that is still of two classes is verified. Links of the last step tie classes, not texts."""
+    pair that is still of two classes and near by all fingerprints is verified. Links of the last step tie classes, not texts."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("row_key"), words(lower_ascii(F.col("text"))).alias("w"), "text")
     hashed = keyed.select("id", "row_key", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.array_distinct(shingle_hashes(F.col("text"), width)).alias("hashes"))
     prints = materialize(hashed.mapInArrow(majority(True), "id long, row_key long, unit long, fp long, n int, fp2 long, sketch array<long>"), "near-prints")
@@ -560,17 +573,18 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
         common = both_sets.select(*kept, F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
         return materialize(common.where(F.col("common") >= F.lit(jaccard) * (F.col("sizes") - F.col("common")) - F.lit(1e-9)).select(*kept).distinct(), "near-links")
 
-    def labelled(links: DataFrame) -> DataFrame:
+    def labelled(links: DataFrame, words_: int) -> DataFrame:
         roots = components(links)
-        return materialize(near_units.join(roots, F.col("unit") == F.col("v"), "left").join(more, "unit").select("fp", "fp2", "unit", "n", "more", F.coalesce("root", "unit").alias("label")), "near-labels")
+        named = near_units.join(roots, F.col("unit") == F.col("v"), "left").join(more, "unit")
+        return materialize(named.select("fp", "fp2", "unit", "n", F.substring("more", 1, 8 * words_).alias("more"), F.coalesce("root", "unit").alias("label")), "near-labels")
 
     def as_pairs(found: DataFrame) -> DataFrame:
         return found.where("mate is not null").select(F.greatest("unit", "mate").alias("a"), F.least("unit", "mate").alias("b")).distinct()
 
     near = verified(as_pairs(paired))
-    near = near.unionByName(verified(as_pairs(mates(labelled(near), True, fewer))))
-    classes_ = labelled(near)
-    pairs = sorted_buckets(classes_, fewer, block).mapInArrow(open_pairs(distance, both, jaccard), "a long, b long, label_a long, label_b long").distinct()
+    near = near.unionByName(verified(as_pairs(mates(labelled(near, MORE_WORDS), True, fewer))))
+    classes_ = labelled(near, LAST_WORDS)
+    pairs = sorted_buckets(classes_, fewer, block).mapInArrow(open_pairs(distance, both, jaccard, fewer), "a long, b long, label_a long, label_b long").distinct()
     tied = verified(materialize(pairs, "near-pairs"))
     over = components(tied.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     named = materialize(classes_.select("unit", "label").join(over, F.col("label") == F.col("v"), "left").select("unit", F.coalesce("root", "label").alias("root")), "near-classes")

@@ -24,7 +24,7 @@ from inkstone.llm.common import doc_crc32, row_slices, text_buffers
 SAMPLE = 1500
 BUCKET_BITS, DIM, EPOCHS, RATE, SEED = 17, 16, 4, 2.0, 7
 GRAMS = (3, 4, 5)
-SLICE = 1 << 20
+SLICE, PACK = 1 << 20, 1 << 22
 _P32, _P64 = np.uint32(0x01000193), np.uint64(0x100000001B3)
 
 
@@ -103,12 +103,25 @@ def sparse_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (n / max(1, n.sum())).astype(np.float32)
 
 
+def packed_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """sparse_features of all texts, laid out in few large arrays, which give their memory back after training."""
+    rows, ids, shares, at = [], np.empty(0, np.uint32), np.empty(0, np.float32), 0
+    for text in texts:
+        own, share = sparse_features(text)
+        if at + len(own) > len(ids):
+            ids, shares, at = np.empty(max(PACK, len(own)), np.uint32), np.empty(max(PACK, len(own)), np.float32), 0
+        ids[at : at + len(own)], shares[at : at + len(own)] = own, share
+        rows.append((ids[at : at + len(own)], shares[at : at + len(own)]))
+        at += len(own)
+    return rows
+
+
 def train(texts: list[str], labels: list[int]) -> dict:
     """Learned margin of every bucket and the bias. One pass of a text updates its own buckets' vectors and the output layer."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    rows = [sparse_features(t) for t in texts]
+    rows = packed_features(texts)
     steps, total = 0, max(1, EPOCHS * len(rows))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):

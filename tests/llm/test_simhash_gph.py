@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter
@@ -89,7 +90,7 @@ def stage_prints(shingles):
     hs = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
     last = np.array(hs, np.uint64)
     rounds = [hs]
-    for k in range(1 + op.MORE_WORDS):
+    for k in range(1 + op.LAST_WORDS):
         last = op._remix(last ^ np.uint64(k))
         rounds.append([int(h) for h in last])
     return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in each) > len(each)) for each in rounds]
@@ -120,13 +121,35 @@ def jaccard_classes(texts, jaccard=0.8, within_bits=False):
                     if not (shares[i] and shares[j]):
                         continue
                     off = [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)]
-                    if off[0] > op.STAGE_DISTANCE or off[0] + off[1] > op.STAGE_BOTH or sum(off[2:]) > op.MORE_BITS:
+                    if off[0] > op.STAGE_DISTANCE or off[0] + off[1] > op.STAGE_BOTH or sum(off[2:]) > op.LAST_BITS:
                         continue
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
     return root
 
 
+def test_each_open_pair_comes_from_one_bucket():
+    rng = np.random.default_rng(5)
+    plan = [(list(range(0, 20)), 2), (list(range(20, 41)), 1), (list(range(41, 64)), 1)]
+    fp = rng.integers(0, 2**63, 6, dtype=np.int64)[rng.integers(0, 6, 80)] ^ (1 << rng.integers(0, 62, 80)) ^ (1 << rng.integers(0, 62, 80)) ^ (1 << rng.integers(0, 62, 80))
+    rows = []
+    for unit, f in enumerate(fp.tolist()):
+        for number, (part, t) in enumerate(plan):
+            own = sum((f >> b & 1) << j for j, b in enumerate(part))
+            rows.append((number << op.PART_AT | own << 1, unit))
+            for k in range(1, t + 1):
+                for flip in itertools.combinations(range(len(part)), k):
+                    if not own >> min(flip) & 1:
+                        rows.append((number << op.PART_AT | (own ^ sum(1 << j for j in flip)) << 1 | 1, unit))
+    rows.sort()
+    bucket, unit = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    cols = [bucket, np.zeros(len(rows), np.int32), fp[unit], fp[unit] >> 1, unit, np.full(len(rows), 9, np.int32), unit, np.zeros((len(rows), 0), np.uint64)]
+    found = [tuple(sorted(p)) for l, r, _ in op.near_in_buckets(cols, 6, 12, 0.8, plan) for p in zip(unit[l].tolist(), unit[r].tolist(), strict=True)]
+    assert len(found) == len(set(found)) > 100
+    every = {tuple(sorted(p)) for l, r, _ in op.near_in_buckets(cols, 6, 12, 0.8) for p in zip(unit[l].tolist(), unit[r].tolist(), strict=True)}
+    assert set(found) == every
+
+
 def test_near_pairs_of_buckets_equal_brute_force():
     rng = np.random.default_rng(4)
     for small in (0, 4, 1000):  # tiles only, both, side by side only
