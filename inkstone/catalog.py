@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A small table over all cores: each of its rows becomes a file to parse."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 def as_facts(rows: DataFrame, fact: str, **columns) -> DataFrame:
     """Rows in the shape of the fact table; columns that are not given are null or plain defaults."""
     have = {"fact": F.lit(fact), "kind": F.lit("css"), "origin": F.lit("css"), "unit": F.lit(0), "seq": F.lit(0), "selector": F.lit(""), **columns}
@@ -131,7 +136,7 @@ def part_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     tint = lambda salt: F.concat(F.lit("#"), F.substring(F.md5(F.concat(F.lit(salt), key).cast("binary")), 1, 6))
     text = F.concat(F.lit("/* part */\n.p"), key, F.lit(" {\n  color: "), tint("a"), F.lit("; background: url(x;y.png) no-repeat;\n  background-color: "), tint("b"), F.lit(";\n  font-family: '"), F.col("p_brand"), F.lit("', serif;\n  padding: "), F.col("p_size").cast("string"), F.lit("px 8px !important\n}\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), text.alias("content"))
+    return dealt(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), text.alias("content"))
 
 
 @query("""WITH p AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS k, * FROM part)
@@ -390,9 +395,8 @@ def component_rules(spark, sf_dir):
     text = F.lit("")
     for i, s in SNIPPETS.items():
         text = F.when(k == i, s).otherwise(text)
-    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("src/o"), F.col("o_orderkey").cast("string"), F.lit(".tsx")).alias("file"), text.alias("content"))
-    found = facts.parse(files).persist()
-    return report.by_rule(rules.apply(found, CONFIG))
+    files = dealt(spark, sf_dir, "orders").select(F.concat(F.lit("src/o"), F.col("o_orderkey").cast("string"), F.lit(".tsx")).alias("file"), text.alias("content"))
+    return report.by_rule(rules.apply(facts.stored(facts.parse(files)), CONFIG))
 
 
 BROKEN = {
@@ -415,7 +419,7 @@ def chosen(key, texts: dict, rest: str = ""):
 def p11_parse_errors(spark, sf_dir):
     """Style sheets of which four in nine are broken: these give their error and no other fact."""
     text = chosen(F.col("p_partkey") % 9, {k: t for k, (t, _) in BROKEN.items()}, ".a { padding: 13px; content: '}' }")
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".css")).alias("file"), text.alias("content"))
+    files = dealt(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".css")).alias("file"), text.alias("content"))
     found = facts.parse(files).groupBy("file").agg(F.count_if(F.col("fact") == "decl").cast("int").alias("declarations"), F.count_if(F.col("fact") != "decl").cast("int").alias("others"), F.max(F.when(F.col("fact") == "error", F.col("value"))).alias("error"))
     return found
 
@@ -436,7 +440,7 @@ LOGS = {
 def r16_console_sensitive(spark, sf_dir):
     key = F.col("o_orderkey")
     text = F.concat(F.repeat(F.lit("\n"), (key % 3).cast("int")), chosen(key % 9, {k: t for k, (t, _) in LOGS.items()}, "no.call(token);"))
-    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("src/o"), key.cast("string"), F.lit(".tsx")).alias("file"), text.alias("content"))
+    files = dealt(spark, sf_dir, "orders").select(F.concat(F.lit("src/o"), key.cast("string"), F.lit(".tsx")).alias("file"), text.alias("content"))
     return rules.console_sensitive(facts.parse(files), CONFIG).select("file", "line", "message")
 
 
@@ -523,7 +527,7 @@ def g14_clusters(spark, sf_dir):
 @query("WITH p AS (SELECT p_size FROM part) SELECT CASE WHEN near IS NULL THEN 'skipped' ELSE 'applied' END AS status, count(*) AS n FROM (SELECT (SELECT s FROM (SELECT unnest([12, 14, 16, 18, 24]) AS s) WHERE abs(s - p_size) <= 2 ORDER BY abs(s - p_size), s LIMIT 1) AS near FROM p WHERE p_size NOT IN (12, 14, 16, 18, 24)) GROUP BY 1")
 def b11_fixes(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), F.concat(F.lit(".a { font-size: "), F.col("p_size").cast("string"), F.lit("px }")).alias("content"))
+    files = dealt(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), F.concat(F.lit(".a { font-size: "), F.col("p_size").cast("string"), F.lit("px }")).alias("content"))
     found = rules.arbitrary_font_size(facts.parse(files), CONFIG)
     return fix.apply(found, files).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -531,7 +535,7 @@ def b11_fixes(spark, sf_dir):
 @query("WITH p AS (SELECT p_size FROM part) SELECT CASE WHEN near IS NULL THEN 'no-fix' END AS reason, count(*) AS n FROM (SELECT (SELECT s FROM (SELECT unnest([12, 14, 16, 18, 24]) AS s) WHERE abs(s - p_size) <= 2 ORDER BY abs(s - p_size), s LIMIT 1) AS near FROM p WHERE p_size NOT IN (12, 14, 16, 18, 24)) GROUP BY 1")
 def b11_reasons(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), F.concat(F.lit(".a { font-size: "), F.col("p_size").cast("string"), F.lit("px }")).alias("content"))
+    files = dealt(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit(".css")).alias("file"), F.concat(F.lit(".a { font-size: "), F.col("p_size").cast("string"), F.lit("px }")).alias("content"))
     return fix.summary(fix.apply(rules.arbitrary_font_size(facts.parse(files), CONFIG), files)).select("reason", "n")
 
 

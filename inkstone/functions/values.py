@@ -19,6 +19,8 @@ VAR_REF = r"var\(\s*(--[\w-]+)"
 UNIT = r"^-?\d*\.?\d+(?:px|rem|em|vh|vw|vmin|vmax|ch|ex|cm|mm|in|pt|pc)$"
 NUMBER = r"^(-?\d*\.?\d+)(px|rem|%)$"
 SUFFIXES = ("Primary", "Secondary", "Main", "New", "Old", "V2", "Alt", "Custom", "Base", "Wrapper", "Container")
+#: Fixed value: names that speak of a secret.
+SENSITIVE = r"(?i)token|password|passwd|secret|apikey|api_key|auth|credential|private_?key|session"
 SPACING_NEAR, FONT_NEAR, RADIUS_NEAR, COLOR_NEAR = 4.0, 2.0, 2.0, 10.0
 
 

@@ -5,20 +5,25 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.functions import values
 from inkstone.operators import scan
 from inkstone.schema import FACTS
+from inkstone.session import scratch_folder
 from inkstone.sources.files import kind_of
 
 #: Raised whenever a parser gives other facts for the same text: what is remembered of older ones is not used.
 PARSER_VERSION = 1
-NAMES = [c.split()[0] for c in FACTS.split(", ")]
+FIELDS = [tuple(c.split()) for c in FACTS.split(", ")]
+NAMES = [name for name, _ in FIELDS]
+TYPES, DEFAULTS = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}, {"origin": "css", "unit": 0}
 STRINGS = re.compile(r"\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'|`((?:\\.|[^`\\])*)`", re.S)
 PAIR = re.compile(r"(?:^|[{,])\s*['\"]?([A-Za-z-][\w-]*)['\"]?\s*:\s*(?:\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'|`([^`$]*)`|(-?\d*\.?\d+)(?=\s*[,}]))")
 KEY = re.compile(r"(?:^|[{,])\s*(?:['\"]([^'\"]+)['\"]|([A-Za-z_$][\w$-]*))\s*:")
+SENSITIVE = re.compile(values.SENSITIVE)
 ANGULAR_STYLE = re.compile(r"^\[style\.([\w-]+)(?:\.([\w%]+))?\]$")
 
 
@@ -135,8 +140,8 @@ def _surface(text: str) -> Iterator[dict]:
     """The leading directive of a script, and its raw lines that give a name a literal."""
     if m := re.match(r"\s*[\"'](use \w+)[\"']", text):
         yield {"fact": "directive", "value": m[1], "line": 1, "col": 0}
-    if "console" in text:  # the only rule that reads tokens is about its calls
-        yield from scan.token_facts(text)
+    if "console" in text and SENSITIVE.search(text):  # the only rule that reads tokens is about what is logged
+        yield {"fact": "tokens", "structure": list(scan.tokens(text)), "line": 1, "col": 0}
     for number, line in enumerate(text.split("\n"), 1):
         if re.search(r"[:=]\s*[\"'`]", line):
             yield {"fact": "source", "value": line, "line": number, "col": 0}
@@ -172,23 +177,29 @@ def parse_as_kind(sources: DataFrame) -> DataFrame:
     """Facts of sources(file, content, kind); what they are depends on content and kind alone."""
     parsers = dict(PARSERS)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for file, content, kind in zip(frame["file"], frame["content"], frame["kind"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: dict[str, list] = {name: [] for name in NAMES}
+            puts = [(name, columns[name].append, DEFAULTS.get(name)) for name in NAMES if name not in ("file", "kind", "seq")]
+            for file, content, kind in zip(*(batch.column(c).to_pylist() for c in ("file", "content", "kind")), strict=True):
                 try:
                     found = list(parsers[kind](content or ""))
                 except Exception as error:  # one broken file must not end the scan
                     found = [{"fact": "error", "value": str(error), "line": 1, "col": 1}]
-                for seq, f in enumerate(found):
-                    rows.append({"origin": "css", "unit": 0, "seq": seq, **f, "file": file, "kind": kind, "end_line": f.get("end")})
-            out = pd.DataFrame(rows, columns=NAMES)
-            for c in ("unit", "id", "parent", "seq", "line", "col", "end_line"):
-                out[c] = out[c].astype("Int32")
-            for c in ("props", "structure"):
-                out[c] = pd.Series([x if isinstance(x, list) else None for x in out[c]], dtype=object)
-            for c in ("name", "value", "selector"):
-                out[c] = pd.Series([x if isinstance(x, str) else None for x in out[c]], dtype=object)
-            yield out
-
-    return sources.select("file", "content", "kind").mapInPandas(run, FACTS)
+                columns["file"] += [file] * len(found)
+                columns["kind"] += [kind] * len(found)
+                columns["seq"] += [f.get("seq", seq) for seq, f in enumerate(found)]
+                for name, put, default in puts:
+                    for f in found:
+                        put(f.get(name, default))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[name], TYPES[kind]) for name, kind in FIELDS], names=NAMES)
+
+    return sources.select("file", "content", "kind").mapInArrow(run, FACTS)
+
+
+def stored(facts: DataFrame) -> DataFrame:
+    """facts, written to the shared folder by fact and read again, so that each rule reads the facts it asks for and no file is parsed twice."""
+    spark = facts.sparkSession
+    path = scratch_folder(spark, "facts")
+    facts.write.partitionBy("fact").parquet(path)
+    return spark.read.schema(FACTS).parquet(path)

@@ -250,7 +250,6 @@ def xss_dangerous(facts: DataFrame, config: Config) -> DataFrame:
 # Paths of code that never reaches a client, public prefixes, words of sensitive names.
 SERVER_PATH = r"\.server\.|\/server\/|\/api\/|(?:^|[/.])(?:next|vite|webpack|jest|vitest)\.config\.[jt]s$|\/scripts\/"
 PUBLIC_ENV = ("NEXT_PUBLIC_", "VITE_", "PUBLIC_", "REACT_APP_")
-SENSITIVE = r"(?i)token|password|passwd|secret|apikey|api_key|auth|credential|private_?key|session"
 
 
 def code_matches(facts: DataFrame, pattern: str, group: int = 1) -> DataFrame:
@@ -275,44 +274,43 @@ CHAIN = r"(?:w|s|\(\)|\[\]|\{\}|`')(?:\.w|\(\)|\[\])*"
 
 
 def bracketed(tokens: DataFrame) -> DataFrame:
-    """tokens(file, seq, kind, value, line, col) with their place among brackets: after (depth behind a token), mate (seq of an opening one's
-    close), whole (an opening one and its close are all of an argument), parent (seq, kind and whole of the bracket around), part (commas
-    before it in there) and shut (depth of brackets that are more than grouping, templates or expressions in these)."""
-    order = Window.partitionBy("file").orderBy("seq")
+    """tokens(file, seq, kind, value, line, col) with their place among brackets: mate (seq of an opening one's close), around (seq, kind and whole of
+    the bracket they stand in; whole: with its close it is all of an argument), part (seq of the comma or bracket that their argument begins after),
+    shut (depth of brackets that are more than grouping, templates or expressions in these), only (the name that a bracket holds alone), and
+    called, at: whether and where a call of console that logs opens here."""
+    order, here = Window.partitionBy("file").orderBy("seq"), (Window.unboundedPreceding, Window.currentRow)
     opens, closes = F.col("kind").isin(*OPENS), F.col("kind").isin(*CLOSES)
-    t = tokens.withColumn("step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumn("after", F.sum("step").over(order))
-    t = t.withColumn("pair", F.when(opens, F.col("after")).when(closes, F.col("after") + 1)).withColumn("next", F.lead("kind").over(order))
-    pairs = Window.partitionBy("file", "pair").orderBy("seq")
-    closed_by = F.when(opens, F.lead(F.struct("seq", "next")).over(pairs))
-    begins = F.coalesce(F.lag("kind").over(order).isin(*OPENS, ","), F.lit(False))
-    t = t.withColumn("close", closed_by).withColumn("mate", F.col("close.seq"))
-    t = t.withColumn("whole", opens & begins & F.coalesce(F.col("close.next").isin(*CLOSES, ","), F.lit(False)))
-    t = t.withColumn("open", F.when(opens & ((F.col("whole") & F.col("kind").isin("(", "`")) | (F.col("kind") == "<")), True).when(opens, False))
-    shut = F.when(opens & ~F.col("open"), 1).when(closes & ~F.coalesce(F.lag("open").over(pairs), F.lit(True)), -1).otherwise(0)
-    t = t.withColumn("shut_step", shut).withColumn("shut", F.sum("shut_step").over(order))
-    level = Window.partitionBy("file", "after").orderBy("seq")
-    inside = F.last(F.when(opens, F.struct("seq", "kind", "whole")), ignorenulls=True).over(level)
-    t = t.withColumn("around", inside)
-    parent = F.when(opens, F.lag("around").over(order)).otherwise(F.col("around"))  # a bracket that opens stands where the token before it, or in it
-    t = t.withColumn("parent", parent)
-    return t.withColumn("part", F.sum(F.when(F.col("kind") == ",", 1).otherwise(0)).over(Window.partitionBy("file", "parent.seq").orderBy("seq")))
+    back = lambda c, n: F.lag(c, n).over(order)
+    called = (F.col("kind") == "(") & back("value", 1).isin(*LOGS) & (back("kind", 2) == ".") & (back("value", 3) == "console") & ~F.coalesce(back("kind", 4) == ".", F.lit(False))
+    only = F.when((F.lead("kind").over(order) == "w") & (F.lead("kind", 2).over(order) == "]"), F.lead("value").over(order))
+    t = tokens.select(
+        "file", "seq", "kind", "value", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order.rowsBetween(*here)).alias("after"), F.coalesce(F.lead("kind").over(order).isin(*CLOSES, ","), F.lit(False)).alias("last"),
+        F.coalesce(back("kind", 1).isin(*OPENS, ","), F.lit(False)).alias("first"), called.alias("called"), F.struct(back("line", 3).alias("line"), back("col", 3).alias("col")).alias("at"), only.alias("only"), back("seq", 1).alias("before"),
+    )
+    pairs = Window.partitionBy("file", F.when(opens, F.col("after")).when(closes, F.col("after") + 1)).orderBy("seq")
+    mate, opened = F.when(opens, F.lead("seq").over(pairs)), F.lag(F.struct("first", "kind")).over(pairs)
+    whole = opens & F.col("first") & F.coalesce(F.lead("last").over(pairs), F.lit(False))
+    is_open = lambda kind, whole: (kind == "<") | (kind.isin("(", "`") & whole)
+    step = F.when(opens & ~is_open(F.col("kind"), F.col("whole")), 1).when(closes & ~F.coalesce(is_open(F.col("opened.kind"), F.col("opened.first") & F.col("last")), F.lit(True)), -1).otherwise(0)
+    t = t.withColumns({"mate": mate, "whole": whole, "opened": opened}).withColumn("step", step)
+    level = Window.partitionBy("file", "after").orderBy("seq").rowsBetween(*here)
+    t = t.withColumns({"inside": F.last(F.when(opens, F.struct("seq", "kind", "whole")), ignorenulls=True).over(level), "since": F.last(F.when(opens | (F.col("kind") == ","), F.col("seq")), ignorenulls=True).over(level)})
+    # a bracket that opens stands where the token before it does, or in it
+    around, part = F.when(opens, back("inside", 1)).otherwise(F.col("inside")), F.when(opens, back("since", 1)).otherwise(F.col("since"))
+    return t.withColumns({"around": around, "part": part, "shut": F.sum("step").over(order.rowsBetween(*here))})
 
 
 def logged_names(tokens: DataFrame) -> DataFrame:
     """file, line, col, seq of every call of console that logs, and the name of each argument that has one: a name, the last name of a member, a key
     of an object, or one of these in a template or brackets. Other expressions have none."""
-    order = Window.partitionBy("file").orderBy("seq")
-    back = lambda c, n: F.lag(c, n).over(order)
-    called = (F.col("kind") == "(") & back("value", 1).isin(*LOGS) & (back("kind", 2) == ".") & (back("value", 3) == "console") & ~F.coalesce(back("kind", 4) == ".", F.lit(False))
-    only = F.when((F.lead("kind").over(order) == "w") & (F.lead("kind", 2).over(order) == "]"), F.lead("value").over(order))
-    t = bracketed(tokens).withColumn("called", called).withColumn("at", back(F.struct("line", "col"), 3)).withColumn("only", only)
+    t = bracketed(tokens)
     calls = t.where("called and mate is not null").select("file", F.col("seq").alias("call"), F.col("mate").alias("end"), F.col("shut").alias("base"), "at.line", "at.col")
-    around = F.col("shut") - F.when(F.col("shut_step") > 0, 1).otherwise(0)  # of the bracket a token stands in
-    key = (F.col("parent.kind") == "{") & F.col("parent.whole")
-    role = F.explode(F.array(F.struct(around.alias("base"), F.lit(False).alias("key")), F.struct((around - 1).alias("base"), F.lit(True).alias("key"))))
-    pieces = t.where("kind <> ','").withColumn("is_key", key).select("file", "seq", "kind", "value", "only", "parent", "part", "is_key", role.alias("r")).where("not r.key or is_key")
-    found = pieces.select("file", "seq", "kind", "value", "only", F.col("parent.seq").alias("parent"), "part", "r.key", "r.base").join(calls, ["file", "base"]).where("seq > call and seq < end")
-    parts = found.groupBy("file", "call", "line", "col", "key", "parent", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "value", "only"))).alias("p"))
+    around = F.col("shut") - F.when(F.col("step") > 0, 1).otherwise(0)  # of the bracket a token stands in
+    key = (F.col("around.kind") == "{") & F.col("around.whole")
+    role = F.explode(F.when(key, F.array(F.struct(around.alias("base"), F.lit(False).alias("key")), F.struct((around - 1).alias("base"), F.lit(True).alias("key")))).otherwise(F.array(F.struct(around.alias("base"), F.lit(False).alias("key")))))
+    pieces = t.where("kind <> ',' and part is not null").select("file", "seq", "kind", "value", "only", "part", role.alias("r")).select("file", "seq", "kind", "value", "only", "part", "r.key", "r.base")
+    found = pieces.join(calls, ["file", "base"]).where("seq > call and seq < end")
+    parts = found.groupBy("file", "call", "line", "col", "key", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "value", "only"))).alias("p"))
     shape = F.array_join(F.transform("p", lambda x: x["kind"]), "")
     first, last, text = F.get("p", 0), F.element_at("p", -1), lambda x: F.regexp_replace(x["value"], "^[\"']|[\"']$", "")
     of_argument = F.when(F.col("shape").rlike(rf"^(?:w|{CHAIN}\.w)$"), last["value"]).when(F.col("shape").rlike(rf"^{CHAIN}\[\]$"), F.get("p", F.size("p") - 2)["only"])
@@ -323,8 +321,10 @@ def logged_names(tokens: DataFrame) -> DataFrame:
 
 @rule("no-console-sensitive")
 def console_sensitive(facts: DataFrame, config: Config) -> DataFrame:
-    tokens = facts_of(facts, "token", "jsx").select("file", "seq", F.col("name").alias("kind"), "value", "line", "col")
-    said = logged_names(tokens).where(F.col("name").rlike(SENSITIVE))
+    each = facts_of(facts, "tokens", "jsx").select("file", F.posexplode("structure").alias("seq", "token"))
+    parts = F.split("token", " ", 3)
+    tokens = each.select("file", "seq", F.substring("token", 1, 1).alias("kind"), parts[2].alias("value"), F.substring(parts[0], 2, 9).cast("int").alias("line"), parts[1].cast("int").alias("col"))
+    said = logged_names(tokens).where(F.col("name").rlike(values.SENSITIVE))
     first = said.groupBy("file", "line", "col", "call").agg(F.min_by("name", "seq").alias("word"))
     return violation(first, "no-console-sensitive", F.concat(F.lit('"'), F.col("word"), F.lit('" is logged')))
 

@@ -156,7 +156,7 @@ def tag_facts(text: str, script: bool, shift: int = 0) -> Iterator[Fact]:
             attrs.append((n[1], value, n.start(1)))
         number += 1
         line, col = place(m.start())
-        yield {"fact": "element", "name": m[2] or "", "id": number, "parent": stack[-1][0] if stack else 0, "line": line, "col": col, "end": place(at)[0]}
+        yield {"fact": "element", "name": m[2] or "", "id": number, "parent": stack[-1][0] if stack else 0, "line": line, "col": col, "end_line": place(at)[0]}
         for seq, (name, value, where) in enumerate(attrs):
             yield {"fact": "attr", "name": name, "value": value, "id": number, "seq": seq, "selector": m[2] or "", "line": place(where)[0] if script else line, "col": place(where)[1] if script else col}
         last = at
@@ -229,25 +229,25 @@ def script_facts(text: str) -> Iterator[Fact]:
 STATIC = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
 
 
-def token_facts(text: str) -> Iterator[Fact]:
-    """The tokens of a script without comments: name is a letter for its kind, w(ord), s(tring), n(umber), a bracket, point, comma or colon
-    itself, ` and ' around a template, < and > around an expression in it, o(ther)."""
+def tokens(text: str) -> Iterator[str]:
+    """The tokens of a script without comments, as kind and line, column and text. The kind is a letter: w(ord), s(tring), n(umber), a bracket, point,
+    comma or colon itself, ` and ' around a template, < and > around an expression in it, o(ther)."""
     place, open_, at = Places(text), [], 0
 
-    def fact(name: str, value: str, offset: int) -> Fact:
+    def token(kind: str, value: str, offset: int) -> str:
         line, col = place(offset)
-        return {"fact": "token", "name": name, "value": value, "line": line, "col": col}
+        return f"{kind}{line} {col} {value}"
 
     while at < len(text):
         if open_ and open_[-1] == "`":
             at = STATIC.match(text, at).end()
             if text.startswith("${", at):
                 open_.append("<")
-                yield fact("<", "${", at)
+                yield token("<", "${", at)
                 at += 2
             elif at < len(text):
                 open_.pop()
-                yield fact("'", "`", at)
+                yield token("'", "`", at)
                 at += 1
             continue
         m = TOKEN.search(text, at)
@@ -256,16 +256,16 @@ def token_facts(text: str) -> Iterator[Fact]:
         at, kind, value = m.end(), m.lastgroup, m.group()
         if kind == "tick":
             open_.append("`")
-            yield fact("`", value, m.start())
+            yield token("`", value, m.start())
         elif value == "}" and open_ and open_[-1] == "<":
             open_.pop()
-            yield fact(">", value, m.start())
+            yield token(">", value, m.start())
         elif kind != "comment":
             if value == "{":
                 open_.append(value)
             elif value == "}" and open_:
                 open_.pop()
-            yield fact(kind[0] if kind in ("word", "string", "number") else value if value in "()[]{}.,:" else "o", value, m.start())
+            yield token(kind[0] if kind in ("word", "string", "number") else value if value in "()[]{}.,:" else "o", value, m.start())
 
 
 def component_facts(text: str, masked: str, place: Places) -> Iterator[Fact]:
@@ -308,6 +308,6 @@ def component_facts(text: str, masked: str, place: Places) -> Iterator[Fact]:
                 attrs.setdefault(f["id"], []).append(f["name"])
         structure = [".".join([tag, *sorted(attrs.get(k, []))]) for k, tag in tags.items()]
         line, col = place(m.start())
-        yield {"fact": "component", "name": name, "value": "block" if masked[start : start + 1] == "{" else "expression", "props": list(dict.fromkeys(props)), "structure": structure, "line": line, "col": col, "end": place(max(start, end - 1))[0], "id": place(start)[0]}
+        yield {"fact": "component", "name": name, "value": "block" if masked[start : start + 1] == "{" else "expression", "props": list(dict.fromkeys(props)), "structure": structure, "line": line, "col": col, "end_line": place(max(start, end - 1))[0], "id": place(start)[0]}
         at = end
         depth_at = end
