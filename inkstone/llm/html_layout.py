@@ -407,7 +407,7 @@ class Layout:
             if line:
                 if gap > 1 and out:
                     out.append("")
-                out.append((marker[0] or indent[-1]) + "".join(line).rstrip(" "))
+                out.append(((marker[0] or indent[-1]) + "".join(line)).rstrip(" "))
                 marker[0] = ""
                 line, gap = [], 0
             space = False
@@ -454,9 +454,10 @@ class Layout:
                 if tag in BLOCK:
                     block(margin if tag not in LISTS else len(lists) <= 1)
                 if tag == "li":
-                    if marker[0] and marker[0].strip() and not line:
-                        out.append(marker[0].rstrip())
-                        marker[0] = ""
+                    if marker[0] and not line:  # an empty item
+                        line.append("")
+                        flush()
+                        gap = 1
                     indent.pop()
                 elif tag in ("blockquote", "dd"):
                     indent.pop()

@@ -108,3 +108,115 @@ def test_style_sheets_of_any_shape_end():
     for sheet in ("@media screen{" * 20000 + "p{display:none}", "{" * 20000, "}" * 20000, "a{b:c" * 20000, '"' * 9999 + "{", "a" * 200000, "@" * 5000, "p,p>p p{display:none}" * 2000):
         assert op.render(f"<style>{sheet}</style><i>v</i>").strip() == "v"
     assert op.render("<table><tr><td>" * 3000 + "deep").strip().endswith("deep")
+
+
+def random_tree(rng, depth):
+    """A list of words, "br" and (tag, children), a word first and a line end after words only; tables hold rows of cells."""
+    out = ["w" * rng.randint(1, 5)]
+    for _ in range(rng.randint(0, 4)):
+        kind = rng.choice(["word", "word", "word", "br", "div", "p", "span", "ul", "ol", "table", "blockquote"]) if depth else "word"
+        if kind == "word":
+            out.append("w" * rng.randint(1, 5) + str(rng.randint(0, 9)))
+        elif kind == "br":
+            out += ["br"] * (out[-1] != "br" and isinstance(out[-1], str))
+        elif kind == "table":
+            out.append((kind, [[random_tree(rng, depth - 1) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]))
+        elif kind in ("ul", "ol"):
+            out.append((kind, [random_tree(rng, depth - 1) for _ in range(rng.randint(1, 3))]))
+        else:
+            out.append((kind, random_tree(rng, depth - 1)))
+    return out
+
+
+def markup(nodes, rng):
+    out = []
+    for node in nodes:
+        if isinstance(node, str):
+            out.append("<br>" if node == "br" else f" {node} ")
+            continue
+        tag, inside = node
+        if tag == "table":
+            body = "".join("<tr>" + "".join(f"<td>{markup(c, rng)}" + rng.choice(["", "</td>"]) for c in row) + rng.choice(["", "</tr>"]) for row in inside)
+        elif tag in ("ul", "ol"):
+            body = "".join(f"<li>{markup(c, rng)}" + rng.choice(["", "</li>"]) for c in inside)
+        else:
+            body = markup(inside, rng)
+        tag = "article" if tag == "p" and any(isinstance(n, tuple) for n in inside) else tag
+        out.append(f"<{tag}>{body}</{tag}>")
+    return "".join(out)
+
+
+def laid_out(nodes, nested=False):
+    """Lines of a flow and the gaps (0 none, 1 a line end, 2 a blank line) that it wants before and after: block by block, by recursion."""
+    lines, gap, first, open_ = [], 0, 0, False
+
+    def add(more):
+        nonlocal gap, first, open_
+        if not lines:
+            first = gap
+        elif gap == 2:
+            lines.append("")
+        lines.extend(more)
+        gap = 0
+
+    def flow(nodes):
+        nonlocal gap, open_
+        for node in nodes:
+            if node == "br":
+                gap, open_ = (max(gap, 1) if open_ else 2), False
+            elif isinstance(node, str):
+                if open_:
+                    lines[-1] += " " + node
+                else:
+                    add([node])
+                    open_ = True
+            elif node[0] == "span":
+                flow(node[1])
+            else:
+                tag, inside = node
+                own, before, after = 1, 0, 0
+                if tag == "table":
+                    own = 2
+                    cells = [[laid_out(c)[0] for c in row] for row in inside]
+                    wide = [max((len(x) for row in cells if c < len(row) for x in row[c]), default=0) for c in range(max(map(len, cells)))]
+                    rows = []
+                    for row in cells:
+                        for k in range(max(map(len, row))):
+                            text = ""
+                            for c, cell in enumerate(row):
+                                if k < len(cell) and cell[k]:
+                                    text = text.ljust(sum(w + 2 for w in wide[:c] if w)) + cell[k]
+                            rows.append(text.rstrip())
+                elif tag in ("ul", "ol"):
+                    own, rows, after = 1 if nested else 2, [], 0
+                    for i, item in enumerate(inside):
+                        sign = f"{i + 1}. " if tag == "ol" else "- "
+                        part, head, tail = laid_out(item, True)
+                        part = [(sign + part[0]).rstrip(), *((" " * len(sign) + x).rstrip() for x in part[1:])] if part else [sign.rstrip()]
+                        head, tail = max(1, head), max(1, tail)
+                        if rows and max(after, head) == 2:
+                            rows.append("")
+                        before, after = (before if rows else head), tail
+                        rows += part
+                else:
+                    own = 2 if tag in ("p", "blockquote") and not (tag == "p" and any(isinstance(n, tuple) for n in inside)) else 1
+                    rows, before, after = laid_out(inside, nested)
+                    rows = ["  " + x if x and tag == "blockquote" else x for x in rows]
+                gap, open_ = max(gap, own, before), False
+                if rows:
+                    add(rows)
+                    gap = max(own, after)
+
+    flow(nodes)
+    return lines, first, gap
+
+
+def test_layout_of_random_pages_equals_a_plain_renderer():
+    seen = 0
+    for seed in range(1500):
+        rng = random.Random(seed)
+        tree = random_tree(rng, 4)
+        want = laid_out(tree)[0]
+        assert op.render(markup(tree, rng)).split("\n") == (want or [""]), (seed, markup(tree, random.Random(seed)), want)
+        seen += len(want) > 5
+    assert seen > 300
