@@ -55,8 +55,8 @@ ADDED = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("private key-----",)),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
-    Rule("login", 1, r"[A-Za-z][A-Za-z0-9+.-]*://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@", hints=("://",)),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
+    Rule("login", 1, r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@", hints=("://",)),
 )
 RULES = (*BASE, *ADDED)
 

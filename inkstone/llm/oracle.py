@@ -130,8 +130,8 @@ SECRETS = (
     ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("login", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@", 0, 0),
 )
 
 
