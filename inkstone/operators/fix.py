@@ -1,12 +1,15 @@
-"""Applying fixes: one group for each file, its violations beside its text."""
+"""Applying fixes: one row for each file, its violations beside its text."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "file string, content string, rule_id string, line int, col int, old_value string, suggested string, status string, reason string"
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
 def fix_lines(text: str, wanted: list[tuple]) -> tuple[str, list[str | None]]:
@@ -43,24 +46,28 @@ def fix_lines(text: str, wanted: list[tuple]) -> tuple[str, list[str | None]]:
 
 def apply(violations: DataFrame, sources: DataFrame) -> DataFrame:
     """One row for each violation with status applied or skipped and the reason; the first row of a file holds its new
-    content."""
-
-    def run(key: tuple, rows: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        out = rows[["file", "rule_id", "line", "col", "old_value", "suggested"]].reset_index(drop=True).copy()
-        if not len(out):
-            return pd.DataFrame(columns=[c.split()[0] for c in RESULT.split(", ")])
-        if not len(files) or files["content"].iloc[0] is None:
-            out["content"], out["reason"] = None, "file-read-error"
-        else:
-            none = lambda v: None if pd.isna(v) else v
-            wanted = [(int(r.line), int(r.col), none(r.old_value), none(r.suggested)) for r in out.itertuples()]
-            content, reasons = fix_lines(files["content"].iloc[0], wanted)
-            out["content"], out["reason"] = [content, *[None] * (len(out) - 1)], reasons
-        out["status"] = ["skipped" if r else "applied" for r in out["reason"]]
-        return out[[c.split()[0] for c in RESULT.split(", ")]]
-
-    fixable = violations.select("file", "rule_id", "line", "col", "old_value", "suggested")
-    return fixable.groupBy("file").cogroup(sources.select("file", "content").groupBy("file")).applyInPandas(run, RESULT)
+    content. The violations of a file are gathered in one row, in an order of their own, and meet its text there; tasks see batches of such rows."""
+    held = ["line", "col", "rule_id", "old_value", "suggested"]
+    wanted = violations.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("wanted"))
+    text = sources.select("file", "content").groupBy("file").agg(F.first("content").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in NAMES}
+            for file, content, rows in zip(*(batch.column(c).to_pylist() for c in ("file", "content", "wanted")), strict=True):
+                if content is None:
+                    fixed, reasons = None, ["file-read-error"] * len(rows)
+                else:
+                    fixed, reasons = fix_lines(content, [(r["line"], r["col"], r["old_value"], r["suggested"]) for r in rows])
+                out["file"] += [file] * len(rows)
+                out["content"] += [fixed, *[None] * (len(rows) - 1)]
+                for name in held:
+                    out[name] += [r[name] for r in rows]
+                out["status"] += ["skipped" if r else "applied" for r in reasons]
+                out["reason"] += reasons
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int32() if n in ("line", "col") else pa.string()) for n in NAMES], names=NAMES)
+
+    return wanted.join(text, "file", "left").select("file", "content", "wanted").mapInArrow(run, RESULT)
 
 
 def rewritten(fixes: DataFrame) -> DataFrame:
