@@ -6,6 +6,7 @@ import colorsys
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,3 +196,47 @@ def delta_e(p: tuple[float, float, float], q: tuple[float, float, float]) -> flo
     dl = (l2 - l1) / (1 + 0.015 * (lm - 50) ** 2 / math.sqrt(20 + (lm - 50) ** 2))
     dc, dh = (c2 - c1) / (1 + 0.045 * cm), 2 * math.sqrt(c1 * c2) * math.sin(math.radians(turn / 2)) / (1 + 0.015 * cm * t)
     return math.sqrt(dl**2 + dc**2 + dh**2 + rt * dc * dh)
+
+
+#: No two colours whose lightness differs by more than this many times their distance exist: the divisor of the lightness term is 1.75 at most.
+LIGHTNESS_SPAN = 1.75
+
+
+def delta_es(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """delta_e of the rows of two arrays of Lab triples."""
+    (l1, a1, b1), (l2, a2, b2) = p.T, q.T
+    m = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
+    g = 1.5 - 0.5 * np.sqrt(m / (m + 25.0**7))
+    a1, a2 = a1 * g, a2 * g
+    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
+    h1, h2 = np.degrees(np.arctan2(b1, a1)) % 360, np.degrees(np.arctan2(b2, a2)) % 360
+    grey, diff, total = c1 * c2 == 0, h2 - h1, h1 + h2
+    turn = np.where(grey, 0.0, np.where(np.abs(diff) <= 180, diff, np.where(diff > 180, diff - 360, diff + 360)))
+    hm = np.where(grey, total, np.where(np.abs(diff) <= 180, total / 2, np.where(total < 360, (total + 360) / 2, (total - 360) / 2)))
+    square, cm = ((l1 + l2) / 2 - 50) ** 2, (c1 + c2) / 2
+    cos = lambda k, s: np.cos(np.radians(k * hm + s))
+    t = 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63)
+    rt = -2 * np.sqrt(cm**7 / (cm**7 + 25.0**7)) * np.sin(np.radians(60 * np.exp(-(((hm - 275) / 25) ** 2))))
+    dl = (l2 - l1) / (1 + 0.015 * square / np.sqrt(20 + square))
+    dc, dh = (c2 - c1) / (1 + 0.045 * cm), 2 * np.sqrt(c1 * c2) * np.sin(np.radians(turn / 2)) / (1 + 0.015 * cm * t)
+    return np.sqrt(dl**2 + dc**2 + dh**2 + rt * dc * dh)
+
+
+def near_pairs(mine: np.ndarray, heads: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of two arrays of Lab triples within near, in order; where rounding could tell, delta_e decides."""
+    row, head = np.nonzero(np.abs(mine[:, None, 0] - heads[None, :, 0]) <= LIGHTNESS_SPAN * near)
+    off = delta_es(heads[head], mine[row])
+    close = off <= near
+    for k in np.flatnonzero(np.abs(off - near) < 1e-6):
+        close[k] = delta_e(tuple(heads[head[k]].tolist()), tuple(mine[row[k]].tolist())) <= near
+    return row[close], head[close]
+
+
+def apart(colors: np.ndarray, near: float) -> np.ndarray:
+    """Those of an array of Lab triples that none of those before them is within near of, taken one after the other."""
+    heads, n = np.empty_like(colors), 0
+    for mine in colors:
+        if not len(near_pairs(mine[None], heads[:n], near)[0]):
+            heads[n] = mine
+            n += 1
+    return heads[:n]
