@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import color, values
-from inkstone.operators.extract import occurrences
+from inkstone.operators.extract import counted, occurrences
 from inkstone.operators.rules import closest_colors
 from inkstone.sources.config import Tokens
 
@@ -24,15 +24,19 @@ def token_rows(spark: SparkSession, tokens: Tokens) -> DataFrame:
     return found.withColumn("value", hexed).where("value is not null")
 
 
+def _shown(seen: DataFrame) -> DataFrame:
+    """Families in lower case, and every value as written beside it."""
+    return seen.withColumn("shown", F.col("value")).withColumn("value", F.when(F.col("category") == "fontFamily", F.lower("value")).otherwise(F.col("value")))
+
+
 def found_values(facts: DataFrame) -> DataFrame:
     """category, value (families in lower case), shown (as written), file, line, col of every value in code."""
-    seen = occurrences(facts, KINDS, skip_tokens=True).withColumn("shown", F.col("value"))
-    return seen.withColumn("value", F.when(F.col("category") == "fontFamily", F.lower("value")).otherwise(F.col("value")))
+    return _shown(occurrences(facts, KINDS, skip_tokens=True))
 
 
 def code_values(facts: DataFrame) -> DataFrame:
     """category, value, shown and n of every value in code; where each one stands are the rows of found_values."""
-    return found_values(facts).groupBy("category", "value").agg(F.min("shown").alias("shown"), F.count(F.lit(1)).alias("n"))
+    return _shown(counted(facts, KINDS, skip_tokens=True)).groupBy("category", "value").agg(F.min("shown").alias("shown"), F.sum("n").alias("n"))
 
 
 def drifted(used: DataFrame, tokens: Tokens) -> DataFrame:
@@ -54,9 +58,11 @@ def unused(used: DataFrame, tokens: Tokens) -> DataFrame:
 
 
 def summary(used: DataFrame, tokens: Tokens) -> DataFrame:
-    """One row: unique_values, drifted, unused, drift_percent (0 without values), gate (true if it is 10 or more)."""
-    known = token_rows(used.sparkSession, tokens).select("category", "value").distinct().withColumn("on", F.lit(True))
-    both = used.select("category", "value").join(F.broadcast(known), ["category", "value"], "left").agg(F.count(F.lit(1)).alias("unique_values"), F.count_if(F.col("on").isNull()).alias("drifted"))
-    gone = unused(used, tokens).agg(F.count(F.lit(1)).alias("unused"))
+    """One row: unique_values, drifted, unused, drift_percent (0 without values), gate (true if it is 10 or more). Code values, one row each, are
+    read once: tokens that none of them meets are what is left of all tokens."""
+    known = token_rows(used.sparkSession, tokens).groupBy("category", "value").agg(F.count(F.lit(1)).alias("tokens"))
+    met = used.select("category", "value").join(F.broadcast(known), ["category", "value"], "left")
+    both = met.agg(F.count(F.lit(1)).alias("unique_values"), F.count_if(F.col("tokens").isNull()).alias("drifted"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("met"))
+    gone = both.join(known.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"))).select("unique_values", "drifted", (F.col("all") - F.col("met")).alias("unused"))
     percent = F.when(F.col("unique_values") == 0, 0.0).otherwise(F.col("drifted") * 100 / F.col("unique_values"))
-    return both.join(gone).withColumn("drift_percent", percent).withColumn("gate", F.col("drift_percent") >= GATE).withColumn("dots", values.drift_dots(F.col("drift_percent") / 100))
+    return gone.withColumn("drift_percent", percent).withColumn("gate", F.col("drift_percent") >= GATE).withColumn("dots", values.drift_dots(F.col("drift_percent") / 100))

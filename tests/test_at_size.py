@@ -1,7 +1,13 @@
 """What keeps the work of a query in proportion to its input, and results the same by another way."""
 
-from inkstone.operators import fix
+import random
+
+from pyspark.sql import functions as F
+
+from inkstone.functions import color
+from inkstone.operators import drift, extract, facts, fix, rules
 from inkstone.schema import VIOLATIONS
+from inkstone.sources.config import Config, Tokens
 
 
 def plan_of(df) -> str:
@@ -18,3 +24,46 @@ def test_fixes_take_files_in_batches(spark):
         ("a", 1, 1, "skipped", "no-fix", "w: 5px 4px\nh: 8px"), ("a", 1, 6, "applied", None, None), ("a", 2, 1, "applied", None, None),
         ("gone", 1, 1, "skipped", "file-read-error", None), ("none", 1, 1, "skipped", "file-read-error", None),
     ]
+
+
+def test_declarations_are_taken_apart_once(spark):
+    rows = [("a.css", f".a {{ color: {c}; padding: 13px 5px / 5px; font-family: '{f}', x; border-radius: 4px }}") for c, f in (("RED", "Inter"), ("#f00", "inter"), ("red", "serif"), ("var(--x)", "Arial"))] * 5
+    parsed = facts.parse(spark.createDataFrame(rows, "file string, content string")).persist()
+    each = extract.occurrences(parsed, drift.KINDS, skip_tokens=True)
+    want = {(r.category, r.value): r["count"] for r in each.groupBy("category", "value").count().collect()}
+    got = {(r.category, r.value): r.n for r in extract.counted(parsed, drift.KINDS, skip_tokens=True).groupBy("category", "value").agg(F.sum("n").alias("n")).collect()}
+    assert got == want and want[("color", "#ff0000")] == 5 and want[("spacing", "5")] == 40
+    codes = drift.code_values(parsed)
+    assert {(r.value, r.shown, r.n) for r in codes.where("category = 'fontFamily'").collect()} == {("inter", "Inter", 10), ("arial", "Arial", 5)}
+    tokens = Tokens({"a": "red", "b": "#f00", "c": "blue"}, [5.0, 7.0], [], [], ["INTER"])
+    s = drift.summary(codes, tokens).first()
+    assert (s.unique_values, s.drifted, s.unused) == (6, 3, drift.unused(codes, tokens).count()) and s.unused == 2
+    assert plan_of(drift.summary(codes, tokens)).split("== Initial Plan ==")[-1].count("InMemoryTableScan") <= 1  # one pass over the facts
+
+
+def test_clusters_are_the_greedy_ones_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(extract, "ROUND", 7)
+    rng = random.Random(5)
+    colors = [(f"#{rng.randrange(1 << 24):06x}", rng.randrange(1, 6)) for _ in range(300)]
+    heads: list[list] = []
+    for value, n in sorted(colors, key=lambda c: (-c[1], c[0])):
+        home = next((h for h in heads if color.delta_e(color.lab(h[0]), color.lab(value)) <= extract.NEAR), None)
+        if home is None:
+            heads.append([value, [value], n])
+        else:
+            home[1].append(value)
+            home[2] += n
+    heads.sort(key=lambda h: -h[2])
+    found = extract.clusters(spark.createDataFrame(colors, "value string, n long"))
+    assert [(r.rank, r.representative, r.members, r.total) for r in found.orderBy("rank").collect()] == [(i, *h) for i, h in enumerate(heads, 1)]
+    assert "InPandas" not in plan_of(found)
+    assert extract.clusters(spark.createDataFrame([], "value string, n long")).count() == 0
+
+
+def test_rows_of_one_class_name_are_dealt_to_many_tasks(spark):
+    rows = [("class", "jsx", f"f{i}", i, 1, v) for i, v in enumerate(["mt-[13px] flex", "text-[#3b82f7]", "mt-[13px]", "p-[8px]"] * 50)]
+    found = spark.createDataFrame(rows, "fact string, kind string, file string, line int, col int, value string")
+    bad = rules.tailwind_arbitrary(found, Config(Tokens({"blue": "#3b82f6"}, [8, 12], [], [], [])))
+    assert "ShuffledHashJoin" in plan_of(bad) and "share" in plan_of(bad)  # a broadcast of the names made one task read what one scan gave
+    got = {(r.old_value, r.suggested): r["count"] for r in bad.groupBy("old_value", "suggested").count().collect()}
+    assert got == {("mt-[13px]", "mt-[12px]"): 100, ("text-[#3b82f7]", "text-[var(blue)]"): 50}
