@@ -91,6 +91,18 @@ def closest_colors(distinct: DataFrame, tokens: dict[str, str], most: float = va
     return near.groupBy("value").agg(F.min_by("token", F.struct("near", "ord")).alias("token"))
 
 
+#: Tasks that the rows of one key are dealt to.
+SHARES = 32
+
+
+def dealt_join(many: DataFrame, key: str, few: DataFrame, own_key: str) -> DataFrame:
+    """many(key, file, line, col, ...) joined to few on few's own_key. Code repeats a few keys very often: the rows of each are dealt to SHARES tasks, and
+    unlike in a broadcast join of what is already shuffled, no task reads what one scan of files gave."""
+    shared = few.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("shuffle_hash")
+    own = F.pmod(F.xxhash64("file", "line", "col"), F.lit(SHARES)).cast("int")
+    return many.withColumn("own", own).join(shared, (F.col(key) == F.col(own_key)) & (F.col("own") == F.col("share")))
+
+
 @rule("no-hardcoded-color")
 def hardcoded_color(facts: DataFrame, config: Config) -> DataFrame:
     prop, value = F.col("name"), F.col("value")
@@ -157,10 +169,6 @@ def enforce_contrast(facts: DataFrame, config: Config) -> DataFrame:
     return violation(bad, "enforce-contrast", F.concat(F.lit("Contrast of "), F.col("value"), F.lit(" on "), F.col("back_value"), F.lit(" is "), F.format_string("%.2f", "ratio"), F.lit(f", {need:g} is needed")), old=F.col("value"))
 
 
-#: Tasks that the rows of one class name are dealt to.
-SHARES = 32
-
-
 @rule("no-tailwind-arbitrary")
 def tailwind_arbitrary(facts: DataFrame, config: Config) -> DataFrame:
     t = config.tokens
@@ -180,10 +188,7 @@ def tailwind_arbitrary(facts: DataFrame, config: Config) -> DataFrame:
     judged = bad.join(lookup, F.when(category == "color", raw) == F.col("raw_color"), "left")  # distinct names: code repeats few of them very often
     value = F.coalesce(F.concat(F.lit("var("), F.col("token"), F.lit(")")), F.concat(values.number_text(F.col("near")), F.lit("px")))
     said = judged.select(F.col("name").alias("said"), F.concat(F.lit('Class "'), F.col("name"), F.lit('" holds '), raw, F.lit(", which is no "), category, F.lit(" token")).alias("message"), F.concat("c.head", value, "c.tail").alias("fix"))
-    # A few names stand in most of the code: the rows of each are dealt to SHARES tasks, and no task reads what one scan of files gave.
-    shared = said.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("shuffle_hash")
-    own = F.pmod(F.xxhash64("file", "line", "col"), F.lit(SHARES)).cast("int")
-    return violation(each.withColumn("own", own).join(shared, (F.col("name") == F.col("said")) & (F.col("own") == F.col("share"))), "no-tailwind-arbitrary", F.col("message"), F.col("fix"), F.col("name"))
+    return violation(dealt_join(each, "name", said, "said"), "no-tailwind-arbitrary", F.col("message"), F.col("fix"), F.col("name"))
 
 
 #: Elements whose attributes rules ask for; all of these rules read one and the same gathering of attributes.
@@ -328,12 +333,16 @@ def logged_names(tokens: DataFrame) -> DataFrame:
 
 @rule("no-console-sensitive")
 def console_sensitive(facts: DataFrame, config: Config) -> DataFrame:
-    each = facts_of(facts, "tokens", "jsx").select("file", F.posexplode("structure").alias("seq", "token"))
+    """Tokens follow from a text alone, so equal texts, which their facts name, are looked at once."""
+    found = facts_of(facts, "tokens", "jsx").select("file", "line", "col", F.coalesce("value", F.concat(F.lit("file "), F.col("file"))).alias("text"), "structure")
+    each = found.groupBy(F.col("text").alias("file")).agg(F.first("structure").alias("structure")).select("file", F.posexplode("structure").alias("seq", "token"))
     parts = F.split("token", " ", 3)
     tokens = each.select("file", "seq", F.substring("token", 1, 1).alias("kind"), parts[2].alias("value"), F.substring(parts[0], 2, 9).cast("int").alias("line"), parts[1].cast("int").alias("col"))
     said = logged_names(tokens).where(F.col("name").rlike(values.SENSITIVE))
     first = said.groupBy("file", "line", "col", "call").agg(F.min_by("name", "seq").alias("word"))
-    return violation(first, "no-console-sensitive", F.concat(F.lit('"'), F.col("word"), F.lit('" is logged')))
+    calls = first.groupBy(F.col("file").alias("of")).agg(F.collect_list(F.struct("line", "col", "word")).alias("calls"))  # those of one text
+    placed = dealt_join(found.select("file", "line", "col", "text"), "text", calls, "of").select("file", F.inline("calls"))
+    return violation(placed, "no-console-sensitive", F.concat(F.lit('"'), F.col("word"), F.lit('" is logged')))
 
 
 CREDENTIAL = r"(?i)\b(?:password|passwd|secret|api_?key|auth_?token|access_?token|private_?key|token)[\"']?\s*[:=]\s*[\"'`]([^\"'`\s]{8,})[\"'`]"

@@ -67,3 +67,35 @@ def test_rows_of_one_class_name_are_dealt_to_many_tasks(spark):
     assert "ShuffledHashJoin" in plan_of(bad) and "share" in plan_of(bad)  # a broadcast of the names made one task read what one scan gave
     got = {(r.old_value, r.suggested): r["count"] for r in bad.groupBy("old_value", "suggested").count().collect()}
     assert got == {("mt-[13px]", "mt-[12px]"): 100, ("text-[#3b82f7]", "text-[var(blue)]"): 50}
+
+
+def test_copies_of_a_text_in_a_batch_are_parsed_once(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+
+    def parser(text):
+        with open(seen, "a") as out:
+            out.write("x")
+        if text == "bad":
+            raise ValueError("no")
+        return [{"fact": "decl", "name": n, "value": text, "line": 1, "col": 1} for n in text]
+
+    monkeypatch.setitem(facts.PARSERS, "css", parser)
+    monkeypatch.setattr(facts, "FACTS_AT_ONCE", 3)
+    rows = [(f"{i}.css", t) for i, t in enumerate(["ab", "bad", "", "abcde", None] * 8)]
+    found = facts.parse(spark.createDataFrame(rows, "file string, content string").coalesce(1)).collect()
+    got = sorted((r.file, r.seq, r.fact, r["name"] or "", r.value, r.kind, r.origin) for r in found)
+    want = [(f, k, "decl", n, t, "css", "css") for f, t in rows if t not in (None, "bad") for k, n in enumerate(t)] + [(f, 0, "error", "", "no", "css", "css") for f, t in rows if t == "bad"]
+    assert got == sorted(want) and seen.read_text() == "x" * 5
+
+
+def test_logged_names_of_equal_texts_are_found_once(spark):
+    text = "console.log(token);\nconsole.warn(a.secret, token);\n"
+    rows = [(f"src/{i}.tsx", text) for i in range(20)] + [("src/o.tsx", "console.log(password)"), ("src/p.tsx", "console.log(a + token)")]
+    parsed = facts.parse(spark.createDataFrame(rows, "file string, content string")).persist()
+    known = parsed.where("fact = 'tokens'")
+    assert known.count() == 22 and known.select("value").distinct().count() == 3
+    config = Config(Tokens({}, [], [], [], []))
+    want = sorted([(f"src/{i}.tsx", line, f'"{w}" is logged') for i in range(20) for line, w in ((1, "token"), (2, "secret"))] + [("src/o.tsx", 1, '"password" is logged')])
+    assert sorted((r.file, r.line, r.message) for r in rules.console_sensitive(parsed, config).collect()) == want
+    unnamed = parsed.withColumn("value", F.lit(None).cast("string"))  # facts of another parser: each file is looked at
+    assert sorted((r.file, r.line, r.message) for r in rules.console_sensitive(unnamed, config).collect()) == want
