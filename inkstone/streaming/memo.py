@@ -7,6 +7,10 @@ facts here. The store is cut into buckets by content, and a batch reads those on
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,19 @@ def _read(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(MEMO).parquet(store)
 
 
+@contextmanager
+def written(rows: DataFrame, folder: str) -> Iterator[DataFrame]:
+    """rows, computed once and kept in a new folder in this one for as long as they are used. Spark joins the small partitions of what is written, but not of
+    what is persisted, so that what comes after has tasks by the size of the rows."""
+    spark, path = rows.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(path)
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parse(sources: DataFrame, store: str, batch: str = "") -> DataFrame:
     """Facts of sources(file, content), as operators.facts.parse gives them; texts that the store lacks are parsed and added to it under the name of the
     batch."""
@@ -35,13 +52,13 @@ def parse(sources: DataFrame, store: str, batch: str = "") -> DataFrame:
         touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # BUCKETS at most
         current = (F.col("version") == parsing.PARSER_VERSION) & F.col("bucket").isin(touched)
         known = _read(spark, store).where(current & (F.col("fact") == "parsed")).select(F.col("file").alias("text_id"), "kind")
-        new = own.select("text_id", "kind", "content", "bucket").dropDuplicates(["text_id", "kind"]).join(known, ["text_id", "kind"], "left_anti").persist()
-        if not new.isEmpty():
-            found = parsing.parse_as_kind(new.select(F.col("text_id").alias("file"), "content", "kind"))
-            marks = new.select(F.col("text_id").alias("file"), "kind", F.lit("parsed").alias("fact"))
-            rows = found.unionByName(marks, allowMissingColumns=True).withColumns({"version": F.lit(parsing.PARSER_VERSION), "batch": F.lit(batch), "bucket": F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int")})
-            rows.write.mode("append").partitionBy("bucket").parquet(store)
-        new.unpersist()
+        lacking = own.select("text_id", "kind", "content", "bucket").dropDuplicates(["text_id", "kind"]).join(known, ["text_id", "kind"], "left_anti")
+        with written(lacking, f"{store}-new") as new:
+            if not new.isEmpty():
+                found = parsing.parse_as_kind(new.select(F.col("text_id").alias("file"), "content", "kind"))
+                marks = new.select(F.col("text_id").alias("file"), "kind", F.lit("parsed").alias("fact"))
+                rows = found.unionByName(marks, allowMissingColumns=True).withColumns({"version": F.lit(parsing.PARSER_VERSION), "batch": F.lit(batch), "bucket": F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int")})
+                rows.write.mode("append").partitionBy("bucket").parquet(store)
         held = _read(spark, store).where(current & (F.col("fact") != "parsed")).drop("version", "batch", "bucket").dropDuplicates()
         files = own.select(F.col("file").alias("in_file"), F.col("kind").alias("in_kind"), "text_id")
         names = [c.split()[0] for c in FACTS.split(", ")]

@@ -60,7 +60,11 @@ def bucket(file: str = "file"):
 
 def replaced(state: DataFrame, changes: DataFrame, globs: tuple[str, ...] = IGNORED, parse: Callable[[DataFrame], DataFrame] = parsing.parse) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a batch of changes does to the fact table: the facts that stay, those of changed and removed files, which go, and those that come."""
-    last = latest(changes)
+    return exchanged(state, latest(changes), globs, parse)
+
+
+def exchanged(state: DataFrame, last: DataFrame, globs: tuple[str, ...] = IGNORED, parse: Callable[[DataFrame], DataFrame] = parsing.parse) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for a settled batch, last(path, type, content), which is read several times."""
     files = last.select(F.col("path").alias("file"))
     fresh = last.where("type = 'change'").select(F.col("path").alias("file"), "content")
     return state.join(files, "file", "left_anti"), state.join(files, "file", "left_semi"), parse(not_ignored(fresh.where(kind_of(F.col("file")).isNotNull()), globs))
@@ -80,16 +84,15 @@ def maintained(names: DataFrame, goes: DataFrame, comes: DataFrame) -> DataFrame
 
 
 def apply_batch(spark: SparkSession, table: str, changes: DataFrame, globs: tuple[str, ...] = IGNORED) -> None:
-    """Rewrite the touched buckets of the stored fact table, and the counts of its tokens by what went and came; texts that were parsed before are
-    not parsed again. Running a batch again gives the same table."""
-    changes = changes.persist()
-    try:
-        touched = {r["b"] for r in latest(changes).select(bucket("path").alias("b")).distinct().collect()}  # BUCKETS at most
+    """Rewrite the touched buckets of the stored fact table, and the counts of its tokens by what went and came; changes are read and settled once, and
+    texts that were parsed before are not parsed again. Running a batch again gives the same table."""
+    with memo.written(latest(changes), f"{table}/settled") as last:
+        touched = {r["b"] for r in last.select(bucket("path").alias("b")).distinct().collect()}  # BUCKETS at most
         if not touched:
             return
         number, places = version(spark, table)
         own = _read(spark, sorted(f for b, f in places.items() if b in touched)).drop("bucket")
-        stays, goes, comes = replaced(own, changes, globs, lambda sources: memo.parse(sources, f"{table}/memo", str(number + 1)))
+        stays, goes, comes = exchanged(own, last, globs, lambda sources: memo.parse(sources, f"{table}/memo", str(number + 1)))
         new = stays.unionByName(comes).withColumn("bucket", bucket())
         maintained(read_names(spark, table, number), goes, comes).write.mode("overwrite").parquet(f"{table}/names/{number + 1}")
         folder = f"{table}/data/{uuid.uuid4().hex}"
@@ -98,8 +101,6 @@ def apply_batch(spark: SparkSession, table: str, changes: DataFrame, globs: tupl
         names = [status.getPath().getName() for status in _files(spark, folder)]
         _publish(spark, table, number + 1, kept | {int(n[2:]): f"{folder}/{n}" for n in names if n.startswith("b=")})
         _forget(spark, table, number - 1)
-    finally:
-        changes.unpersist()
 
 
 def _system(spark: SparkSession, path: str):

@@ -8,6 +8,7 @@ from inkstone.functions import color
 from inkstone.operators import drift, extract, facts, fix, rules
 from inkstone.schema import VIOLATIONS
 from inkstone.sources.config import Config, Tokens
+from inkstone.streaming import watch
 
 
 def plan_of(df) -> str:
@@ -99,3 +100,24 @@ def test_logged_names_of_equal_texts_are_found_once(spark):
     assert sorted((r.file, r.line, r.message) for r in rules.console_sensitive(parsed, config).collect()) == want
     unnamed = parsed.withColumn("value", F.lit(None).cast("string"))  # facts of another parser: each file is looked at
     assert sorted((r.file, r.line, r.message) for r in rules.console_sensitive(unnamed, config).collect()) == want
+
+
+def test_a_batch_of_changes_is_settled_once(spark, tmp_path, monkeypatch):
+    table, seen, settle = str(tmp_path / "facts"), tmp_path / "seen", watch.latest
+
+    def counted(batches):
+        for batch in batches:
+            with open(seen, "a") as out:
+                out.write("x" * batch.num_rows)
+            yield batch
+
+    def latest(changes):
+        found = settle(changes)
+        return found.mapInArrow(counted, found.schema)
+
+    monkeypatch.setattr(watch, "latest", latest)
+    rows = [(f"{i % 5}.css", "change", f".a {{ gap: {i % 3}px }}", 1, i) for i in range(20)] + [("4.css", "unlink", None, 1, 20)]
+    watch.apply_batch(spark, table, spark.createDataFrame(rows, "path string, type string, content string, ts int, seq int"))
+    assert seen.read_text() == "x" * 5  # every reader of the batch settled it anew
+    assert {(r.file, r.value) for r in watch.read_state(spark, table).where("fact = 'decl'").collect()} == {(f"{i % 5}.css", f"{i % 3}px") for i in range(15, 19)}
+    assert not list((tmp_path / "facts" / "settled").iterdir()) and not list((tmp_path / "facts" / "memo-new").iterdir())
