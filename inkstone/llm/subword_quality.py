@@ -24,7 +24,9 @@ from inkstone.llm.common import doc_crc32, row_slices, text_buffers
 SAMPLE = 1500
 BUCKET_BITS, DIM, EPOCHS, RATE, SEED = 17, 16, 4, 2.0, 7
 GRAMS = (3, 4, 5)
-SLICE, PACK = 1 << 20, 1 << 22
+#: Bytes of texts that a task scores at once, which it needs many times over and Python's workers keep; features of one array in training; rows that
+#: keep_good passes on at once.
+SLICE, PACK, PASSED = 1 << 18, 1 << 22, 1000
 _P32, _P64 = np.uint32(0x01000193), np.uint64(0x100000001B3)
 
 
@@ -200,6 +202,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
             text = batch.column(columns.index("text"))
             plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), text], names=["doc_id", "text"])
             score = next(score_of(iter([plain]))).column("score")
-            yield batch.filter(pa.array(np.asarray(score) >= 0.5))
+            good = pa.array(np.asarray(score) >= 0.5)
+            for at in range(0, batch.num_rows, PASSED):
+                yield batch.slice(at, PASSED).filter(good.slice(at, PASSED))
 
     return docs.mapInArrow(run, docs.schema)

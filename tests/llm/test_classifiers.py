@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkstone.llm import ppm_language, subword_quality
@@ -223,3 +225,22 @@ def test_training_and_scores_equal_a_plain_version(spark):
     for d in docs:
         value = sum(x * margin[b] for b, x in plain_features(d[1]).items()) if d[1] else 0.0
         assert abs(got[d[0]] - 1 / (1 + math.exp(-(value + bias)))) < 1e-3, d
+
+
+def test_scoring_holds_little_besides_its_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, "en", 400) for _ in range(1500)]
+    model = {"margin": np.linspace(-1, 1, 1 << subword_quality.BUCKET_BITS).astype(np.float32), "bias": 0.1}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    scores = next(subword_quality.scorer(model)(iter([batch]))).column("score").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # with slices of 1 MB it was more
+    monkeypatch.setattr(subword_quality, "SLICE", 1 << 20)
+    assert next(subword_quality.scorer(model)(iter([batch]))).column("score").to_pylist() == scores
+    monkeypatch.setattr(subword_quality, "PASSED", 7)
+    docs = documents(n=60)
+    labels = spark.createDataFrame([(r[0], k % 2, 0) for k, r in enumerate(docs) if r[0] is not None], "doc_id long, quality int, toxic int")
+    good = [r.doc_id for r in subword_quality.score_quality(frame(spark, docs), labels).collect() if r.predicted]
+    assert sorted(map(str, good)) == sorted(str(r.doc_id) for r in subword_quality.keep_good(frame(spark, docs), labels).collect())
