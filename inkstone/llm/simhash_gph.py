@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import let, lower_ascii, materialize, row_key, row_slices, scratch_dir, temporary, unused, words
+from inkstone.llm.common import lean, let, lower_ascii, materialize, row_key, row_slices, scratch_dir, temporary, unused, words
 
 BITS = 64
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks and every pair of blocks is compared.
@@ -111,7 +111,7 @@ def majority(more: bool):
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and 64-bit SimHash (as a signed long) of every row of docs(doc_id, text)."""
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text"), width).alias("hashes"))
-    return hashed.mapInArrow(majority(False), "doc_id long, fp long")
+    return hashed.mapInArrow(lean(majority(False)), "doc_id long, fp long")
 
 
 def _co_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def classes(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFra
     plan = plan_parts(max(n, 2), p, corr, distance, sampled_prints(distinct))  # with no rows every plan would cost nothing
     rows = spread_hot(bucket_rows(distinct.select("fp"), plan), block)
     dealt = rows.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair", "probe", "fp")
-    roots = components(dealt.mapInArrow(link_buckets(distance), "a long, b long"))
+    roots = components(dealt.mapInArrow(lean(link_buckets(distance)), "a long, b long"))
     named = materialize(distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-named")
     lows = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
     ids = materialize(named.join(lows, "root").select("fp", "component_id"), "simhash-ids")
@@ -543,7 +543,7 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     pair that is still of two classes and near by all fingerprints is verified. Links of the last step tie classes, not texts."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("row_key"), words(lower_ascii(F.col("text"))).alias("w"), "text")
     hashed = keyed.select("id", "row_key", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.array_distinct(shingle_hashes(F.col("text"), width)).alias("hashes"))
-    prints = materialize(hashed.mapInArrow(majority(True), "id long, row_key long, unit long, fp long, n int, fp2 long, sketch array<long>"), "near-prints")
+    prints = materialize(hashed.mapInArrow(lean(majority(True)), "id long, row_key long, unit long, fp long, n int, fp2 long, sketch array<long>"), "near-prints")
     rows = materialize(prints.groupBy("id", "row_key", "unit").agg(F.count(F.lit(1)).alias("copies")), "near-rows")
     every = materialize(prints.groupBy("unit").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "n", "sketch")], F.min("row_key").alias("row_key")), "near-every")  # rows of a unit differ in row_key only
     units = materialize(with_shared_sketch(every, jaccard), "near-units")
@@ -552,7 +552,7 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     plan = plan_parts(max(n, 2), p, corr, distance, sample, STAGE_ROW_COST)
 
     def mates(rows: DataFrame, across: bool, plan: list[tuple[list[int], int]]) -> DataFrame:
-        found = sorted_buckets(rows, plan, block).mapInArrow(nearest_mates(distance, both, jaccard, across), "unit long, off long, mate long")
+        found = sorted_buckets(rows, plan, block).mapInArrow(lean(nearest_mates(distance, both, jaccard, across)), "unit long, off long, mate long")
         nearest = F.min(F.when(F.col("mate").isNotNull(), F.struct("off", "mate")))
         return materialize(found.groupBy("unit").agg(nearest["mate"].alias("mate")), "near-paired")
 
@@ -562,7 +562,7 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     wanted = near_units.select("unit", "row_key").hint("shuffle_hash")  # alike at every size
     texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").select("unit", F.array_distinct(shingle_hashes(F.col("text"), width)).alias("s"))
     sets = materialize(texts.dropDuplicates(["unit"]), "near-shingles")
-    more = materialize(sets.mapInArrow(more_prints, "unit long, more binary"), "near-more")
+    more = materialize(sets.mapInArrow(lean(more_prints), "unit long, more binary"), "near-more")
 
     def verified(found: DataFrame) -> DataFrame:
         """Those of found(a, b and others) whose texts have the Jaccard, without a and b if there are others."""
@@ -584,7 +584,7 @@ def near_copies(docs: DataFrame, width: int, jaccard: float, distance: int, both
     near = verified(as_pairs(paired))
     near = near.unionByName(verified(as_pairs(mates(labelled(near, MORE_WORDS), True, fewer))))
     classes_ = labelled(near, LAST_WORDS)
-    pairs = sorted_buckets(classes_, fewer, block).mapInArrow(open_pairs(distance, both, jaccard, fewer), "a long, b long, label_a long, label_b long").distinct()
+    pairs = sorted_buckets(classes_, fewer, block).mapInArrow(lean(open_pairs(distance, both, jaccard, fewer)), "a long, b long, label_a long, label_b long").distinct()
     tied = verified(materialize(pairs, "near-pairs"))
     over = components(tied.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     named = materialize(classes_.select("unit", "label").join(over, F.col("label") == F.col("v"), "left").select("unit", F.coalesce("root", "label").alias("root")), "near-classes")

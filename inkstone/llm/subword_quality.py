@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import doc_crc32, row_slices, text_buffers
+from inkstone.llm.common import doc_crc32, lean, row_slices, text_buffers
 
 #: Labelled rows of each class that training may read.
 SAMPLE = 1500
@@ -188,7 +188,7 @@ def scorer(model: dict):
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     model = fit(docs, labels, sample)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(scorer(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(lean(scorer(model)), "doc_id long, score double")
     return scored.select("doc_id", (doc_crc32(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
             for at in range(0, batch.num_rows, PASSED):
                 yield batch.slice(at, PASSED).filter(good.slice(at, PASSED))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

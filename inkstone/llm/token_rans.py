@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import discard, materialize
+from inkstone.llm.common import discard, lean, materialize
 
 END_ID = 2
 SCALE_BITS = 20
 LANES, STEPS, BLOCK_IDS = 1024, 512, 1 << 19
-#: Text bytes whose distinct pieces are encoded together, and pieces that a worker remembers.
-SLICE_BYTES, REMEMBERED = 8 << 20, 300_000
+#: Text bytes whose distinct pieces are encoded together, and pieces that a worker remembers; a task needs many times over what these hold.
+SLICE_BYTES, REMEMBERED = 2 << 20, 100_000
 MAGIC = b"IRB1"
 HEAD = struct.Struct("<4sIQIIII")
 _LOW = np.uint64(1 << 31)
@@ -356,7 +356,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_ID
     """Encode docs(doc_id, text) and write the files: a table of blocks, one folder for each id range, and the table of frequencies."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    coded = materialize(plain.mapInArrow(tokenizer_job(tokenizer_path), CODED), "token-ids")
+    coded = materialize(plain.mapInArrow(lean(tokenizer_job(tokenizer_path)), CODED), "token-ids")
     counts = coded.where("seen is not null").select("seen").mapInArrow(_spread_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
     counts = sorted((r["id"], r["n"]) for r in counts)
     ids, n = np.array([c[0] for c in counts], np.int64), np.array([c[1] for c in counts], np.int64)
@@ -364,7 +364,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, block_ids: int = BLOCK_ID
     frequencies = materialize(spark.createDataFrame([(int(i), int(f)) for i, f in zip(table.ids, table.freq, strict=True)], "id long, freq long").coalesce(1), "token-table")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     sorted_ = coded.where("seen is null").drop("seen").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
-    blocks = materialize(sorted_.mapInArrow(block_job(spark.sparkContext.broadcast(table), block_ids), BLOCKS).sortWithinPartitions("part", "first_pos"), "token-blocks", ["part"])
+    blocks = materialize(sorted_.mapInArrow(lean(block_job(spark.sparkContext.broadcast(table), block_ids)), BLOCKS).sortWithinPartitions("part", "first_pos"), "token-blocks", ["part"])
     discard(coded)
     return blocks, frequencies
 
@@ -379,7 +379,7 @@ def read_documents(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
     own = Window.partitionBy("part").orderBy("first_pos")
     starts = index.select("part", "first_pos", (F.col("before") + F.sum("n_tokens").over(own) - F.col("n_tokens")).alias("start"))
     placed = blocks.join(F.broadcast(starts), ["part", "first_pos"]) if starts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else blocks.join(starts, ["part", "first_pos"])
-    return placed.select("start", "doc_ids", "lengths", "payload").mapInArrow(read_job(blocks.sparkSession.sparkContext.broadcast(table)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("start", "doc_ids", "lengths", "payload").mapInArrow(lean(read_job(blocks.sparkSession.sparkContext.broadcast(table))), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 #: The list of block starts (three numbers each) is broadcast up to so many blocks, and joined by shuffle beyond.
